@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import exact_dedup, mixing, warc
+from orrery.llm import bpe, exact_dedup, mixing, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 SQL: dict[str, str] = {
