@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, exact_dedup, mixing, token_counts, warc
+from orrery.llm import bpe, exact_dedup, mixing, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
 }
 
