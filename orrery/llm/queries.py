@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, exact_dedup, mixing, secrets, token_counts, toxicity, warc
+from orrery.llm import bpe, exact_dedup, line_dedup, mixing, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_warc": warc.op5_warc,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_secrets": secrets.op9_secrets,
     "op10_bpe": bpe.op10_bpe,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
