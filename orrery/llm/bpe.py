@@ -13,7 +13,8 @@
 A word crosses the network once for each block and not for each occurrence,
 so frequent words are no hot keys, and blocks and buckets are of bounded size.
 The packed table is written to the shared folder once, so a repeated task
-never sees other blocks.
+never sees other blocks; it is bucketed by block, so that only words and ids are
+shuffled.
 
 Edge cases: null counts as empty; empty texts have no ids; null identifiers
 and repeated rows are encoded row by row; an empty table gives no rows; other
@@ -35,49 +36,64 @@ from pyspark.sql import functions as F
 
 from orrery.llm.bpe_core import Vocabulary, by_size, decimals, encode_words, from_ranks, gathered
 from orrery.llm.pretokens import Splitter, known_to_tiktoken
-from orrery.llm.shared import table, written
+from orrery.llm.shared import scratch_path, table
 
 CHARS = 1 << 19
 BLOCK_CHARS = 24 << 20
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 300_000
 HELD_WORDS = 300_000
 
-PACKS = "block long, bucket int, kind int, doc_id long, pack binary"
-SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("pack", pa.binary())])
+PACKS = "block long, bucket int, kind int, ids array<long>, pack binary"
+SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("pack", pa.binary())])
 WORDS, SEQUENCE = 0, 1
 
+#: Numbers below ONE take one byte, below TWO two bytes, any other five.
+ONE, TWO = 200, 200 + 55 * 256
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers in planes of bytes, compressed."""
+
+def planes(a: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: first bytes, second bytes, then the large ones."""
+    a = np.asarray(a, np.int64)
+    two, large = (a >= ONE) & (a < TWO), a >= TWO
+    first = np.where(two, ONE + ((a - ONE) >> 8), np.where(large, 255, a)).astype(np.uint8)
+    wide = np.ascontiguousarray(a[large], dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return b"".join(n.to_bytes(8, "little") for n in (len(a), int(two.sum()), int(large.sum()))) + first.tobytes() + ((a[two] - ONE) & 255).astype(np.uint8).tobytes() + wide
+
+
+def from_planes(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, m, k = (int.from_bytes(raw[at + 8 * i : at + 8 * i + 8], "little") for i in range(3))
+    at += 24
+    first = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    two, large = (first >= ONE) & (first < 255), first == 255
+    first[two] = ((first[two] - ONE) << 8) + np.frombuffer(raw, np.uint8, m, at + n) + ONE
+    first[large] = np.frombuffer(raw, np.uint8, 4 * k, at + n + m).reshape(4, k).T.copy().view("<u4").ravel()
+    return first, at + n + m + 4 * k
+
+
+def packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     import zstandard
 
-    parts = []
-    for a in arrays:
-        wide = np.ascontiguousarray(a, dtype="<u4").view(np.uint8).reshape(-1, 4)
-        parts.append(len(a).to_bytes(8, "little") + wide.T.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(map(planes, arrays)) + tail)
 
 
-def unpacked(pack: bytes) -> list[np.ndarray]:
+def unpacked(pack: bytes, n: int) -> list:
+    """``n`` arrays and the bytes after them."""
     import zstandard
 
-    raw, found, at = zstandard.ZstdDecompressor().decompress(pack), [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 8], "little")
-        found.append(np.frombuffer(raw, np.uint8, 4 * n, at + 8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64))
-        at += 8 + 4 * n
-    return found
+    raw, at, found = zstandard.ZstdDecompressor().decompress(pack), 0, []
+    for _ in range(n):
+        a, at = from_planes(raw, at)
+        found.append(a)
+    return [*found, raw[at:]]
 
 
 def pack_words(places: list[int], words: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return packed(np.diff(np.array(places), prepend=0), lengths, np.frombuffer(b"".join(words), np.uint8))
+    return packed(np.diff(np.array(places), prepend=0), np.fromiter(map(len, words), np.int64, len(words)), tail=b"".join(words))
 
 
 def unpack_words(pack: bytes) -> tuple[np.ndarray, list[str]]:
-    steps, lengths, raw = unpacked(pack)
-    ends, raw = np.cumsum(lengths), raw.astype(np.uint8).tobytes()
-    return steps, [raw[b - n : b].decode("utf-8", "surrogatepass") for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    steps, lengths, raw = unpacked(pack, 2)
+    return steps, [raw[b - n : b].decode("utf-8", "surrogatepass") for b, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True)]
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -85,38 +101,51 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def splitter(cut: Splitter, buckets: int):
-    """Texts to blocks: a sequence for each text, and packs of the block's distinct words."""
-
-    def close(block: int, places: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Texts to blocks: sequences of words' places, and packs of the block's distinct words.
+
+    Places go by falling frequency in the block, then by the words themselves,
+    which keeps both the sequences and the packs short.
+    """
+
+    def close(block: int, places: dict[str, int], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        n = len(places)
+        often = sum((np.bincount(at, minlength=n) for _, _, at in held), np.zeros(n, np.int64)).tolist()
+        words = sorted(places, key=lambda w: (-often[places[w]], w))
+        to = np.empty(n, np.int64)
+        to[np.fromiter(map(places.__getitem__, words), np.int64, n)] = np.arange(n)
         packs: dict[int, tuple[list, list]] = {}
-        for word, k in places.items():
+        for k, word in enumerate(words):
             raw = word.encode("utf-8", "surrogatepass")
-            held = packs.setdefault(zlib.crc32(raw) % buckets, ([], []))
-            held[0].append(k), held[1].append(raw)
+            mine = packs.setdefault(zlib.crc32(raw) % buckets, ([], []))
+            mine[0].append(k), mine[1].append(raw)
         rows = [(block, b, WORDS, None, pack_words(*x)) for b, x in packs.items()]
         if rows:
             yield batch_of(rows)
+        for ids, sizes, at in held:
+            yield batch_of([(block, 0, SEQUENCE, ids, packed(np.array(sizes), to[at]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = cut.compiled()
         new_block = lambda: uuid.uuid4().int >> 65
-        block, places, chars = new_block(), {}, 0
+        places, held, chars = {}, [], 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in by_size([x or 0 for x in pa.compute.utf8_length(texts).to_pylist()], CHARS):
-                rows = []
-                for doc_id, text in zip(ids[a:b], texts.slice(a, b - a).to_pylist(), strict=True):
+                sizes, at = [], []
+                for text in texts.slice(a, b - a).to_pylist():
                     words = find(text or "")
                     for word in set(words).difference(places):
                         places[word] = len(places)
-                    at = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
-                    rows.append((block, 0, SEQUENCE, doc_id, packed(at)))
+                    sizes.append(len(words))
+                    at.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
                     chars += len(text or "")
-                yield batch_of(rows)
+                held.append((ids[a:b], sizes, np.concatenate(at)))
                 if len(places) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
-                    yield from close(block, places)
-                    block, places, chars = new_block(), {}, 0
-        yield from close(block, places)
+                    yield from close(new_block(), places, held)
+                    places, held, chars = {}, [], 0
+        yield from close(new_block(), places, held)
 
     return run
 
@@ -125,9 +154,8 @@ def encoder(vocabulary: Vocabulary):
     """Packs of words to packs of ids; each distinct word of the task is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[str, bytes] = {}
         for batch in batches:
-            rows = []
             for block, bucket, _, _, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 steps, words = unpack_words(pack)
                 new = [w for w in words if w not in held]
@@ -140,59 +168,47 @@ def encoder(vocabulary: Vocabulary):
                     held.update((w, raw[e - 4 * n : e]) for w, e, n in zip(new, ends.tolist(), counts.tolist(), strict=True))
                 got = [held[w] for w in words]
                 counts = np.fromiter(map(len, got), np.int64, len(got)) // 4
-                rows.append((block, bucket, WORDS, None, packed(steps, counts, np.frombuffer(b"".join(got), np.int32))))
-            if rows:
-                yield batch_of(rows)
+                yield batch_of([(block, bucket, WORDS, None, packed(steps, counts, np.frombuffer(b"".join(got), np.int32)))])
 
     return run
 
 
 def assembler(vocabulary: Vocabulary, ids: bool, digests: bool):
-    """Packs of ids and sequences, sorted by block and kind, to one row for each text."""
+    """A block's sequences and its packs of ids to one row for each text."""
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] if ids else []
     fields += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else []
     schema = pa.schema(fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def text_row(doc_id, words: np.ndarray, block: tuple, decimal: tuple | None) -> tuple:
+        found, total, a, b = [], 0, hashlib.sha256(), hashlib.sha256()
+        # A very long text goes in pieces: only its ids are held whole, if asked for.
+        for lo in range(0, len(words), 1 << 16):
+            got = gathered(*block, words[lo : lo + (1 << 16)])
+            total += len(got)
+            if digests:
+                a.update(b"," * (lo > 0) + gathered(*decimal, got).tobytes()[:-1])
+                b.update(gathered(vocabulary.bytes, vocabulary.starts, vocabulary.lengths, got).tobytes())
+            if ids:
+                found.append(got.astype(np.int32))
+        return (doc_id, total, *([np.concatenate(found) if found else np.zeros(0, np.int32)] if ids else []), *([a.hexdigest(), b.hexdigest()] if digests else []))
+
+    def run(sequences: pa.Table, words: pa.Table) -> pa.Table:
         decimal = decimals(len(vocabulary.lengths)) if digests else None
-        current, parts, flat, starts, counts = None, [], None, None, None
-        rows, size = [], 0
-        for batch in batches:
-            for block, _, kind, doc_id, pack in zip(*(batch.column(c) for c in range(5)), strict=True):
-                block, kind, pack = block.as_py(), kind.as_py(), pack.as_py()
-                if block != current:
-                    current, parts, flat = block, [], None
-                if kind == WORDS:
-                    steps, n, raw = unpacked(pack)
-                    parts.append((np.cumsum(steps), n, raw))
-                    continue
-                if flat is None:
-                    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
-                    place = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-                    n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-                    starts, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-                    starts[place], counts[place], parts = np.cumsum(n) - n, n, []
-                words = unpacked(pack)[0]
-                found, total, a = [], 0, hashlib.sha256()
-                b = hashlib.sha256()
-                # A very long text goes in pieces: only its ids are held whole, if asked for.
-                for lo in range(0, len(words), 1 << 16):
-                    got = gathered(flat, starts, counts, words[lo : lo + (1 << 16)])
-                    total += len(got)
-                    if digests:
-                        text = gathered(*decimal, got).tobytes()
-                        a.update(text[:-1] if lo == 0 else b"," + text[:-1])
-                        b.update(gathered(vocabulary.bytes, vocabulary.starts, vocabulary.lengths, got).tobytes())
-                    if ids:
-                        found.append(got.astype(np.int32))
-                rows.append((doc_id.as_py(), total, *([np.concatenate(found) if found else np.zeros(0, np.int32)] if ids else []), *([a.hexdigest(), b.hexdigest()] if digests else [])))
-                size += 200 + 4 * total * ids
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+        parts = []
+        for pack in words.column("pack"):
+            steps, n, raw, _ = unpacked(pack.as_py(), 3)
+            parts.append((np.cumsum(steps), n, raw))
+        place, n, flat = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        starts, counts = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        starts[place], counts[place] = np.cumsum(n) - n, n
+        found = []
+        for doc_ids, pack in zip(sequences.column("ids"), sequences.column("pack"), strict=True):
+            sizes, at, _ = unpacked(pack.as_py(), 2)
+            ends = np.cumsum(sizes).tolist()
+            rows = [text_row(i, at[e - k : e], (flat, starts, counts), decimal) for i, e, k in zip(doc_ids.as_py(), ends, sizes.tolist(), strict=True)]
+            found.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema))
+        return pa.Table.from_batches(found, schema=schema)
 
     return run, "doc_id long, n_tokens long" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
 
@@ -202,11 +218,14 @@ def encode(df: DataFrame, vocabulary: Vocabulary, cut: Splitter, id_col: str = "
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packs = written(rows.mapInArrow(splitter(cut, buckets), PACKS), "packs")
+    # Dealt by block as it is written, so that sequences need no shuffle to meet their ids.
+    name, path = f"orrery_packs_{uuid.uuid4().hex}", scratch_path(spark, "packs")
+    rows.mapInArrow(splitter(cut, buckets), PACKS).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    packs = spark.table(name)
     known = packs.where(F.col("kind") == WORDS).repartition(buckets, "bucket").mapInArrow(encoder(vocabulary), PACKS)
-    dealt = packs.where(F.col("kind") == SEQUENCE).unionByName(known).repartition(buckets, "block").sortWithinPartitions("block", "kind")
     run, schema = assembler(vocabulary, ids, digests)
-    return dealt.mapInArrow(run, schema)
+    sequences = packs.where(F.col("kind") == SEQUENCE).select("block", "ids", "pack")
+    return sequences.groupBy("block").cogroup(known.select("block", "pack").groupBy("block")).applyInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
