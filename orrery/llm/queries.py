@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, exact_dedup, line_dedup, mixing, secrets, token_counts, toxicity, warc
+from orrery.llm import ann, bpe, exact_dedup, line_dedup, mixing, secrets, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": ann.op1_ann,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_counts": token_counts.op4_token_counts,
