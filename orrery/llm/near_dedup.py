@@ -12,12 +12,15 @@ if it has fewer. Documents are linked if 100 * intersection >= ``PERCENT`` * uni
    the threshold differs in more symbols with a probability of at most ``MISS``;
    a closer pair does so more rarely still.
 3. Members of a bucket (equal keys) are compared with its leader, the member
-   with the most bucket partners; pairs within the signature distance
-   are verified on their full sets. That is as many pairs as members.
-4. Where a bucket then still holds several components, its members outside the
-   leader's component meet all members of other components, in blocks of bounded
-   size, again by signature distance first and full sets after. So no link is lost,
-   and pairs within a component are never enumerated.
+   with the most bucket partners: as many pairs as members. Signatures within the
+   distance make families. Where a bucket then holds several families, its
+   members outside the leader's family meet all others in blocks of bounded size, which
+   give back edges that join families. So each pair within the distance lies in
+   one family, and pairs are never listed.
+4. A family's sets are fetched once. In a task (if the family fits one) or in blocks, the
+   leader is compared with all, then every document outside the largest component
+   with all, by counting common shingles through an inverted index: exact similarities,
+   of which links that join components are kept.
 5. Components come from star contraction on the links, in tables, in a number of
    rounds that grows with the logarithm of a component's diameter.
 
@@ -44,6 +47,8 @@ WORDS, PERCENT, WIDE, SEED = 5, 85, 5, 23
 #: Probability that a pair at the threshold differs in more symbols than the join allows for.
 MISS = 1e-6
 BLOCK = 2048
+#: Shingles of a family that one task holds.
+HELD = 1 << 21
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
@@ -155,29 +160,127 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, set binary")
 
 
-def linked(percent: int):
-    """Pairs whose sets are alike enough."""
+class Overlaps:
+    """Inverted index of sets; counts what another set shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.tokens, at = np.unique(flat, return_inverse=True)
+        self.doc = np.repeat(np.arange(len(sets)), self.sizes)[np.argsort(at, kind="stable")]
+        self.ends = np.cumsum(np.bincount(at, minlength=len(self.tokens)))
+
+    def links(self, x: np.ndarray, percent: int) -> np.ndarray:
+        """Whether each set is alike enough to ``x``."""
+        k = np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1)
+        k = k[self.tokens[k] == x]
+        starts = np.where(k > 0, self.ends[k - 1], 0)
+        sizes = self.ends[k] - starts
+        at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        both = np.bincount(self.doc[at], minlength=len(self.sizes))
+        return 100 * both >= percent * (self.sizes + len(x) - both)
+
+
+def forest(ids: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Links that join the components of ``ids``, one for each join.
+
+    ``linked(i)`` marks what is linked with item i. Item 0 comes first; items within the
+    largest component need no look: their links outside it are found from outside.
+    """
+    root, done, edges = np.arange(len(ids)), np.zeros(len(ids), bool), []
+    todo = np.arange(min(1, len(ids)))
+    while len(todo):
+        for i in todo[:64]:
+            done[i] = True
+            hit = np.flatnonzero(linked(i))
+            for r in np.unique(root[hit]):
+                if r != root[i]:
+                    edges.append((int(ids[i]), int(ids[hit[root[hit] == r][0]])))
+                    root[root == r] = root[i]
+        todo = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
+    return edges
+
+
+def family_links(percent: int):
+    """Links within a family that one task holds; its leader comes first."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_numpy()
+        order = np.argsort(ids != rows.column("leader").to_numpy(), kind="stable")
+        sets = [np.frombuffer(rows.column("set")[int(k)].as_buffer(), np.uint64) for k in order]
+        found, ids = Overlaps(sets), ids[order]
+        edges = forest(ids, lambda i: found.links(sets[i], percent))
+        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
+def block_links(percent: int):
+    """Links between a block of a family's open documents (left) and a block of all of it (right)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")] for t in (left, right))
+        found, ids = Overlaps(y), right.column("id").to_numpy()
+        # What is linked with the leader is one component already.
+        place = {int(j): k for k, j in enumerate(ids)}
+        root = np.where(right.column("linked").to_numpy(zero_copy_only=False), -1, np.arange(len(ids)))
+        edges = []
+        for i, v in zip(left.column("id").to_numpy().tolist(), x, strict=True):
+            hit = np.flatnonzero(found.links(v, percent) & (ids != i))
+            own = root[place[i]] if i in place else None
+            for r in np.unique(root[hit]):
+                if r != own:
+                    edges.append((i, int(ids[hit[root[hit] == r][0]])))
+                    if own is not None:
+                        root[root == r] = own
+        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return run
+
+
+def with_leader(percent: int):
+    """Rows (a, b, set, lead) whose sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (a, b), by full sets of the texts in ``docs`` (doc_id, text)."""
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def exact_links(families: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) within families (id, family, leader, n_shingles) by full sets; as many as join their components."""
+    total = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("blocks"))
+    families = written(families.join(total, "family"), "families")
+    ids = families.select("id")
     texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = written(shingle_sets(texts, words).dropDuplicates(["id"]), "sets")
-    sets_a, sets_b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return written(pairs.join(sets_a, "a").join(sets_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(linked(percent), "a long, b long"), "links")
+    sets = written(shingle_sets(texts, words).join(families, "id"), "sets").dropDuplicates(["id"])
+    links = sets.where("blocks = 1").select("family", "leader", "id", "set").groupBy("family").applyInArrow(family_links(percent), "a long, b long")
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return written(links, "links")
+    lead = large.where("id = leader").select("family", F.col("set").alias("lead"))
+    near = large.join(lead, "family").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "set", "lead")
+    near = written(near.mapInArrow(with_leader(percent), "a long, b long"), "near")
+    marked = large.join(near.select(F.col("a").alias("id"), F.lit(True).alias("is_near")), "id", "left").withColumn("linked", F.coalesce("is_near", F.col("id") == F.col("leader")))
+    rest = marked.where("NOT linked")
+    parts = rest.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("parts"))
+    cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rest.join(parts, "family").withColumn("part", cut(F.col("parts"))).withColumn("block", every(F.col("blocks"))).select("family", "part", "block", "id", "set")
+    right = marked.join(parts, "family").withColumn("block", cut(F.col("blocks"))).withColumn("part", every(F.col("parts"))).select("family", "part", "block", "id", "set", "linked")
+    by = ["family", "part", "block"]
+    more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(percent), "a long, b long")
+    return written(links.unionByName(near).unionByName(more), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -200,23 +303,35 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def comparer(limit: int, symbols: int):
-    """Members outside the leader's component (left) with members of other components (right)."""
+    """Joins families (component) of members outside the leader's one (left) with others (right) that come within the distance."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         x, y = (signatures_of(t.column("sig"), symbols) for t in (left, right))
-        (i, c), (j, d) = ((t.column("id").to_numpy(), t.column("component").to_numpy()) for t in (left, right))
-        found = []
+        c, d = (t.column("component").to_numpy() for t in (left, right))
+        edges: set[tuple[int, int]] = set()
         for lo in range(0, len(x), 64):
             away = np.zeros((len(x[lo : lo + 64]), len(y)), np.uint8)
             for k in range(symbols):
                 away += x[lo : lo + 64, k, None] != y[None, :, k]
             p, q = np.nonzero((away <= limit) & (c[lo : lo + 64, None] != d[None, :]))
-            found.append((i[lo + p], j[q]))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            edges.update(map(tuple, np.unique(np.stack([c[lo + p], d[q]], axis=1), axis=0).tolist()))
+        parent: dict[int, int] = {}
+
+        def find(a: int) -> int:
+            while parent.setdefault(a, a) != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            return a
+
+        kept = []
+        for a, b in sorted(edges):
+            if (r := find(a)) != (t := find(b)):
+                parent[r] = t
+                kept.append((a, b))
+        return pa.table([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], schema=schema)
 
     return run
 
@@ -235,14 +350,14 @@ def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
     members = written(keys.join(shared, "key", "left_semi"), "members")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    central = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("central"))
+    central = written(members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("central")), "central")
     leaders = written(members.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("top")).select("key", (-F.col("top.least")).alias("leader")), "leaders")
     pairs = members.join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
     sig = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
     close = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(within(limit, symbols), "a long, b long")
-    links = verified(close, docs, words, percent)
+    close = written(close, "close")
+    found = written(components(close), "components")
     # What the leaders leave open.
-    found = written(components(links), "components")
     own = F.coalesce("component", "id")
     placed = members.join(found, "id", "left").select("key", "id", own.alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
@@ -254,10 +369,14 @@ def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     left = rest.where("component <> head").withColumn("block", block).withColumn("other", every).select("key", "block", "other", "id", "component", "sig")
     right = rest.withColumn("other", block).withColumn("block", every).select("key", "block", "other", "id", "component", "sig")
     by = ["key", "block", "other"]
-    more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(comparer(limit, symbols), "a long, b long").distinct()
-    more = verified(more, docs, words, percent)
+    more = written(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(comparer(limit, symbols), "a long, b long").distinct(), "more")
     if not more.isEmpty():
-        found = written(components(links.unionByName(more)), "components")
+        found = written(components(close.unionByName(more)), "families")
+    # A family's leader is its most central document.
+    families = found.withColumnRenamed("component", "family").join(nodes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id").join(central, "id", "left")
+    top = families.groupBy("family").agg(F.max(F.struct(F.coalesce("central", F.lit(0)).alias("c"), (-F.col("id")).alias("least"))).alias("top")).select("family", (-F.col("top.least")).alias("leader"))
+    links = exact_links(families.drop("central").join(top, "family"), docs, words, percent)
+    found = written(components(links), "components")
     groups = nodes.select("h1", "h2", "n_shingles", "id").join(found, "id", "left").select("h1", "h2", F.col("n_shingles").alias("n"), own.alias("component_id"))
     empty = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = sets.join(groups.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
