@@ -271,12 +271,14 @@ def exact_links(families: DataFrame, docs: DataFrame, words: int, percent: int)
     lead = large.where("id = leader").select("family", F.col("set").alias("lead"))
     near = large.join(lead, "family").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "set", "lead")
     near = written(near.mapInArrow(with_leader(percent), "a long, b long"), "near")
-    marked = large.join(near.select(F.col("a").alias("id"), F.lit(True).alias("is_near")), "id", "left").withColumn("linked", F.coalesce("is_near", F.col("id") == F.col("leader")))
+    marked = large.join(near.select(F.col("a").alias("id"), F.lit(True).alias("is_near")), "id", "left")
+    marked = written(marked.withColumn("linked", F.coalesce("is_near", F.col("id") == F.col("leader"))).drop("is_near"), "marked")
     rest = marked.where("NOT linked")
     parts = rest.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("parts"))
     cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rest.join(parts, "family").withColumn("part", cut(F.col("parts"))).withColumn("block", every(F.col("blocks"))).select("family", "part", "block", "id", "set")
+    left = left.toDF(*left.columns)
     right = marked.join(parts, "family").withColumn("block", cut(F.col("blocks"))).withColumn("part", every(F.col("parts"))).select("family", "part", "block", "id", "set", "linked")
     by = ["family", "part", "block"]
     more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(percent), "a long, b long")
