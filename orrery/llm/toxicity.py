@@ -14,7 +14,7 @@ the models did not see (two folds), turns these into the score.
 
 Training uses labelled rows only, at most ``max_per_class`` of each class in the
 order of a hash of the identifier and ``max_chars`` characters in all; that bounds
-what the driver holds and what is sent to workers. Scoring reads every text
+the one task that fits the models and what is sent to workers. Scoring reads every text
 whole.
 
 Edge cases: null counts as empty; a text without words gets the score of a text
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from orrery.llm.shared import table, written
 WORD = re.compile(r"[^\W\d_]+")
 STEM, DISCOUNT, MIN_CONTEXTS, MIN_DOCS, CLIP = 5, 0.75, 2, 3, 6.0
 WINDOW = 8
-MAX_PER_CLASS, MAX_CHARS = 2500, 24_000_000
+MAX_PER_CLASS, MAX_CHARS = 2500, 12_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -53,23 +54,21 @@ def log_ratio(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 class Models:
     """Both models as log-likelihood ratios (toxic over ordinary) for stems, words and bigrams."""
 
-    def __init__(self, texts: list[list[str]], toxic: np.ndarray):
-        ids: dict[str, int] = {}
-        docs = [np.array([ids.setdefault(w, len(ids)) for w in t], np.int64) for t in texts]
-        n = len(ids)
-        vocabulary = list(ids)
+    def __init__(self, texts: list[np.ndarray], names: list[str], toxic: np.ndarray):
+        """texts: places of each text's words in ``names``."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        used, flat = np.unique(np.concatenate(texts), return_inverse=True)
+        n, vocabulary = len(used), [names[k] for k in used.tolist()]
         stems: dict[str, int] = {}
         stem = np.array([stems.setdefault(w[:STEM], len(stems)) for w in vocabulary], np.int64)
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        sizes = np.array([len(d) for d in docs], np.int64)
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        before = np.concatenate([[n], flat[:-1]])
-        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]] = n  # the start of a text
-        of_class = toxic.astype(np.int64)[doc]
-        # A bigram counts once in each text: repeated lines are one piece of evidence.
-        key = before * (n + 1) + flat
-        seen = np.unique(np.stack([of_class, key, doc]), axis=1) if len(flat) else np.zeros((3, 0), np.int64)
-        pair, count = np.unique(seen[:2], axis=1, return_counts=True)
+        before = np.concatenate([[n], flat[:-1]]) if len(flat) else flat
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = n  # the start of a text
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        # A bigram counts once in each text: repeated lines are one piece of evidence. One number for class, bigram and text.
+        seen = np.unique((toxic.astype(np.int64)[doc] * (n + 1) ** 2 + before * (n + 1) + flat) * len(texts) + doc)
+        both, count = np.unique(seen // len(texts), return_counts=True)
+        pair = (both // (n + 1) ** 2, both % (n + 1) ** 2)
+        del seen, doc, before, flat
         in_class = [pair[0] == c for c in (0, 1)]
         contexts = np.stack([np.bincount(pair[1][m] % (n + 1), minlength=n) for m in in_class]).astype(float)
         # Stems: words of each class, and of both.
@@ -92,7 +91,7 @@ class Models:
         place[keep] = np.arange(len(keep))
         self.words = {vocabulary[k]: i for i, k in enumerate(keep.tolist())}
         # Ratios of words, then of stems, then of anything else.
-        self.first_stem, self.stem_place = len(keep), None
+        self.first_stem = len(keep)
         self.ratio = np.concatenate([log_ratio(by_word[1][keep], by_word[0][keep]), stem_ratio, [self.unknown]])
         # Bigrams in enough texts, given their first word, interpolated with the word's own probability.
         both, where = np.unique(pair[1], return_inverse=True)
@@ -162,18 +161,20 @@ class Scorer:
         if not len(y) or y.all() or not y.any():
             self.share = float(y.mean()) if len(y) else 0.0
             return
-        words = [words_of(t) for t in texts]
+        names: dict[str, int] = {}
+        words = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+        vocabulary = list(names)
         fold = np.zeros(len(y), int)
         for c in (False, True):
             fold[y == c] = np.arange((y == c).sum()) % 2
         x = np.zeros((len(y), 3))
         for f in (0, 1):
             if y[fold != f].any() and not y[fold != f].all():
-                seen = Models([w for w, g in zip(words, fold, strict=True) if g != f], y[fold != f])
+                seen = Models([w for w, g in zip(words, fold, strict=True) if g != f], vocabulary, y[fold != f])
                 for k in np.flatnonzero(fold == f):
-                    x[k] = seen.evidence(words[k])
+                    x[k] = seen.evidence([vocabulary[i] for i in words[k].tolist()])
         self.beta = logistic(x, y.astype(float), np.where(y, 1.0, odds))
-        self.models = Models(words, y)
+        self.models = Models(words, vocabulary, y)
 
     def __call__(self, text: str | None) -> float:
         if self.models is None:
@@ -182,7 +183,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> Packed:
     """A scorer from the labelled rows of ``docs``; leave out beforehand what it must not see."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = written(marked, "labels")
@@ -194,18 +195,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids = part if ids is None else ids.unionByName(part)
     # At most 2 * max_per_class rows.
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
-    rows = written(rows.select("id", "y", "text", order.alias("place"), F.char_length("text").alias("chars")), "labelled")
-    sizes = rows.select("y", "place", "id", "chars").collect()
-    chosen, left = [], {0: max_chars // 2, 1: max_chars // 2}
-    for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):
-        if r["chars"] <= left[r["y"]]:
-            left[r["y"]] -= r["chars"]
-            chosen.append(r["id"])
-    picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in chosen], "id " + dict(rows.dtypes)["id"])), "id", "left_semi").collect() if chosen else []
-    picked.sort(key=lambda r: (r["place"], r["id"], r["text"]))
-    here = {c: max(1, sum(r["y"] == c for r in picked)) for c in (0, 1)}
-    odds = (n.get(0, 0) / here[0]) / max(1e-9, n.get(1, 0) / here[1]) if n.get(1) else 1.0
-    return Scorer([r["text"] for r in picked], [r["y"] for r in picked], odds)
+    rows = written(rows.select("y", "text", order.alias("place"), "id"), "labelled")
+    fitted = rows.repartition(1).sortWithinPartitions("place", "id", "text").mapInArrow(fitter(max_chars, n), "model binary").collect()
+    return Packed(bytes(fitted[0]["model"]))
+
+
+def fitter(max_chars: int, labels: dict[int, int]):
+    """One task's rows (y, text) to a scorer: each class has half of the characters. labels: number of each class in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, texts, y = {0: max_chars // 2, 1: max_chars // 2}, [], []
+        for batch in batches:
+            for c, text in zip(batch.column(0), batch.column(1), strict=True):
+                c = c.as_py()
+                if len(t := text.as_py()) <= left[c]:
+                    left[c] -= len(t)
+                    texts.append(t), y.append(c)
+        here = {c: max(1, y.count(c)) for c in (0, 1)}
+        odds = (labels.get(0, 0) / here[0]) / max(1e-9, labels.get(1, 0) / here[1]) if labels.get(1) else 1.0
+        yield pa.RecordBatch.from_pydict({"model": pa.array([cloudpickle.dumps(Scorer(texts, y, odds))], pa.binary())})
+
+    return run
+
+
+class Packed:
+    """A pickled scorer; opened where it is first used, so the driver never holds it open."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.scorer = raw, None
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "scorer": None}
+
+    def __call__(self, text: str | None) -> float:
+        if self.scorer is None:
+            self.scorer = cloudpickle.loads(self.raw)
+        return self.scorer(text)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
