@@ -39,6 +39,8 @@ from orrery.llm.shared import table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM, DISCOUNT, MIN_CONTEXTS, MIN_DOCS, CLIP = 5, 0.75, 2, 3, 6.0
+#: By how much a word's context may change its ratio: copies of a few texts repeat contexts.
+CONTEXT = 1.0
 WINDOW = 8
 MAX_PER_CLASS, MAX_CHARS = 2500, 12_000_000
 
@@ -111,7 +113,8 @@ class Models:
             p[c] = np.where(h > 0, np.maximum(held[c][used] - DISCOUNT, 0) / np.maximum(h, 1), 0) + back * by_word[c][b]
         key = place[a] * (len(keep) + 1) + place[b]
         order = np.argsort(key)
-        self.pairs, self.pair_ratio = key[order], log_ratio(p[1], p[0])[order]
+        own = self.ratio[place[b]]
+        self.pairs, self.pair_ratio = key[order], np.clip(log_ratio(p[1], p[0]), own - CONTEXT, own + CONTEXT)[order]
         self.base = len(keep) + 1
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -197,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("id"))
     rows = written(rows.select("y", "text", order.alias("place"), "id"), "labelled")
     fitted = rows.repartition(1).sortWithinPartitions("place", "id", "text").mapInArrow(fitter(max_chars, n), "model binary").collect()
-    return Packed(bytes(fitted[0]["model"]))
+    return Packed(bytes(fitted[0]["model"]) if fitted else cloudpickle.dumps(Scorer([], [], 1.0)))
 
 
 def fitter(max_chars: int, labels: dict[int, int]):
