@@ -399,11 +399,11 @@ OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-s AS (
+s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
   FROM d),
-e AS (SELECT doc_id, unnest(g) AS x FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(g) AS x FROM s),
 n AS (SELECT doc_id, len(g) AS k FROM s),
 f AS (SELECT x, count(*) AS c FROM e GROUP BY x),
 r AS (
@@ -411,9 +411,8 @@ r AS (
     SELECT e.doc_id, e.x, k, row_number() OVER (PARTITION BY e.doc_id ORDER BY c, e.x) AS place FROM e JOIN f USING (x) JOIN n USING (doc_id))
   WHERE place <= k - (85 * k + 99) // 100 + 1),
 c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id),
-l AS (
-  SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b
-  WHERE 100 * len(list_intersect(p.g, q.g)) >= 85 * (len(p.g) + len(q.g) - len(list_intersect(p.g, q.g)))),
+i AS (SELECT a, b, count(*) AS n FROM c JOIN e p ON p.doc_id = a JOIN e q ON q.doc_id = b AND q.x = p.x GROUP BY a, b),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i.n >= 85 * (p.k + q.k - i.n)),
 t AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 m AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT m.a, t.b FROM m JOIN t ON m.b = t.a)
 SELECT n.doc_id, CAST(n.k AS BIGINT) AS n_shingles, min(m.b) AS component_id, min(m.b) = n.doc_id AS kept
