@@ -812,3 +812,156 @@ def variable_trajectories(s, d):
     e = s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("traj_id"), "value")
     top = stats.aggregate(e, ["traj_id"], ["mean", "std", "min", "max", "cv"]).where("cv >= 0.5").orderBy(F.desc("cv"), "traj_id").limit(20)
     return rounded(top, "mean", "std", "min", "max", "cv")
+
+
+# Selection followed by reduction: the 64 features have one partner each, residue k + 1
+
+_CYCLE = ("ALA", "GLY", "LEU", "SER")
+
+
+def _vector_meta(s, d) -> DataFrame:
+    aaa = F.element_at(F.array(*[F.lit(a) for a in _CYCLE]), (F.col("id") % 4 + 1).cast("int"))
+    label = F.when(F.col("id") % 2 == 0, F.concat((F.floor(F.col("id") / 10) + 1).cast("string"), F.lit("."), (F.col("id") % 10 + 40).cast("string")))
+    residue = F.struct(aaa.alias("aaa_code"), names.one_letter(aaa).alias("a_code"), F.col("id").cast("int").alias("index"), (F.col("id") + 1).cast("int").alias("seqid"), label.alias("consensus"), names.full_name(aaa, F.col("id") + 1, label).alias("full_name"))
+    rows = s.range(64).withColumn("residue", residue)
+    partner = F.struct("residue", F.lit(None).cast("string").alias("special_label"), F.col("residue.full_name").alias("full_name"))
+    return rows.select(F.lit("vector").alias("feature_type"), F.col("id").cast("int").alias("feature_idx"), F.array(partner).alias("partners"))
+
+
+_VM = "vm AS (SELECT i AS feature_idx, ['ALA', 'GLY', 'LEU', 'SER'][i % 4 + 1] AS aaa, i + 1 AS seqid, CASE WHEN i % 2 = 0 THEN (i // 10 + 1) || '.' || (i % 10 + 40) END AS cons FROM range(64) t(i))"
+
+
+def _labelled(s, d) -> DataFrame:
+    """Each cluster label as a trajectory of its own."""
+    return el(s, d).drop("traj_id").withColumnRenamed("label", "traj_id")
+
+
+for _m, _expr, _lo in (("std", "stddev_pop(value)", 0.11), ("range", "max(value) - min(value)", 0.5), ("max", "max(value)", 0.25), ("variance", "var_pop(value)", 0.012)):
+
+    def _post(s, d, m=_m, lo=_lo):
+        meta = _vector_meta(s, d).crossJoin(_labelled(s, d).select("traj_id").distinct())
+        kept = reduce.select_then_reduce(meta, _labelled(s, d), "seqid 10-40 and not res GLY", "distances", m, lo, cross_trajectory=False)
+        return kept.select("traj_id", F.col("feature_idx").cast("long").alias("feature_idx"), r("metric_value").alias("metric_value"))
+
+    query(f"WITH {EL}, {_VM} SELECT label AS traj_id, feature_idx::BIGINT AS feature_idx, round({_expr}, 6) AS metric_value FROM el JOIN vm USING (feature_idx) WHERE seqid BETWEEN 10 AND 40 AND aaa <> 'GLY' GROUP BY 1, 2 HAVING {_expr} >= {_lo}", f"post_selection_{_m}")(_post)
+
+
+@query(f"WITH {EL}, {_VM}, k AS (SELECT label, feature_idx FROM el JOIN vm USING (feature_idx) WHERE aaa = 'ALA' GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.1) SELECT feature_idx::BIGINT AS feature_idx, count(*) AS n FROM k WHERE feature_idx IN (SELECT feature_idx FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT label) FROM k)) GROUP BY 1")
+def post_selection_cross_trajectory(s, d):
+    meta = _vector_meta(s, d).crossJoin(_labelled(s, d).select("traj_id").distinct())
+    kept = reduce.select_then_reduce(meta, _labelled(s, d), "res ALA", "distances", "std", 0.1)
+    return kept.groupBy(F.col("feature_idx").cast("long").alias("feature_idx")).agg(F.count(F.lit(1)).alias("n"))
+
+
+for _m, _expr, _lo, _hi in (
+    ("mean", "degrees(atan2(s, c))", -170.0, -60.0),
+    ("std", "degrees(sqrt(-2 * ln(sqrt(s * s + c * c))))", 20.0, 58.0),
+    ("variance", "1 - sqrt(s * s + c * c)", 0.1, 0.4),
+    ("range", "CASE WHEN w > 180 THEN 360 - w ELSE w END", 0.0, 120.0),
+):
+
+    def _torsion(s, d, m=_m, lo=_lo, hi=_hi):
+        out = reduce.reduce_features(_angles(s, d).withColumn("feature_idx", F.lit(0)), "torsions", m, lo, hi)
+        return out.select("traj_id", r("metric_value", 5).alias("metric_value"))
+
+    query(f"WITH {EV}, a AS (SELECT traj_id, {_ANGLE} AS x FROM ev), m AS (SELECT traj_id, avg(sin(radians(x))) AS s, avg(cos(radians(x))) AS c, max(x) - min(x) AS w FROM a GROUP BY traj_id) SELECT traj_id, round({_expr}, 5) AS metric_value FROM m WHERE {_expr} BETWEEN {_lo} AND {_hi}", f"reduce_torsion_{_m}")(_torsion)
+
+
+@query(f"WITH {EV}, a AS (SELECT traj_id, frame_idx, (value > 60)::INT AS x FROM ev), b AS (SELECT traj_id, x <> lag(x) OVER (PARTITION BY traj_id ORDER BY frame_idx) AS m FROM a), c AS (SELECT traj_id, count(*) FILTER (m) AS t, count(*) AS n FROM b GROUP BY traj_id) SELECT traj_id, round(1 - t / (n - 1), 6) AS metric_value FROM c WHERE n > 1 AND 1 - t / (n - 1) >= 0.5")
+def reduce_contact_stability(s, d):
+    x = _scalar(s, d).withColumn("value", (F.col("value") > 60).cast("double"))
+    return reduce.reduce_features(x, "contacts", "stability", 0.5).select("traj_id", r("metric_value").alias("metric_value"))
+
+
+@query(f"WITH {EV}, a AS (SELECT traj_id, class <> lag(class) OVER (PARTITION BY traj_id ORDER BY frame_idx) AS m FROM ev) SELECT traj_id, round(count(*) FILTER (m) / (count(*) - 1), 6) AS metric_value FROM a GROUP BY traj_id HAVING count(*) > 1 AND count(*) FILTER (m) / (count(*) - 1) >= 0.75")
+def reduce_dssp_transition_frequency(s, d):
+    x = ev(s, d).select("traj_id", "frame_idx", F.lit(0).alias("feature_idx"), F.col("class").alias("value"))
+    return reduce.reduce_features(x, "dssp", "transition_frequency", 0.75).select("traj_id", r("metric_value").alias("metric_value"))
+
+
+# Residues, identities and catalogues
+
+
+@query(f"WITH {_SC}, {_VM}, a AS (SELECT feature_idx, avg(score) AS s FROM sc GROUP BY 1) SELECT feature_idx::BIGINT AS residue, round(s, 6) AS importance FROM a")
+def residue_importance(s, d):
+    out = structure.residue_importance(compare.average_importance(_scores(s, d)), _vector_meta(s, d))
+    return out.select(F.col("residue").cast("long").alias("residue"), r("importance").alias("importance"))
+
+
+@query(f"WITH {_SC}, a AS (SELECT feature_idx, avg(score) AS s FROM sc WHERE feature_idx < 32 GROUP BY 1) SELECT t.i AS atom_idx, round(coalesce(s / (SELECT max(s) FROM a), 0), 6) AS beta FROM range(128) t(i) LEFT JOIN a ON feature_idx = t.i // 2")
+def beta_factors(s, d):
+    scores = compare.average_importance(_scores(s, d).where("feature_idx < 32"))
+    atoms = s.range(128).select(F.col("id").alias("atom_idx"), F.floor(F.col("id") / 2).alias("residue_index"))
+    return rounded(structure.beta_factors(structure.residue_importance(scores, _vector_meta(s, d)), atoms).select("atom_idx", "beta"), "beta")
+
+
+@query("WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 200), x AS (SELECT k AS residue, k AS f FROM p UNION ALL SELECT k + 1, k FROM p) SELECT residue, string_agg(f::VARCHAR, ',' ORDER BY f) AS features, count(*) > 1 AS shared FROM x WHERE f % 3 <> 0 AND residue <= (SELECT max(p_partkey) FROM part) GROUP BY residue")
+def residue_overlaps(s, d):
+    meta = _meta(s, d).where("feature_idx < 200")
+    out = structure.residue_features(meta.where("feature_idx % 3 <> 0").select("feature_idx"), meta)
+    return out.select(F.col("residue").cast("long").alias("residue"), F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"), "shared")
+
+
+@query(f"WITH {_VM} SELECT feature_idx::BIGINT AS index FROM vm WHERE seqid BETWEEN (SELECT min(seqid) FROM vm WHERE cons LIKE '%2.4%') AND (SELECT max(seqid) FROM vm WHERE cons LIKE '%4.4%')")
+def consensus_range(s, d):
+    res = _vector_meta(s, d).select(F.lit(0).alias("traj_id"), F.explode("partners").alias("p")).select("traj_id", "p.residue.*")
+    return language.consensus_range(res, "*2.4*", "*4.4*").select(F.col("index").cast("long").alias("index"))
+
+
+@query("SELECT count(*) AS n FROM range(64) t(i) WHERE i % 5 <> 0")
+def common_identities(s, d):
+    meta = _vector_meta(s, d)
+    both = meta.withColumn("traj_id", F.lit(0)).unionByName(meta.where("feature_idx % 5 <> 0").withColumn("traj_id", F.lit(1)))
+    return select.common_identities(both).where("traj_id = 0").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TAGS} SELECT traj_id, array_to_string(CASE WHEN traj_id <= 5 THEN ['only'] ELSE tags END, ',') AS tags FROM dim")
+def set_tags(s, d):
+    return select.add_tags(_dim(s, d), "0-5", ["only"], replace=True).select("traj_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"WITH {EV}, n AS (SELECT max(frame_idx) + 1 AS k FROM ev WHERE traj_id = 1) SELECT frame_idx, round(value, 6) AS value FROM ev WHERE traj_id = 1 UNION ALL SELECT frame_idx + k, round(value, 6) FROM ev, n WHERE traj_id = 2")
+def join_trajectories(s, d):
+    e = ev(s, d).select("traj_id", "frame_idx", "value")
+    return rounded(select.join_trajectories(e.where("traj_id = 1"), e.where("traj_id = 2")).select("frame_idx", "value"), "value")
+
+
+@query("SELECT a.vec_id AS frame_idx, round(list_sum(a.embedding::DOUBLE[]) + list_sum(b.embedding[1:3]::DOUBLE[]), 6) AS total, 67 AS n FROM embeddings a JOIN embeddings b USING (vec_id)")
+def stack_trajectories(s, d):
+    a = vf(s, d).select("frame_idx", F.col("features").alias("xyz"))
+    out = select.stack_trajectories(a, a.withColumn("xyz", F.slice("xyz", 1, 3)))
+    return out.select("frame_idx", r(stats.array_sum(F.col("xyz"))).alias("total"), F.size("xyz").alias("n"))
+
+
+@query(f"WITH {_TAGS} SELECT traj_id, frame_idx FROM (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events) JOIN dim USING (traj_id) WHERE frame_idx >= 10")
+def frames_out_of_range(s, d):
+    return select.out_of_range(ev(s, d).select("traj_id", "frame_idx"), _dim(s, d)).join(_dim(s, d).select("traj_id"), "traj_id", "left_semi")
+
+
+@query(f'WITH {_PT}, {_HIST}, f AS (SELECT -0.001987204 * 300 * ln(p / (SELECT max(p) FROM c)) AS e FROM c) SELECT 0.0::DOUBLE AS low, round(quantile_cont(e, 0.99), 6) AS high FROM f')
+def energy_range(s, d):
+    out = plotdata.energy_range(plotdata.energy(plotdata.histogram(_points(s, d), 10)))
+    return out.select(F.col("low").cast("double").alias("low"), r("high").alias("high"))
+
+
+@query(f"WITH {EL}, k AS (SELECT label, abs(value) AS density FROM el WHERE feature_idx = 0) SELECT label, round(quantile_cont(density, 0.2), 6) AS p20, round(quantile_cont(density, 0.4), 6) AS p40, round(quantile_cont(density, 0.6), 6) AS p60, round(quantile_cont(density, 0.8), 6) AS p80 FROM k GROUP BY label HAVING count(*) >= 3")
+def cluster_density_levels(s, d):
+    x = el(s, d).where("feature_idx = 0").select("label", F.abs("value").alias("density"))
+    return rounded(plotdata.cluster_levels(x), "p20", "p40", "p60", "p80")
+
+
+@query(f"WITH {_SC}, top AS (SELECT feature_idx, row_number() OVER (ORDER BY avg(score) DESC, feature_idx)::INT AS rank FROM sc GROUP BY 1 QUALIFY rank <= 3), {_SEL} SELECT selector, t.feature_idx, t.rank, round(avg(value), 6) AS mean, count(*) AS n FROM el JOIN top t ON t.feature_idx = el.feature_idx JOIN sel USING (frame_idx) GROUP BY 1, 2, 3")
+def top_feature_values(s, d):
+    top = compare.top_averaged(_scores(s, d), 3)
+    x = plotdata.top_feature_values(el(s, d).drop("label").withColumn("feature_idx", F.col("feature_idx").cast("long")), _selectors(s, d), top)
+    return x.groupBy("selector", "feature_idx", F.col("rank").cast("int").alias("rank")).agg(r(F.avg("value")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV} SELECT traj_id, round(max(value) - min(value), 6) AS ptp, count(*) AS n FROM ev GROUP BY traj_id")
+def user_aggregate(s, d):
+    """Any function of a pandas Series as aggregate."""
+    import numpy as np
+
+    e = ev(s, d)
+    out = stats.aggregate_with(e, ["traj_id"], np.ptp, to="ptp")
+    return rounded(out.join(e.groupBy("traj_id").agg(F.count(F.lit(1)).alias("n")), "traj_id"), "ptp")
