@@ -146,9 +146,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: ``docs`` rows as often as their leaf's epochs take them."""
     taken = mix(docs, document_levels(), share=SHARE, max_epochs=EPOCHS, seed=SEED, weights=WEIGHTS)
     # Repeated input rows are taken together, each of them once an epoch.
-    times = taken.select("doc_id", "epoch").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("times_"))
-    joined = docs.join(times.withColumnRenamed("doc_id", "id_"), F.col("doc_id").eqNullSafe(F.col("id_")))
-    return joined.withColumn("time_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = taken.select(F.col("doc_id").alias("__id"), "epoch").distinct().groupBy("__id").agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _level_sql(i: int) -> str:

@@ -43,3 +43,26 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_stages_take_nulls_and_other_columns(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    schema = docs.schema
+    odd = [(None, None, None, None, None), (1000, None, "en", None, 0), (1001, "a b c d e f", None, "src1", None), (1001, "a b c d e f", None, "src1", None), (1002, "", "en", "src1", 0)]
+    more = docs.unionByName(spark.createDataFrame(odd, schema))
+    for c in ("id", "id_", "key", "kept", "component_id", "n_tokens", "score", "epoch", "domain", "h1", "exact", "a", "b", "set"):
+        more = more.withColumn(c, F.lit(1))
+    more = more.cache()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, more, FOLDER)
+        rows = got.collect()
+        assert rows, name
+        if name != "bpe":
+            assert got.columns == more.columns
+        if name == "line_dedup":
+            assert len(rows) == more.count()
+        if name == "near_dedup":
+            assert sum(r["doc_id"] == 1001 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
