@@ -156,10 +156,10 @@ def burial_exposure_fraction(s, d):
     return rounded(ev(s, d).groupBy("traj_id").agg(F.avg((F.col("value") < 100).cast("double")).alias("burial"), F.avg((F.col("value") > 300).cast("double")).alias("exposure")), "burial", "exposure")
 
 
-@query(f"WITH {EL} SELECT (a.feature_idx)::BIGINT AS feature_idx, round(a.m - b.m, 6) AS difference FROM (SELECT feature_idx, avg(value) m FROM el WHERE label = 0 GROUP BY 1) a JOIN (SELECT feature_idx, avg(value) m FROM el WHERE label = 1 GROUP BY 1) b USING (feature_idx)")
+@query(f"WITH {EL} SELECT (a.feature_idx)::BIGINT AS feature_idx, round(a.m - b.m, 6) AS difference FROM (SELECT feature_idx, avg(value) m FROM el WHERE label < 5 GROUP BY 1) a JOIN (SELECT feature_idx, avg(value) m FROM el WHERE label >= 5 GROUP BY 1) b USING (feature_idx)")
 def group_differences(s, d):
     x = el(s, d)
-    return rounded(stats.differences(x.where("label = 0"), x.where("label = 1")).withColumn("feature_idx", F.col("feature_idx").cast("long")), "difference")
+    return rounded(stats.differences(x.where("label < 5"), x.where("label >= 5")).withColumn("feature_idx", F.col("feature_idx").cast("long")), "difference")
 
 
 @query(f"WITH {EL} SELECT (a.feature_idx)::BIGINT AS feature_idx, round(a.value - b.value, 6) AS difference FROM el a JOIN el b USING (feature_idx) WHERE a.frame_idx = 0 AND b.frame_idx = 7")
@@ -177,12 +177,12 @@ def rmsf_per_atom_of_coordinates(s, d):
     return stats.rmsf_of_triples(el(s, d)).select(F.col("atom").cast("long").alias("atom"), r("rmsf").alias("rmsf"))
 
 
-# A pair list of 10 residues: 45 pairs, taken from the first 45 features.
-_PAIRS = "p AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS feature_idx FROM range(10) t(i), range(10) u(j) WHERE i < j)"
+# The 64 features as a list of pairs of 12 residues (two pairs have none).
+_PAIRS = "p AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS feature_idx FROM range(12) t(i), range(12) u(j) WHERE i < j)"
 
 
 def _pairs(s) -> DataFrame:
-    ids = s.range(10)
+    ids = s.range(12)
     p = ids.select(F.col("id").alias("i")).crossJoin(ids.select(F.col("id").alias("j"))).where("i < j")
     return p.withColumn("feature_idx", F.row_number().over(Window.orderBy("i", "j")) - 1)
 
@@ -196,14 +196,14 @@ def per_residue_stats(s, d):
     return rounded(out.withColumn("sum", r("sum", 4)), "mean", "std", "min", "max", "median")
 
 
-@query(f"WITH {_PAIRS} SELECT i, j, (10 * i - i * (i + 1) // 2 + j - i - 1)::BIGINT AS place FROM p")
+@query(f"WITH {_PAIRS} SELECT i, j, (12 * i - i * (i + 1) // 2 + j - i - 1)::BIGINT AS place FROM p")
 def condensed_index(s, d):
-    return _pairs(s).select("i", "j", stats.condensed_index(F.col("i"), F.col("j"), F.lit(10)).alias("place"))
+    return _pairs(s).select("i", "j", stats.condensed_index(F.col("i"), F.col("j"), F.lit(12)).alias("place"))
 
 
-@query(f"WITH {_PAIRS}, v AS (SELECT i, j, value FROM p JOIN (SELECT feature_idx, value FROM (WITH {EL} SELECT * FROM el) WHERE frame_idx = 0) USING (feature_idx)) SELECT i, j, round(value, 6) AS value FROM v UNION ALL SELECT j, i, round(value, 6) FROM v UNION ALL SELECT i, i, 0.0 FROM range(10) t(i)")
+@query(f"WITH {_PAIRS}, {EL}, v AS (SELECT i, j, avg(value) AS value FROM p JOIN el USING (feature_idx) GROUP BY i, j) SELECT i, j, round(value, 6) AS value FROM v UNION ALL SELECT j, i, round(value, 6) FROM v UNION ALL SELECT DISTINCT i, i, 0.0 FROM (SELECT i FROM v UNION ALL SELECT j FROM v)")
 def squareform(s, d):
-    v = el(s, d).where("frame_idx = 0").select("feature_idx", "value").join(_pairs(s), "feature_idx")
+    v = el(s, d).groupBy("feature_idx").agg(F.avg("value").alias("value")).join(_pairs(s), "feature_idx")
     return rounded(stats.to_square(v).select("i", "j", "value"), "value")
 
 
@@ -268,57 +268,62 @@ def moving_average_zero_pad(s, d):
     return rounded(windows.moving_average(ev(s, d), 5), "smoothed")
 
 
-_SG = "WINDOW w AS (PARTITION BY traj_id ORDER BY frame_idx)"
+@query(f"""WITH {EV}, a AS (SELECT traj_id, frame_idx AS f, count(*) OVER (PARTITION BY traj_id) AS n, value AS x, lag(value) OVER w AS a1, lag(value, 2) OVER w AS a2, lag(value, 3) OVER w AS a3, lag(value, 4) OVER w AS a4,
+lead(value) OVER w AS b1, lead(value, 2) OVER w AS b2, lead(value, 3) OVER w AS b3, lead(value, 4) OVER w AS b4 FROM ev WINDOW w AS (PARTITION BY traj_id ORDER BY frame_idx))
+SELECT traj_id, f AS frame_idx, round(CASE WHEN f >= 2 AND f < n - 2 THEN -3 * a2 + 12 * a1 + 17 * x + 12 * b1 - 3 * b2 WHEN f = 0 THEN 31 * x + 9 * b1 - 3 * b2 - 5 * b3 + 3 * b4 WHEN f = n - 1 THEN 31 * x + 9 * a1 - 3 * a2 - 5 * a3 + 3 * a4
+WHEN f = 1 THEN 9 * a1 + 13 * x + 12 * b1 + 6 * b2 - 5 * b3 WHEN f = n - 2 THEN 9 * b1 + 13 * x + 12 * a1 + 6 * a2 - 5 * a3 END / 35, 6) AS smoothed FROM a""")
+def savitzky_golay(s, d):
+    return rounded(windows.savitzky_golay(ev(s, d), 5, 2), "smoothed")
 
 
-@query(f"""WITH {EV}, a AS (SELECT traj_id, frame_idx, count(*) OVER (PARTITION BY traj_id) AS n, (-3 * lag(value, 2) OVER w + 12 * lag(value) OVER w + 17 * value + 12 * lead(value) OVER w - 3 * lead(value, 2) OVER w) / 35 AS x FROM ev {_SG})
-SELECT traj_id, frame_idx, round(x, 6) AS smoothed FROM a WHERE frame_idx >= 2 AND frame_idx < n - 2""")
-def savitzky_golay_inner(s, d):
-    n = F.count(F.lit(1)).over(Window.partitionBy("traj_id"))
-    out = windows.savitzky_golay(ev(s, d), 5, 2).withColumn("n", n).where("frame_idx >= 2 AND frame_idx < n - 2")
-    return rounded(out.select("traj_id", "frame_idx", "smoothed"), "smoothed")
+def xyz(s: SparkSession, d: str) -> DataFrame:
+    """The 64 features as 22 atoms; the last one's y and z are 0."""
+    return vf(s, d).withColumn("features", F.concat("features", F.array(F.lit(0.0), F.lit(0.0))))
+
+
+XF = "vf AS (SELECT vec_id AS frame_idx, label, list_concat(embedding::DOUBLE[], [0.0::DOUBLE, 0.0::DOUBLE]) AS v FROM embeddings)"
 
 
 def _sq(a: str, b: str) -> str:
-    """Squared distance of each of 21 atoms (63 of 64 features) of two lists."""
-    return f"list_transform(range(0, 21), lambda k: ({a}[3*k+1]-{b}[3*k+1])**2 + ({a}[3*k+2]-{b}[3*k+2])**2 + ({a}[3*k+3]-{b}[3*k+3])**2)"
+    """Squared distance of each atom of two lists."""
+    return f"list_transform(range(0, 22), lambda k: ({a}[3*k+1]-{b}[3*k+1])**2 + ({a}[3*k+2]-{b}[3*k+2])**2 + ({a}[3*k+3]-{b}[3*k+3])**2)"
 
 
-@query(f"WITH {VF}, o AS (SELECT v AS w FROM vf WHERE frame_idx = 0), q AS (SELECT frame_idx, {_sq('v', 'w')} AS s FROM vf, o) SELECT frame_idx, round(sqrt(list_avg(s)), 6) AS mean, round(sqrt(list_median(s)), 6) AS median FROM q")
+@query(f"WITH {XF}, o AS (SELECT v AS w FROM vf WHERE frame_idx = 0), q AS (SELECT frame_idx, {_sq('v', 'w')} AS s FROM vf, o) SELECT frame_idx, round(sqrt(list_avg(s)), 6) AS mean, round(sqrt(list_median(s)), 6) AS median FROM q")
 def rmsd_to_reference(s, d):
-    a, b = (windows.rmsd_to_reference(vf(s, d), 0, 0, m).select("frame_idx", r("rmsd").alias(m)) for m in ("mean", "median"))
+    a, b = (windows.rmsd_to_reference(xyz(s, d), 0, 0, m).select("frame_idx", r("rmsd").alias(m)) for m in ("mean", "median"))
     return a.join(b, "frame_idx")
 
 
-@query(f"WITH {VF}, a AS (SELECT frame_idx, v, lead(v, 2) OVER (ORDER BY frame_idx) AS w FROM vf), q AS (SELECT frame_idx, {_sq('v', 'w')} AS s FROM a WHERE w IS NOT NULL) SELECT frame_idx, round(sqrt(list_avg(s)), 6) AS rmsd FROM q")
+@query(f"WITH {XF}, a AS (SELECT frame_idx, v, lead(v, 2) OVER (ORDER BY frame_idx) AS w FROM vf), q AS (SELECT frame_idx, {_sq('v', 'w')} AS s FROM a WHERE w IS NOT NULL) SELECT frame_idx, round(sqrt(list_avg(s)), 6) AS rmsd FROM q")
 def frame_to_frame_rmsd(s, d):
-    return windows.frame_to_frame(vf(s, d), 2).select("frame_idx", r("rmsd").alias("rmsd"))
+    return windows.frame_to_frame(xyz(s, d), 2).select("frame_idx", r("rmsd").alias("rmsd"))
 
 
-@query(f"""WITH {VF}, n AS (SELECT v, row_number() OVER (ORDER BY frame_idx) - 1 AS n, count(*) OVER () AS t FROM vf), k AS (SELECT *, n // 10 AS g FROM n WHERE n // 10 * 10 + 10 <= t),
+@query(f"""WITH {XF}, n AS (SELECT v, row_number() OVER (ORDER BY frame_idx) - 1 AS n, count(*) OVER () AS t FROM vf), k AS (SELECT *, n // 10 AS g FROM n WHERE n // 10 * 10 + 10 <= t),
 q AS (SELECT a.g, {_sq('a.v', 'b.v')} AS s FROM k a JOIN k b ON a.g = b.g AND b.n % 10 = 0 WHERE a.n % 10 > 0) SELECT g::BIGINT AS "window", round(avg(sqrt(list_avg(s))), 6) AS rmsd FROM q GROUP BY g""")
 def window_rmsd_start(s, d):
-    return windows.window_rmsd(vf(s, d), 10).select(F.col("window").cast("long").alias("window"), r("rmsd").alias("rmsd"))
+    return windows.window_rmsd(xyz(s, d), 10).select(F.col("window").cast("long").alias("window"), r("rmsd").alias("rmsd"))
 
 
-@query(f"""WITH {VF}, n AS (SELECT v, row_number() OVER (ORDER BY frame_idx) - 1 AS n, count(*) OVER () AS t FROM vf), k AS (SELECT n.*, g FROM n, (SELECT unnest(range(0, (SELECT max(t) FROM n))) AS g) WHERE n >= 4 * g AND n < 4 * g + 8 AND 4 * g + 8 <= t),
+@query(f"""WITH {XF}, n AS (SELECT v, row_number() OVER (ORDER BY frame_idx) - 1 AS n, count(*) OVER () AS t FROM vf), k AS (SELECT n.*, g FROM n, (SELECT unnest(range(0, (SELECT max(t) FROM n))) AS g) WHERE n >= 4 * g AND n < 4 * g + 8 AND 4 * g + 8 <= t),
 q AS (SELECT a.g, {_sq('a.v', 'b.v')} AS s FROM k a JOIN k b ON a.g = b.g AND b.n = a.n + 1) SELECT g::BIGINT AS "window", round(quantile_cont(sqrt(list_median(s)), 0.5), 6) AS rmsd FROM q GROUP BY g""")
 def window_rmsd_lag_median(s, d):
-    return windows.window_rmsd(vf(s, d), 8, 4, 1, "median").select(F.col("window").cast("long").alias("window"), r("rmsd").alias("rmsd"))
+    return windows.window_rmsd(xyz(s, d), 8, 4, 1, "median").select(F.col("window").cast("long").alias("window"), r("rmsd").alias("rmsd"))
 
 
-_ATOMS = f"{VF}, ats AS (SELECT frame_idx, unnest(range(0, 21)) AS atom, unnest(list_transform(range(0, 21), lambda k: v[3*k+1])) AS x, unnest(list_transform(range(0, 21), lambda k: v[3*k+2])) AS y, unnest(list_transform(range(0, 21), lambda k: v[3*k+3])) AS z FROM vf)"
+_ATOMS = f"{XF}, ats AS (SELECT frame_idx, unnest(range(0, 22)) AS atom, unnest(list_transform(range(0, 22), lambda k: v[3*k+1])) AS x, unnest(list_transform(range(0, 22), lambda k: v[3*k+2])) AS y, unnest(list_transform(range(0, 22), lambda k: v[3*k+3])) AS z FROM vf)"
 
 
 @query(f"WITH {_ATOMS}, m AS (SELECT atom, avg(x) AS x0, avg(y) AS y0, avg(z) AS z0 FROM ats GROUP BY atom), q AS (SELECT atom, (x-x0)**2 + (y-y0)**2 + (z-z0)**2 AS d FROM ats JOIN m USING (atom)) SELECT atom::BIGINT AS atom, round(sqrt(avg(d)), 6) AS mean, round(sqrt(quantile_cont(d, 0.5)), 6) AS median FROM q GROUP BY atom")
 def rmsf_per_atom(s, d):
-    a, b = (structure.rmsf(vf(s, d), "mean", m).select(F.col("atom").cast("long").alias("atom"), r("rmsf").alias(m)) for m in ("mean", "median"))
+    a, b = (structure.rmsf(xyz(s, d), "mean", m).select(F.col("atom").cast("long").alias("atom"), r("rmsf").alias(m)) for m in ("mean", "median"))
     return a.join(b, "atom")
 
 
 @query(f"WITH {_ATOMS}, m AS (SELECT atom, median(x) AS x0, median(y) AS y0, median(z) AS z0 FROM ats GROUP BY atom), q AS (SELECT atom, (x-x0)**2 + (y-y0)**2 + (z-z0)**2 AS d FROM ats JOIN m USING (atom)), f AS (SELECT atom, sqrt(avg(d)) AS f FROM q GROUP BY atom) SELECT (atom // 3)::BIGINT AS residue, round(sqrt(avg(f * f)), 6) AS rms, round(avg(f), 6) AS mean FROM f GROUP BY 1")
 def rmsf_per_residue_median_reference(s, d):
-    f = structure.rmsf(vf(s, d), "median").select("atom", "rmsf")
+    f = structure.rmsf(xyz(s, d), "median").select("atom", "rmsf")
     of = f.select("atom", F.floor(F.col("atom") / 3).alias("residue"))
     a, b = (structure.by_residue(f, of, m).select(F.col("residue").cast("long").alias("residue"), r("rmsf").alias(m)) for m in ("rms", "mean"))
     return a.join(b, "residue")
@@ -326,7 +331,7 @@ def rmsf_per_residue_median_reference(s, d):
 
 @query(f"WITH {_ATOMS} SELECT atom::BIGINT AS atom, round(avg(x), 6) AS x0, round(avg(y), 6) AS y0, round(avg(z), 6) AS z0 FROM ats GROUP BY atom")
 def mean_coordinates(s, d):
-    return rounded(structure.reference_structure(structure.atoms_long(vf(s, d))).select(F.col("atom").cast("long").alias("atom"), "x0", "y0", "z0"), "x0", "y0", "z0")
+    return rounded(structure.reference_structure(structure.atoms_long(xyz(s, d))).select(F.col("atom").cast("long").alias("atom"), "x0", "y0", "z0"), "x0", "y0", "z0")
 
 
 # Selection
@@ -361,7 +366,7 @@ def select_by_cluster(s, d):
 
 @query(f"WITH {EV} SELECT traj_id, frame_idx FROM ev WHERE (traj_id = 1 AND (frame_idx IN (1, 3) OR frame_idx BETWEEN 7 AND 9)) OR (traj_id BETWEEN 2 AND 4 AND frame_idx = 0)")
 def select_by_indices(s, d):
-    return select.by_indices(ev(s, d), _dim(s, d).where("traj_id < 1000"), {1: "1,3,7-9", "2-4": 0})
+    return select.by_indices(ev(s, d), _dim(s, d), {1: "1,3,7-9", "2-4": 0})
 
 
 @query(f"""WITH RECURSIVE {EV}, f AS (SELECT DISTINCT traj_id, frame_idx FROM ev WHERE class = 'click'),
@@ -520,14 +525,14 @@ def reduction_summary(s, d):
 
 # Features
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 60) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))), 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))), 6) AS distance FROM v a JOIN v b ON a.vec_id < b.vec_id""")
 def pairwise_distances(s, d):
-    return rounded(features.vector_distances(vf(s, d).where("frame_idx < 60")), "distance")
+    return rounded(features.vector_distances(vf(s, d)), "distance")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 60), d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT a, count(*) FILTER (d <= 1.3) AS n_contacts FROM d GROUP BY a""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT a, count(*) FILTER (d <= 1.3) AS n_contacts FROM d GROUP BY a""")
 def contacts_from_distances(s, d):
-    x = features.vector_distances(vf(s, d).where("frame_idx < 60"))
+    x = features.vector_distances(vf(s, d))
     return x.groupBy("a").agg(F.count(F.when(F.col("distance") <= 1.3, 1)).alias("n_contacts"))
 
 
@@ -536,9 +541,9 @@ def contacts_per_frame(s, d):
     return rounded(stats.contacts_per_frame(vf(s, d)).select("frame_idx", "n_contacts", "percentage"), "percentage")
 
 
-@query(f"WITH {VF} SELECT frame_idx, round(10 * list_sum(v[1:3]), 5) AS x FROM vf")
+@query(f"WITH {VF} SELECT frame_idx, round(10 * list_sum(v), 5) AS x FROM vf")
 def coordinates_scaled(s, d):
-    x = features.coordinates(vf(s, d).withColumnRenamed("features", "xyz"), [0])
+    x = features.coordinates(vf(s, d).withColumnRenamed("features", "xyz"))
     return x.select("frame_idx", r(stats.array_sum(F.col("features")), 5).alias("x"))
 
 
@@ -575,11 +580,12 @@ def residue_pairs(s, d):
 
 # Comparison and importance
 
-_SEL = "sel AS (SELECT 'c' || label AS selector, vec_id AS frame_idx FROM embeddings WHERE label < 3)"
+_SEL = "sel AS (SELECT CASE WHEN label < 4 THEN 'c0' WHEN label < 7 THEN 'c1' ELSE 'c2' END AS selector, vec_id AS frame_idx FROM embeddings)"
 
 
 def _selectors(s, d) -> DataFrame:
-    return vf(s, d).where("label < 3").select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("selector"), "traj_id", "frame_idx")
+    name = F.when(F.col("label") < 4, "c0").when(F.col("label") < 7, "c1").otherwise("c2")
+    return vf(s, d).select(name.alias("selector"), "traj_id", "frame_idx")
 
 
 for _mode, _names, _pairs_sql in (
@@ -595,12 +601,12 @@ for _mode, _names, _pairs_sql in (
     query(f"WITH {_SEL}, p(sub_comparison, selector, y) AS (VALUES {_pairs_sql}) SELECT DISTINCT sub_comparison, y, frame_idx FROM sel JOIN p USING (selector)", f"comparison_{_mode}")(_compare)
 
 
-@query(f"""WITH {EL}, x AS (SELECT feature_idx, value, (label = 1)::INT AS y FROM el WHERE label < 2), h AS (SELECT feature_idx, value, count(*) AS n, sum(y) AS p FROM x GROUP BY 1, 2),
+@query(f"""WITH {EL}, x AS (SELECT feature_idx, value, (label < 5)::INT AS y FROM el), h AS (SELECT feature_idx, value, count(*) AS n, sum(y) AS p FROM x GROUP BY 1, 2),
 c AS (SELECT feature_idx, value, sum(n) OVER w AS nl, sum(p) OVER w AS pl, sum(n) OVER (PARTITION BY feature_idx) AS n, sum(p) OVER (PARTITION BY feature_idx) AS p, lead(value) OVER (PARTITION BY feature_idx ORDER BY value) AS nxt FROM h WINDOW w AS (PARTITION BY feature_idx ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 g AS (SELECT feature_idx, (value + nxt) / 2 AS t, 2 * (p / n) * (1 - p / n) - nl / n * 2 * (pl / nl) * (1 - pl / nl) - (n - nl) / n * 2 * ((p - pl) / (n - nl)) * (1 - (p - pl) / (n - nl)) AS gain FROM c WHERE nxt IS NOT NULL)
 SELECT feature_idx::BIGINT AS feature_idx, round(gain, 6) AS gain, round(t, 6) AS threshold FROM g QUALIFY row_number() OVER (PARTITION BY feature_idx ORDER BY round(gain, 9) DESC, t) = 1""")
 def best_split_gini(s, d):
-    x = el(s, d).where("label < 2").withColumn("y", (F.col("label") == 1).cast("int"))
+    x = el(s, d).withColumn("y", (F.col("label") < 5).cast("int"))
     return rounded(compare.best_split(x).withColumn("feature_idx", F.col("feature_idx").cast("long")), "gain", "threshold")
 
 
@@ -670,38 +676,41 @@ def cluster_counts(s, d):
     return cluster.counts(vf(s, d).withColumn("label", F.col("label") - 1))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS i, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 120), p AS (SELECT a.i, a.label, b.label AS l2, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM v a JOIN v b ON a.i <> b.i),
+@query(f"""WITH v AS (SELECT vec_id AS i, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.i, a.label, b.label AS l2, sqrt({_D2.format(a='a.v', b='b.v')}) AS d FROM v a JOIN v b ON a.i <> b.i),
 m AS (SELECT i, label, l2, avg(d) AS m FROM p GROUP BY 1, 2, 3), ab AS (SELECT i, max(CASE WHEN label = l2 THEN m END) AS a, min(CASE WHEN label <> l2 THEN m END) AS b FROM m GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
 def silhouette(s, d):
-    return rounded(cluster.silhouette(vf(s, d).where("frame_idx < 120")), "silhouette")
+    return rounded(cluster.silhouette(vf(s, d)), "silhouette")
 
 
-@query(f"""WITH v AS (SELECT vec_id AS i, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 200), n AS (SELECT a.i AS id, b.label, row_number() OVER (PARTITION BY a.i ORDER BY {_D2.format(a='a.v', b='b.v')}, b.i) AS k FROM v a JOIN v b ON a.i % 2 = 1 AND b.i % 2 = 0),
+@query(f"""WITH v AS (SELECT vec_id AS i, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.i AS id, b.label, row_number() OVER (PARTITION BY a.i ORDER BY {_D2.format(a='a.v', b='b.v')}, b.i) AS k FROM v a JOIN v b ON a.label >= 5 AND b.label < 5),
 c AS (SELECT id, label, count(*) AS n FROM n WHERE k <= 5 GROUP BY 1, 2) SELECT id, label FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""")
 def knn_majority_label(s, d):
-    x = vf(s, d).where("frame_idx < 200")
-    return cluster.knn_labels(x.where("frame_idx % 2 = 1"), x.where("frame_idx % 2 = 0"))
+    x = vf(s, d)
+    return cluster.knn_labels(x.where("label >= 5"), x.where("label < 5"))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS i, embedding[1:2]::DOUBLE[] AS v FROM embeddings) SELECT a.i AS frame_idx, count(*) AS n_neighbours FROM v a JOIN v b ON {_D2.format(a='a.v', b='b.v')} <= 0.05 * 0.05 GROUP BY a.i""")
+@query(f"""WITH v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.i AS frame_idx, count(*) AS n_neighbours FROM v a JOIN v b ON {_D2.format(a='a.v', b='b.v')} <= 1.15 * 1.15 GROUP BY a.i""")
 def dbscan_neighbours(s, d):
-    x = vf(s, d).withColumn("features", F.slice("features", 1, 2))
-    return cluster.neighbours_within(x, 0.05).select("frame_idx", "n_neighbours")
+    return cluster.neighbours_within(vf(s, d), 1.15).select("frame_idx", "n_neighbours")
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON {_D2.format(a='a.v', b='b.v')} <= 1.15 * 1.15),
+c AS (SELECT a AS i FROM p GROUP BY a HAVING count(*) >= 4), e AS (SELECT p.a, p.b FROM p JOIN c x ON x.i = p.a JOIN c y ON y.i = p.b),
+m AS (SELECT i AS a, i AS b FROM c UNION SELECT m.a, e.b FROM m JOIN e ON e.a = m.b), g AS (SELECT a AS i, min(b) AS root FROM m GROUP BY a), k AS (SELECT i, dense_rank() OVER (ORDER BY root) - 1 AS label FROM g),
+n AS (SELECT p.a AS i, min(k.label) AS label FROM p JOIN k ON k.i = p.b GROUP BY p.a)
+SELECT 0 AS traj_id, v.i AS frame_idx, coalesce(k.label, n.label, -1)::INT AS label FROM v LEFT JOIN k USING (i) LEFT JOIN n USING (i)""")
 def dbscan_labels(s, d):
-    return cluster.cluster(vf(s, d).drop("label"), "dbscan", eps=1.1, min_samples=4)
+    return cluster.cluster(vf(s, d).drop("label"), "dbscan", eps=1.15, min_samples=4)
 
 
 @query()
 def hdbscan_labels(s, d):
-    return cluster.cluster(vf(s, d).drop("label"), "hdbscan", sample=500, min_cluster_size=5)
+    return cluster.cluster(vf(s, d).drop("label"), "hdbscan", min_cluster_size=5)
 
 
 @query()
 def density_peak_labels(s, d):
-    return cluster.cluster(vf(s, d).drop("label"), "dpa", sample=400, z=1.0)
+    return cluster.cluster(vf(s, d).drop("label"), "dpa", z=1.0)
 
 
 @query()
@@ -729,25 +738,25 @@ def pca_total_variance(s, d):
 
 @query()
 def kernel_pca_scores(s, d):
-    return decompose.kernel_pca(vf(s, d), 3, landmarks=200)
+    return decompose.kernel_pca(vf(s, d), 3)
 
 
 @query()
 def diffusion_map(s, d):
-    return decompose.diffusion_maps(vf(s, d).withColumn("features", F.slice("features", 1, 63)), 3, landmarks=200)
+    return decompose.diffusion_maps(xyz(s, d), 3)
 
 
-_K = f"WITH v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 40), k AS (SELECT a.i AS a, b.i AS b, exp(-0.5 * {_D2.format(a='a.v', b='b.v')}) AS k FROM v a, v b)"
+_K = f"WITH v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS v FROM embeddings), k AS (SELECT a.i AS a, b.i AS b, exp(-0.5 * {_D2.format(a='a.v', b='b.v')}) AS k FROM v a, v b)"
 
 
-@query(f"{_K} SELECT a, b, round(k - avg(k) OVER (PARTITION BY a) - avg(k) OVER (PARTITION BY b) + avg(k) OVER (), 6) AS k FROM k")
+@query(f"{_K} SELECT a, b, round(k - avg(k) OVER (PARTITION BY a) - avg(k) OVER (PARTITION BY b) + avg(k) OVER (), 6) + 0.0 AS k FROM k")
 def kernel_matrix_centered(s, d):
-    return rounded(decompose.kernel_centred(decompose.kernel_long(vf(s, d).where("frame_idx < 40"), 0.5)), "k")
+    return rounded(decompose.kernel_centred(decompose.kernel_long(vf(s, d), 0.5)), "k").withColumn("k", F.col("k") + 0.0)
 
 
 @query(f"{_K} SELECT a, b, round(k / sum(k) OVER (PARTITION BY a), 6) AS p FROM k")
 def diffusion_transition(s, d):
-    return rounded(decompose.transition_rows(decompose.kernel_long(vf(s, d).where("frame_idx < 40"), 0.5)), "p")
+    return rounded(decompose.transition_rows(decompose.kernel_long(vf(s, d), 0.5)), "p")
 
 
 # Tables for drawing
@@ -888,17 +897,17 @@ def residue_importance(s, d):
     return out.select(F.col("residue").cast("long").alias("residue"), r("importance").alias("importance"))
 
 
-@query(f"WITH {_SC}, a AS (SELECT feature_idx, avg(score) AS s FROM sc WHERE feature_idx < 32 GROUP BY 1) SELECT t.i AS atom_idx, round(coalesce(s / (SELECT max(s) FROM a), 0), 6) AS beta FROM range(128) t(i) LEFT JOIN a ON feature_idx = t.i // 2")
+@query(f"WITH {_SC}, a AS (SELECT feature_idx, avg(score) AS s FROM sc GROUP BY 1) SELECT t.i AS atom_idx, round(coalesce(s / (SELECT max(s) FROM a), 0), 6) AS beta FROM range(150) t(i) LEFT JOIN a ON feature_idx = t.i // 2")
 def beta_factors(s, d):
-    scores = compare.average_importance(_scores(s, d).where("feature_idx < 32"))
-    atoms = s.range(128).select(F.col("id").alias("atom_idx"), F.floor(F.col("id") / 2).alias("residue_index"))
+    scores = compare.average_importance(_scores(s, d))
+    atoms = s.range(150).select(F.col("id").alias("atom_idx"), F.floor(F.col("id") / 2).alias("residue_index"))
     return rounded(structure.beta_factors(structure.residue_importance(scores, _vector_meta(s, d)), atoms).select("atom_idx", "beta"), "beta")
 
 
-@query("WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 200), x AS (SELECT k AS residue, k AS f FROM p UNION ALL SELECT k + 1, k FROM p) SELECT residue, string_agg(f::VARCHAR, ',' ORDER BY f) AS features, count(*) > 1 AS shared FROM x WHERE f % 3 <> 0 AND residue <= (SELECT max(p_partkey) FROM part) GROUP BY residue")
+@query(f"WITH {_META}, t AS (SELECT feature_idx, i1, i2 FROM meta WHERE s1 BETWEEN 1 AND 20 OR s2 BETWEEN 1 AND 20), x AS (SELECT i1 AS residue, feature_idx AS f FROM t UNION ALL SELECT i2, feature_idx FROM t) SELECT residue, string_agg(f::VARCHAR, ',' ORDER BY f) AS features, count(*) > 1 AS shared FROM x GROUP BY residue")
 def residue_overlaps(s, d):
-    meta = _meta(s, d).where("feature_idx < 200")
-    out = structure.residue_features(meta.where("feature_idx % 3 <> 0").select("feature_idx"), meta)
+    meta = _meta(s, d)
+    out = structure.residue_features(language.select_features(meta, "seqid 1-20").select("feature_idx"), meta)
     return out.select(F.col("residue").cast("long").alias("residue"), F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"), "shared")
 
 
@@ -908,10 +917,10 @@ def consensus_range(s, d):
     return language.consensus_range(res, "*2.4*", "*4.4*").select(F.col("index").cast("long").alias("index"))
 
 
-@query("SELECT count(*) AS n FROM range(64) t(i) WHERE i % 5 <> 0")
+@query(f"WITH {_VM} SELECT count(*) AS n FROM vm WHERE aaa <> 'GLY'")
 def common_identities(s, d):
     meta = _vector_meta(s, d)
-    both = meta.withColumn("traj_id", F.lit(0)).unionByName(meta.where("feature_idx % 5 <> 0").withColumn("traj_id", F.lit(1)))
+    both = meta.withColumn("traj_id", F.lit(0)).unionByName(language.select_features(meta, "not res GLY").withColumn("traj_id", F.lit(1)))
     return select.common_identities(both).where("traj_id = 0").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -944,9 +953,9 @@ def energy_range(s, d):
     return out.select(F.col("low").cast("double").alias("low"), r("high").alias("high"))
 
 
-@query(f"WITH {EL}, k AS (SELECT label, abs(value) AS density FROM el WHERE feature_idx = 0) SELECT label, round(quantile_cont(density, 0.2), 6) AS p20, round(quantile_cont(density, 0.4), 6) AS p40, round(quantile_cont(density, 0.6), 6) AS p60, round(quantile_cont(density, 0.8), 6) AS p80 FROM k GROUP BY label HAVING count(*) >= 3")
+@query(f"WITH {EL}, k AS (SELECT label, abs(value) AS density FROM el) SELECT label, round(quantile_cont(density, 0.2), 6) AS p20, round(quantile_cont(density, 0.4), 6) AS p40, round(quantile_cont(density, 0.6), 6) AS p60, round(quantile_cont(density, 0.8), 6) AS p80 FROM k GROUP BY label HAVING count(*) >= 3")
 def cluster_density_levels(s, d):
-    x = el(s, d).where("feature_idx = 0").select("label", F.abs("value").alias("density"))
+    x = el(s, d).select("label", F.abs("value").alias("density"))
     return rounded(plotdata.cluster_levels(x), "p20", "p40", "p60", "p80")
 
 
