@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import circular
@@ -68,6 +68,34 @@ def mad(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     return long.join(centre, by).groupBy(*by).agg(percentile(F.abs(F.col(value) - F.col("_centre")), 0.5).alias("mad"))
 
 
+def quantiles(long: DataFrame, by: Iterable[str], at: Iterable[float], value: str = "value", bins: int = 1024) -> DataFrame:
+    """by, p, quantile: exact percentiles of groups of any size, by selection.
+
+    Where ``percentile`` holds a group's distinct values in one task, this counts values by
+    bin, finds the bins in which the ranks lie, and orders the distinct values of those
+    bins only: about the share 1 / bins of a group.
+    """
+    by, at = list(by), list(at)
+    rows = long.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_x"))
+    span = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    place = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins
+    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(span, by).withColumn("_bin", bin_)
+    order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(order)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    ranks = span.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in at]))).withColumn("_pos", (F.col("_n") - 1) * F.col("p"))
+    ranks = ranks.select(*by, "p", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"))
+    wanted = counts.join(ranks, by).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_upto"))).select(*by, "_bin", "_before", "p", "_pos", "_rank")
+    held = binned.join(wanted.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi").groupBy(*by, "_bin", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*by, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_end", F.sum("_c").over(inside))
+    rank = F.col("_rank") - F.col("_before")
+    found = wanted.join(held, [*by, "_bin"]).where((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_c")))
+    low = F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_x")))
+    high = F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_x")))
+    return found.groupBy(*by, "p").agg((low + (high - low) * (F.first("_pos") - F.floor(F.first("_pos")))).alias("quantile"))
+
+
 def aggregate_with(long: DataFrame, by: Iterable[str], func, value: str = "value", to: str = "result") -> DataFrame:
     """Any function of a pandas Series as aggregate (Arrow-batched)."""
     import pandas as pd

@@ -105,6 +105,11 @@ def traj_mad(s, d):
     return rounded(stats.aggregate(ev(s, d), ["traj_id"], ["mad"]), "mad")
 
 
+@query(f"WITH {EL} SELECT feature_idx::BIGINT AS feature_idx, 0.1::DOUBLE AS p, round(quantile_cont(value, 0.1), 6) AS quantile FROM el GROUP BY 1 UNION ALL SELECT feature_idx, 0.5, round(quantile_cont(value, 0.5), 6) FROM el GROUP BY 1 UNION ALL SELECT feature_idx, 0.9, round(quantile_cont(value, 0.9), 6) FROM el GROUP BY 1")
+def feature_quantiles_by_selection(s, d):
+    return rounded(stats.quantiles(el(s, d), ["feature_idx"], [0.1, 0.5, 0.9]).withColumn("feature_idx", F.col("feature_idx").cast("long")), "quantile")
+
+
 @query(f"""WITH {VF} SELECT frame_idx, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 6) AS std, round(list_min(v), 6) AS min, round(list_max(v), 6) AS max,
 round(list_sum(v), 6) AS sum, round(list_median(v), 6) AS median, round(list_max(v) - list_min(v), 6) AS range, round(list_var_pop(v), 6) AS variance FROM vf""")
 def frame_stats(s, d):

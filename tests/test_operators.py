@@ -28,6 +28,13 @@ def test_population_statistics_and_percentiles(spark):
     assert stats.aggregate_with(long_of(spark, {0: x}), ["feature_idx"], np.ptp).first()["result"] == 8.0
 
 
+def test_quantiles_by_selection(spark):
+    r = np.random.default_rng(0)
+    series = {0: r.normal(size=500), 1: np.repeat([1.0, 2.0, 2.0, 5.0], 50), 2: [7.0], 3: r.exponential(size=301) ** 4}
+    got = {(x["traj_id"], x["p"]): x["quantile"] for x in stats.quantiles(long_of(spark, series), ["traj_id"], [0, 0.25, 0.5, 0.99, 1], bins=16).collect()}
+    assert got == {(t, p): pytest.approx(np.quantile(v, p)) for t, v in series.items() for p in (0, 0.25, 0.5, 0.99, 1)}
+
+
 def test_transition_thresholds(spark):
     x = long_of(spark, {0: [0, 2, 2, 0, 30, 60.5], 1: [5]})
     got = {r["traj_id"]: (r["transitions"], r["n_frames"]) for r in windows.transitions_lag(x, 1, 2.0).collect()}
