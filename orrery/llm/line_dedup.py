@@ -178,12 +178,12 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, exact and near: the numbers of the lines that go, for each text that loses any."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = written(lines_of(docs, min_chars), "lines")
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end"))
+    # One row for each distinct line, summed before rows meet: a frequent line is no hot key from here on.
+    firsts = written(lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end")), "firsts")
     repeats = written(firsts.where("at != end").select("h1", "h2", "at"), "repeats")
     exact = lines.join(repeats, ["h1", "h2"]).where(place() != F.col("at")).select("doc_id", "line_no", F.lit(0).alias("kind"))
     close = sharing(lines.select(F.explode("keys").alias("key"), "h1"))
-    close = lines.join(close, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(place()).alias("at"))
-    wanted = close.select("h1", "h2", "at.doc_id", "at.line_no").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
+    wanted = firsts.join(close, "h1", "left_semi").select("h1", "h2", "at.doc_id", "at.line_no").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
 
     def pick(doc_id, text, wanted):
         found = (text or "").split("\n")
