@@ -1,4 +1,8 @@
-"""Ordered analytics within trajectories: transitions, deviation, blocks, smoothing."""
+"""Ordered analytics within trajectories: transitions, deviation, blocks, smoothing.
+
+A window orders each trajectory in one task. Where single trajectories are too long for
+that, ``block`` cuts them into blocks of frames that borrow the rows around them.
+"""
 
 from __future__ import annotations
 
@@ -14,26 +18,47 @@ def _order(by: Iterable[str]):
     return Window.partitionBy(*by).orderBy("frame_idx")
 
 
-def transitions_lag(long: DataFrame, lag: int = 1, threshold: float = 1.0, by: Iterable[str] = ("traj_id",), value: str = "value", periodic: bool = False) -> DataFrame:
+def in_blocks(rows: DataFrame, by: list[str], block: int | None, before: int = 0, after: int = 0) -> tuple[DataFrame, list[str]]:
+    """Cuts long trajectories into blocks of ``block`` frames with the frames around that a window needs.
+
+    Returns the rows with ``_own`` (false for rows that a block only borrows) and the keys to
+    order within. Frames must be numbered from 0 without gaps; without ``block`` a trajectory stays whole.
+    """
+    if block is None:
+        return rows.withColumn("_own", F.lit(True)), by
+    f = F.col("frame_idx")
+    first, last = F.greatest(F.lit(0), F.floor((f - after) / block)), F.floor((f + before) / block)
+    cut = rows.withColumn("_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    return cut.withColumn("_own", F.col("_block") == F.floor(f / block)), [*by, "_block"]
+
+
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    return rows.where("_own").groupBy(*by).agg(F.sum("_m").alias("transitions"), F.count(F.lit(1)).alias("n_frames"))
+
+
+def transitions_lag(long: DataFrame, lag: int = 1, threshold: float = 1.0, by: Iterable[str] = ("traj_id",), value: str = "value", periodic: bool = False, block: int | None = None) -> DataFrame:
     """Number of steps of ``lag`` frames that change by the threshold or more (by more than it, for angles)."""
     by = list(by)
-    d = F.col(value) - F.lag(value, lag).over(_order(by))
+    rows, keys = in_blocks(long, by, block, before=lag)
+    d = F.col(value) - F.lag(value, lag).over(_order(keys))
     moved = circular.distance(d) > threshold if periodic else F.abs(d) >= threshold
-    return long.withColumn("_m", F.coalesce(moved, F.lit(False)).cast("long")).groupBy(*by).agg(F.sum("_m").alias("transitions"), F.count(F.lit(1)).alias("n_frames"))
+    return _counted(rows.withColumn("_m", F.coalesce(moved, F.lit(False)).cast("long")), by)
 
 
-def transitions_window(long: DataFrame, size: int = 10, threshold: float = 1.0, by: Iterable[str] = ("traj_id",), value: str = "value", periodic: bool = False) -> DataFrame:
+def transitions_window(long: DataFrame, size: int = 10, threshold: float = 1.0, by: Iterable[str] = ("traj_id",), value: str = "value", periodic: bool = False, block: int | None = None) -> DataFrame:
     """Number of full windows whose range reaches the threshold; for angles, with any step above it."""
     by = list(by)
-    span = _order(by).rowsBetween(-(size - 1), 0)
-    full = F.row_number().over(_order(by)) >= size
+    rows, keys = in_blocks(long, by, block, before=size - 1)
+    order = _order(keys)
+    full = F.row_number().over(order) >= size
     if periodic:
-        step = F.coalesce((circular.distance(F.col(value) - F.lag(value).over(_order(by))) > threshold).cast("int"), F.lit(0))
-        long = long.withColumn("_s", step)
-        hit = F.sum("_s").over(_order(by).rowsBetween(-(size - 2), 0)) > 0 if size > 1 else F.lit(False)
+        step = F.coalesce((circular.distance(F.col(value) - F.lag(value).over(order)) > threshold).cast("int"), F.lit(0))
+        rows = rows.withColumn("_s", step)
+        hit = F.sum("_s").over(order.rowsBetween(-(size - 2), 0)) > 0 if size > 1 else F.lit(False)
     else:
+        span = order.rowsBetween(-(size - 1), 0)
         hit = F.max(value).over(span) - F.min(value).over(span) >= threshold
-    return long.withColumn("_m", (full & hit).cast("long")).groupBy(*by).agg(F.sum("_m").alias("transitions"), F.count(F.lit(1)).alias("n_frames"))
+    return _counted(rows.withColumn("_m", (full & hit).cast("long")), by)
 
 
 def stability(counts: DataFrame, width: int, mode: str = "lagtime", periodic: bool = False) -> DataFrame:
@@ -43,11 +68,12 @@ def stability(counts: DataFrame, width: int, mode: str = "lagtime", periodic: bo
     return counts.withColumn("stability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) if periodic else raw)
 
 
-def class_transitions(classes: DataFrame, by: Iterable[str] = ("traj_id",), column: str = "class", lag: int = 1) -> DataFrame:
+def class_transitions(classes: DataFrame, by: Iterable[str] = ("traj_id",), column: str = "class", lag: int = 1, block: int | None = None) -> DataFrame:
     """Number and rate of changes of class between frames ``lag`` apart."""
     by = list(by)
-    changed = F.col(column) != F.lag(column, lag).over(_order(by))
-    out = classes.withColumn("_m", F.coalesce(changed, F.lit(False)).cast("long")).groupBy(*by).agg(F.sum("_m").alias("transitions"), F.count(F.lit(1)).alias("n_frames"))
+    rows, keys = in_blocks(classes, by, block, before=lag)
+    changed = F.col(column) != F.lag(column, lag).over(_order(keys))
+    out = _counted(rows.withColumn("_m", F.coalesce(changed, F.lit(False)).cast("long")), by)
     return out.withColumn("rate", F.when(F.col("n_frames") > lag, F.col("transitions") / (F.col("n_frames") - lag)))
 
 
@@ -149,11 +175,12 @@ def label_blocks(labels: DataFrame, by: Iterable[str] = ("traj_id",), column: st
     return runs.groupBy(*by, "_run").agg(F.min("frame_idx").alias("start"), F.max("frame_idx").alias("end"), F.first(column).alias("label")).drop("_run")
 
 
-def moving_average(long: DataFrame, size: int, by: Iterable[str] = ("traj_id",), value: str = "value") -> DataFrame:
+def moving_average(long: DataFrame, size: int, by: Iterable[str] = ("traj_id",), value: str = "value", block: int | None = None) -> DataFrame:
     """Centred mean over ``size`` frames; frames beyond the edges count as 0."""
     left = size // 2
-    span = _order(by).rowsBetween(-left, size - 1 - left)
-    return long.select(*by, "frame_idx", (F.sum(value).over(span) / size).alias("smoothed"))
+    rows, keys = in_blocks(long, list(by), block, before=left, after=size - 1 - left)
+    span = _order(keys).rowsBetween(-left, size - 1 - left)
+    return rows.select(*by, "frame_idx", "_own", (F.sum(value).over(span) / size).alias("smoothed")).where("_own").drop("_own")
 
 
 def smoothing_width(n_frames: int, size: int) -> int:

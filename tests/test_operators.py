@@ -57,6 +57,21 @@ def test_window_transitions_range_and_steps(spark):
     assert windows.transitions_window(x, 3, 1.5, periodic=True).first()["transitions"] == 0
 
 
+@pytest.mark.parametrize("block", [3, 7, 100])
+def test_blocks_of_frames_change_nothing(spark, block):
+    r = np.random.default_rng(2)
+    x = long_of(spark, {t: r.integers(0, 6, n) * 40.0 for t, n in enumerate([1, 2, 23, 40])})
+    c = x.withColumn("class", F.col("value").cast("string"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for lag in (1, 4):
+        assert rows(windows.transitions_lag(x, lag, 80.0)) == rows(windows.transitions_lag(x, lag, 80.0, block=block))
+        assert rows(windows.class_transitions(c, lag=lag)) == rows(windows.class_transitions(c, lag=lag, block=block))
+    for size in (2, 5):
+        for periodic in (False, True):
+            assert rows(windows.transitions_window(x, size, 80.0, periodic=periodic)) == rows(windows.transitions_window(x, size, 80.0, periodic=periodic, block=block))
+        assert rows(windows.moving_average(x, size)) == rows(windows.moving_average(x, size, block=block))
+
+
 def test_moving_average_pads_with_zero(spark):
     x = long_of(spark, {0: [3, 3, 3, 3]})
     got = [r["smoothed"] for r in windows.moving_average(x, 3).orderBy("frame_idx").collect()]
