@@ -1,9 +1,11 @@
 r"""Line dedup by a deletion-neighbourhood join.
 
 Lines (cut at "\n") are compared with white space ``[\x20\x09-\x0D]`` trimmed and
-runs of it as one space. A line of ``MIN_CHARS`` or more characters goes if an
+runs of it as one space. A line of ``min_chars`` or more characters goes if an
 earlier one, by (identifier, line number), is the same or within one edit (one
-character put in, taken out or replaced). Shorter lines and blank ones stay.
+character put in, taken out or replaced). A shorter line of ``exact_chars`` or more
+goes if an earlier one is the same; yet shorter ones and blank ones stay.
+Both are ``MIN_CHARS`` unless given, as in OP6_SQL.
 
 1. Lines are digested where they are read. Equal digests: all but the earliest go.
 2. Two lines within one edit agree on all but one of any ``m`` blocks that both
@@ -87,13 +89,14 @@ def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Lines that take part: place, digest and keys with one of two blocks deleted."""
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """Lines that take part: place, digest and keys with one of two blocks deleted (none for lines too short for the near join)."""
+    least = max(1, min(min_chars, exact_chars))
 
     def make(doc_id, text):
         for k, line in enumerate((text or "").split("\n")):
-            if len(line) >= min_chars and len(line := normal(line)) >= min_chars:
-                yield doc_id, k, *digest(line), block_keys(line, 2)
+            if len(line) >= least and len(line := normal(line)) >= least:
+                yield doc_id, k, *digest(line), block_keys(line, 2) if len(line) >= min_chars else []
 
     return docs.mapInArrow(lambda batches: rows_of(batches, LINES, make), ddl(LINES))
 
@@ -174,10 +177,10 @@ def near(texts: DataFrame) -> DataFrame:
     return pairs.where(apart.between(0, 1)).select(F.col("line_h1").alias("h1"), F.col("line_h2").alias("h2")).distinct()
 
 
-def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, exact and near: the numbers of the lines that go, for each text that loses any."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(lines_of(docs, min_chars), "lines")
+    lines = written(lines_of(docs, min_chars, exact_chars), "lines")
     # One row for each distinct line, summed before rows meet: a frequent line is no hot key from here on.
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end")), "firsts")
     repeats = written(firsts.where("at != end").select("h1", "h2", "at"), "repeats")
@@ -202,15 +205,15 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return each.groupBy("doc_id").agg(of(0).alias("exact"), of(1).alias("near"))
 
 
-def with_dropped(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    gone = dropped_lines(df, id_col, text_col, min_chars)
+def with_dropped(df: DataFrame, id_col: str, text_col: str, min_chars: int, exact_chars: int) -> DataFrame:
+    gone = dropped_lines(df, id_col, text_col, min_chars, exact_chars)
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
     return df.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``df`` with the lines that go taken out of ``text_col``; all rows and columns stay."""
-    joined = with_dropped(df, id_col, text_col, min_chars).select(*[F.col(f"`{c}`") for c in df.columns], "__exact", "__near")
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
+    """``df`` with the lines that go taken out of ``text_col``; all rows and columns stay. ``exact_chars=1``: repeats of short lines go too."""
+    joined = with_dropped(df, id_col, text_col, min_chars, exact_chars).select(*[F.col(f"`{c}`") for c in df.columns], "__exact", "__near")
     at = df.columns.index(text_col)
 
     def strip(text, exact, close):
@@ -238,7 +241,7 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_exact and n_near (lines that go), and the digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = with_dropped(docs, "doc_id", "text", MIN_CHARS)
+    joined = with_dropped(docs, "doc_id", "text", MIN_CHARS, MIN_CHARS)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_exact", pa.int64()), ("n_near", pa.int64()), ("kept_sha256", pa.string())])
 
     def make(doc_id, text, exact, close):

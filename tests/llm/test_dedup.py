@@ -93,6 +93,12 @@ def test_lines(spark):
     assert got[200] is None and got[205] == "" and got[None] == ""
 
 
+def test_short_lines(spark):
+    rows = [(1, "And ornd.\n\nLes.\n\n Les."), (2, "And  ornd.\nAnd ornt.\nx"), (3, "a line of sixteen or more\nLes.\nx"), (4, "a line of sixteen or mare\n \n")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows), exact_chars=1).collect()}
+    assert got == {1: "And ornd.\n\nLes.\n", 2: "And ornt.\nx", 3: "a line of sixteen or more", 4: " \n"}
+
+
 def test_lines_keep_columns_and_rows(spark):
     df = frame(spark, [(1, "a line of the same words\nb"), (1, "a line of the same words\nb"), (2, "a line of the same words")])
     got = line_dedup.dedup_lines(df)
