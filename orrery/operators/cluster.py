@@ -1,8 +1,10 @@
 """Clustering of frames, cluster centres and quality.
 
-Density methods need neighbours of all points. They run on a sample of at most
-``SAMPLE`` rows on the driver; all other rows take the majority label of their nearest
-sampled neighbours, in Arrow batches. Centres and counts are aggregates over all rows.
+Density methods need neighbours of all points. DBSCAN runs in tables, over pairs of
+blocks of rows; the other two run on the driver over all rows, whose memory grows with
+the rows (times neighbours) and whose time grows with their square. Only if a sample is
+asked for do rows beyond it take the majority label of their nearest sampled neighbours,
+in Arrow batches. Centres and counts are aggregates over all rows.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators.blocks import block_pairs, blocks_of, components, kept, linked, matrix, within
 from orrery.operators.decompose import rows_of
 from orrery.operators.stats import percentile
 
-SAMPLE = 5000
 NOISE = -1
+#: Rows of a slice of distances to all rows.
+STEP = 256
+NO_LABEL = 2**31 - 1
 
 
 def pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -51,19 +56,25 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     n = len(x)
     if n < 2:
         return np.full(n, NOISE)
-    d = pair_distances(x, x)
-    core = np.sort(d, axis=1)[:, min(n - 1, (min_samples or min_cluster_size) - 1)]
-    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
-    inside, best, source, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
-    at = 0
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], source[closer] = reach[at][closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        edges.append((best[at], source[at], at))
+    place, core = min(n - 1, (min_samples or min_cluster_size) - 1), np.empty(n)
+    for k in range(0, n, STEP):
+        core[k : k + STEP] = np.partition(pair_distances(x[k : k + STEP], x), place, axis=1)[:, place]
+    # Rows not in the tree yet stay packed at the front, so a step reads them only.
+    left, y, square, edges = np.arange(1, n), x[1:].copy(), (x[1:] ** 2).sum(1), []
+    near, best, source, at = core[1:].copy(), np.full(n - 1, np.inf), np.zeros(n - 1, int), 0
+    for m in range(n - 1, 0, -1):
+        d = np.sqrt(np.maximum(square[:m] + (x[at] ** 2).sum() - 2 * (y[:m] @ x[at]), 0))
+        reach = np.maximum(np.maximum(near[:m], core[at]), d)
+        closer = reach < best[:m]
+        best[:m][closer], source[:m][closer] = reach[closer], at
+        least = np.flatnonzero(best[:m] == best[:m].min())
+        k = least[left[least].argmin()]
+        at = int(left[k])
+        edges.append((best[k], source[k], at))
+        for part in (left, y, square, near, best, source):
+            part[k] = part[m - 1]
     edges.sort(key=lambda e: e[0])
-    parent, members, children, height = list(range(2 * n - 1)), {i: [i] for i in range(n)}, {}, {}
+    parent, size, children, height = list(range(2 * n - 1)), [1] * n, {}, {}
 
     def find(a: int) -> int:
         while parent[a] != a:
@@ -74,27 +85,39 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     for k, (w, a, b) in enumerate(edges):
         a, b, new = find(int(a)), find(int(b)), n + k
         parent[a] = parent[b] = new
-        children[new], height[new], members[new] = (a, b), w, members[a] + members[b]
+        children[new], height[new] = (a, b), w
+        size.append(size[a] + size[b])
+
+    def members(node: int) -> list[int]:
+        found, todo = [], [node]
+        while todo:
+            c = todo.pop()
+            if c < n:
+                found.append(c)
+            else:
+                todo += children[c]
+        return found
+
     # Condense: a split counts if both sides are large enough.
     rate = lambda w: 1 / max(w, 1e-12)
     tree: dict[int, dict] = {}
     stack, numbers = [(2 * n - 2, 0, 0.0)], 1
-    tree[0] = {"born": 0.0, "mass": 0.0, "kids": [], "rows": members[2 * n - 2]}
+    tree[0] = {"born": 0.0, "mass": 0.0, "kids": [], "node": 2 * n - 2}
     while stack:
         node, label, _ = stack.pop()
         while node >= n:
             a, b = children[node]
-            lam, big = rate(height[node]), [c for c in (a, b) if len(members[c]) >= min_cluster_size]
+            lam, big = rate(height[node]), [c for c in (a, b) if size[c] >= min_cluster_size]
             if len(big) == 2:
-                tree[label]["mass"] += len(members[node]) * (lam - tree[label]["born"])
+                tree[label]["mass"] += size[node] * (lam - tree[label]["born"])
                 for c in big:
-                    tree[numbers] = {"born": lam, "mass": 0.0, "kids": [], "rows": members[c]}
+                    tree[numbers] = {"born": lam, "mass": 0.0, "kids": [], "node": c}
                     tree[label]["kids"].append(numbers)
                     stack.append((c, numbers, lam))
                     numbers += 1
                 break
             lost = [c for c in (a, b) if c not in big]
-            tree[label]["mass"] += sum(len(members[c]) for c in lost) * (lam - tree[label]["born"])
+            tree[label]["mass"] += sum(size[c] for c in lost) * (lam - tree[label]["born"])
             if not big:
                 break
             node = big[0]
@@ -120,14 +143,30 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
             score[label] = below
     chosen.discard(0)
     labels = np.full(n, NOISE)
-    for k, label in enumerate(sorted(chosen, key=lambda c: min(tree[c]["rows"]))):
-        labels[tree[label]["rows"]] = k
+    for k, rows in enumerate(sorted((members(tree[c]["node"]) for c in chosen), key=min)):
+        labels[rows] = k
     return labels
 
 
+def nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and distances of each row itself and its k nearest others, ties by number."""
+    n = len(x)
+    order, near = np.empty((n, k + 1), np.int32), np.empty((n, k + 1))
+    for at in range(0, n, STEP):
+        d = pair_distances(x[at : at + STEP], x)
+        own = np.arange(len(d))
+        d[own, at + own] = -1
+        found = np.sort(np.argpartition(d, k, axis=1)[:, : k + 1], axis=1) if k + 1 < n else np.tile(np.arange(n), (len(d), 1))
+        held = np.take_along_axis(d, found, 1)
+        by = np.argsort(held, axis=1, kind="stable")
+        order[at : at + STEP] = np.take_along_axis(found, by, 1)
+        near[at : at + STEP] = np.maximum(np.take_along_axis(held, by, 1), 0)
+    return order, near
+
+
 def intrinsic_dimension(x: np.ndarray, share: float = 0.9) -> float:
     """From the ratio of the distances to the two nearest neighbours."""
-    d = np.sort(pair_distances(x, x), axis=1)[:, 1:3]
+    d = nearest(x, 2)[1][:, 1:]
     mu = np.sort(d[:, 1] / np.maximum(d[:, 0], 1e-12))
     k = max(1, int(share * len(mu)))
     f = np.arange(1, len(mu) + 1) / len(mu)
@@ -143,42 +182,48 @@ def density_peaks(x: np.ndarray, z: float = 1.0, k_max: int = 100, halos: bool =
     if n < 5:
         return np.zeros(n, int)
     dim = max(1.0, intrinsic_dimension(x))
-    d = pair_distances(x, x)
-    order = np.argsort(d, axis=1, kind="stable")
-    near = np.take_along_axis(d, order, 1)
     k_max = min(k_max, n - 2)
-    unit = pi ** (dim / 2) / np.exp(lgamma(dim / 2 + 1))
-    volume = unit * near**dim
-    size, rho, err = np.zeros(n, int), np.zeros(n), np.zeros(n)
-    for i in range(n):
-        k = 3
-        while k < k_max:
-            j = order[i, k + 1]
-            vi, vj = max(volume[i, k], 1e-300), max(volume[j, k], 1e-300)
-            if -2 * k * (log(vi) + log(vj) - 2 * log(vi + vj) + log(4)) > 23.928:
-                break
-            k += 1
-        size[i], rho[i] = k, log(k) - log(max(volume[i, k], 1e-300)) - log(n)
-        err[i] = np.sqrt((4 * k + 2) / ((k - 1) * k))
+    order, near = nearest(x, k_max + 1)
+    log_unit = dim / 2 * log(pi) - lgamma(dim / 2 + 1)
+    log_volume = lambda i, k: np.maximum(log_unit + dim * np.log(np.maximum(near[i, k], 1e-300)), log(1e-300))
+    # All points grow together; a point stops at its first shell that differs.
+    size, growing = np.full(n, min(3, k_max)), np.arange(n) if k_max > 3 else np.zeros(0, int)
+    for k in range(3, k_max):
+        vi, vj = log_volume(growing, k), log_volume(order[growing, k + 1], k)
+        growing = growing[-2 * k * (vi + vj - 2 * np.logaddexp(vi, vj) + log(4)) <= 23.928]
+        size[growing] = k + 1
+    rho = np.log(size) - log_volume(np.arange(n), size) - log(n)
+    err = np.sqrt((4 * size + 2) / ((size - 1) * size))
     g = rho - err
     ranked = np.argsort(-g, kind="stable")
     place = np.empty(n, int)
     place[ranked] = np.arange(n)
-    up = np.full(n, -1)
+    # Whether a point has a higher neighbour, and whether it is in a higher point's neighbourhood.
+    has_higher, under, up = np.zeros(n, bool), np.zeros(n, bool), np.full(n, -1)
+    for i in range(n):
+        around = order[i, 1 : size[i] + 1]
+        under[around[place[around] > place[i]]] = True
+        higher = place[order[i]] < place[i]
+        has_higher[i] = higher[1 : size[i] + 1].any()
+        if higher.any():
+            up[i] = order[i, higher.argmax()]
+    # Points higher than all they hold of neighbours look among all higher ones.
+    for i in ranked[1:]:
+        if up[i] < 0:
+            better = ranked[: place[i]]
+            up[i] = better[pair_distances(x[i : i + 1], x[better])[0].argmin()]
     labels, peaks = np.full(n, -1), []
     for i in ranked:
-        higher = [j for j in order[i, 1 : size[i] + 1] if place[j] < place[i]]
-        if not higher and not any(i in order[j, 1 : size[j] + 1] for j in ranked[: place[i]]):
+        if not has_higher[i] and not under[i]:
             labels[i] = len(peaks)
             peaks.append(i)
         else:
-            better = ranked[: place[i]]
-            up[i] = better[d[i, better].argmin()]
             labels[i] = labels[up[i]]
     m = len(peaks)
     saddle, saddle_err = np.full((m, m), -np.inf), np.zeros((m, m))
     for i in range(n):
-        for j in order[i, 1 : size[i] + 1]:
+        around = order[i, 1 : size[i] + 1]
+        for j in around[labels[around] != labels[i]]:
             a, b = labels[i], labels[j]
             if a != b:
                 low = i if g[i] < g[j] else j
@@ -216,12 +261,68 @@ def density_peaks(x: np.ndarray, z: float = 1.0, k_max: int = 100, halos: bool =
 METHODS = {"dbscan": dbscan, "hdbscan": hdbscan, "dpa": density_peaks}
 
 
-def cluster(frames: DataFrame, method: str = "dbscan", sample: int = SAMPLE, neighbors: int = 5, features: str = "features", **options) -> DataFrame:
-    """traj_id, frame_idx, label of every frame; frames beyond the sample by majority of their neighbours in it."""
+def dbscan_tables(frames: DataFrame, eps: float = 0.5, min_samples: int = 5, features: str = "features") -> DataFrame:
+    """As ``dbscan`` over all rows: neighbours counted, cores linked and borders joined over pairs of blocks."""
+    import pandas as pd
+
+    key = ["traj_id", "frame_idx"]
+    frames = frames.select(F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), features)
+    blocks = blocks_of(frames, features)
+    if not blocks:
+        return frames.select(*key, F.lit(NOISE).alias("label"))
+
+    def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        near = within(matrix(a, features), matrix(b, features), eps)
+        sides = [a[key].assign(n=near.sum(1))] + ([] if a is b else [b[key].assign(n=near.sum(0))])
+        return pd.concat(sides)
+
+    n = block_pairs(frames, blocks, counted, "traj_id int, frame_idx long, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+    rows = kept(frames.join(n, key), "counted")
+
+    def stars(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        near = within(matrix(a, features), matrix(b, features), eps)
+        left, right = linked(near, np.ascontiguousarray(near.T))
+        both = a[key].assign(c=left) if a is b else pd.concat([a[key].assign(c=left), b[key].assign(c=right)])
+        both = both[both["c"] >= 0].sort_values(key)
+        first = both.groupby("c")[key].transform("first").set_axis(["to_traj", "to_frame"], axis=1)
+        both = pd.concat([both[key], first], axis=1) if len(both) else pd.DataFrame({c: [] for c in [*key, "to_traj", "to_frame"]})
+        return both[(both["traj_id"] != both["to_traj"]) | (both["frame_idx"] != both["to_frame"])]
+
+    cores = rows.where(F.col("n") >= min_samples)
+    found = block_pairs(cores, blocks, stars, "traj_id int, frame_idx long, to_traj int, to_frame long")
+    own = F.struct("traj_id", "frame_idx")
+    edges = found.select(own.alias("u"), F.struct(F.col("to_traj").alias("traj_id"), F.col("to_frame").alias("frame_idx")).alias("v")).distinct()
+    root = components(kept(edges, "stars")).select("u.traj_id", "u.frame_idx", F.col("v").alias("root"))
+    rooted = kept(cores.select(*key).join(root, key, "left").select(*key, F.coalesce("root", own).alias("root")), "rooted")
+    numbers = rooted.select("root").distinct().orderBy("root").rdd.zipWithIndex().map(lambda r: (r[0][0][0], r[0][0][1], r[1]))
+    numbers = frames.sparkSession.createDataFrame(numbers, "traj_id int, frame_idx long, label int").select(own.alias("root"), "label")
+    labelled = kept(rooted.join(numbers, "root").select(*key, "label"), "cores")
+
+    def joined(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x, y in [(a, b)] if a is b else [(a, b), (b, a)]:
+            x, y = x[x["label"] < 0], y[y["label"] >= 0]
+            if len(x) and len(y):
+                least = np.where(within(matrix(x, features), matrix(y, features), eps), y["label"].to_numpy()[None], NO_LABEL).min(1)
+                out.append(x[key].assign(label=least)[least < NO_LABEL])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*key, "label"]})
+
+    rest = rows.where((F.col("n") < min_samples) & (F.col("n") > 1)).withColumn("label", F.lit(NOISE))
+    met = cores.join(labelled, key).unionByName(rest)
+    border = block_pairs(met.select(*key, features, "label"), blocks, joined, "traj_id int, frame_idx long, label int").groupBy(*key).agg(F.min("label").alias("label"))
+    return frames.select(*key).join(labelled.unionByName(border), key, "left").select(*key, F.coalesce("label", F.lit(NOISE)).alias("label"))
+
+
+def cluster(frames: DataFrame, method: str = "dbscan", sample: int | None = None, neighbors: int = 5, features: str = "features", **options) -> DataFrame:
+    """traj_id, frame_idx, label of every frame, from all frames; with a sample, frames beyond it by majority of their neighbours in it."""
     import pandas as pd
 
+    if sample is None and method == "dbscan":
+        return dbscan_tables(frames, features=features, **options)
     keys, x = rows_of(frames, features, sample)
     labels = METHODS[method](x, **options) if len(x) else np.zeros(0, int)
+    if sample is None:
+        return frames.sparkSession.createDataFrame([(t, f, v) for (t, f), v in zip(keys, labels.tolist(), strict=True)], "traj_id int, frame_idx long, label int")
     known = {k: int(v) for k, v in zip(keys, labels.tolist(), strict=True)}
     used = labels != NOISE
     land, land_labels = x[used], labels[used]

@@ -277,6 +277,30 @@ def test_clusters(spark, method, options):
     assert cluster.cluster(frames, method, sample=90, **options).count() == len(x)
 
 
+def test_dbscan_over_all_rows(spark, monkeypatch):
+    from orrery.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    r = np.random.default_rng(2)
+    x = np.concatenate([np.stack([np.linspace(0, 6, 150), np.zeros(150)], 1), r.normal(3, 0.4, (150, 2)), r.uniform(-5, 9, (100, 2)), np.full((20, 2), 20.0)])
+    x = x[r.permutation(len(x))]
+    rows = [(i % 2, i // 2, v.tolist()) for i, v in enumerate(x)]
+    frames = spark.createDataFrame(rows, "traj_id int, frame_idx long, features array<double>")
+    got = {(r[0], r[1]): r[2] for r in cluster.cluster(frames, "dbscan", eps=0.3, min_samples=5).collect()}
+    rows.sort()
+    want = cluster.dbscan(np.array([v for _, _, v in rows]), 0.3, 5)
+    assert [got[t, f] for t, f, _ in rows] == want.tolist() and (want == -1).sum() > 20 and want.max() > 1
+
+
+@pytest.mark.parametrize(("method", "options"), [("dbscan", {"eps": 0.4, "min_samples": 4}), ("hdbscan", {"min_cluster_size": 8})])
+def test_noise_of_more_than_5000_rows(spark, method, options):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(0, 0.5, (5300, 2)), r.normal(8, 0.1, (12, 2)), [[30.0 + 5 * k, -30.0] for k in range(6)]])
+    frames = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "traj_id int, frame_idx long, features array<double>")
+    labels = np.array([r["label"] for r in cluster.cluster(frames, method, **options).orderBy("frame_idx").collect()])
+    assert len(set(labels[5300:5312])) == 1 and labels[5300] >= 0 and labels[5300] not in labels[:5300] and (labels[5312:] == -1).all()
+
+
 def test_centres(spark):
     x = blobs()
     frames = spark.createDataFrame([(0, i, v.tolist(), min(i // 40, 2) if i < 120 else -1) for i, v in enumerate(x)], "traj_id int, frame_idx long, features array<double>, label int")
