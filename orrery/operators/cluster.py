@@ -384,27 +384,55 @@ def nearest_to_centre(frames: DataFrame, features: str = "features", how: str =
     return best.select("label", "b.traj_id", "b.frame_idx", F.col("b.d").alias("distance"))
 
 
-def density_peak_centres(frames: DataFrame, features: str = "features", k: int = 8, sample: int = 2000) -> DataFrame:
+def density_peak_centres(frames: DataFrame, features: str = "features", k: int = 8) -> DataFrame:
     """The member with the most others within the median distance to the k-th neighbour; small clusters take the centroid.
 
-    Each cluster is judged on at most ``sample`` members.
+    All members of a cluster meet, in pairs of blocks; ties go to the first frame.
     """
     import pandas as pd
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("traj_id", "frame_idx"), "traj_id", "frame_idx")
-    held = frames.where("label >= 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["traj_id", "frame_idx"], ignore_index=True)
-        x = np.stack(batch[features].to_numpy()).astype(float)
-        if len(x) < k:
-            at = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-        else:
-            d = pair_distances(x, x)
-            at = int((d <= np.median(np.sort(d, axis=1)[:, k - 1])).sum(1).argmax())
-        return pd.DataFrame({"label": [batch["label"][at]], "traj_id": [batch["traj_id"][at]], "frame_idx": [batch["frame_idx"][at]]})
+    key = ["traj_id", "frame_idx"]
+    rows = frames.where("label >= 0").select("label", F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col(features).alias("features"))
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sized = rows.join(sizes, "label")
+    small = nearest_to_centre(sized.where(F.col("size") < k)).select("label", *key)
+    large = kept(sized.where(F.col("size") >= k).drop("size"), "members")
+    blocks = blocks_of(large, "features")
+    if not blocks:
+        return small
+
+    def sides(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+        """Members of one cluster in both blocks."""
+        for label in sorted(set(a["label"]) & set(b["label"])):
+            x, y = a[a["label"] == label], b[b["label"] == label]
+            yield from [(x, y)] if a is b else [(x, y), (y, x)]
+
+    def nearby(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in ["label", *key, "d"]})]
+        for left, right in sides(a, b):
+            x, y = matrix(left, "features"), matrix(right, "features")
+            m, d = min(k, len(y)), np.empty((len(x), min(k, len(y))))
+            for at in range(0, len(x), STEP):
+                found = np.argpartition(pair_distances(x[at : at + STEP], y), m - 1, axis=1)[:, :m]
+                d[at : at + STEP] = np.sqrt(((x[at : at + STEP, None] - y[found]) ** 2).sum(2))
+            out.append(left[["label", *key]].assign(d=list(d)))
+        return pd.concat(out[1:] or out)
+
+    found = block_pairs(large, blocks, nearby, "label int, traj_id int, frame_idx long, d array<double>")
+    reach = found.groupBy("label", *key).agg(F.sort_array(F.flatten(F.collect_list("d")))[k - 1].alias("reach"))
+    # Wider by a rounding, so that a member whose own reach is the median counts its k-th neighbour.
+    radii = kept(reach.groupBy("label").agg((percentile(F.col("reach"), 0.5) * (1 + 1e-12)).alias("radius")), "radii")
 
-    return held.select("label", "traj_id", "frame_idx", features).groupBy("label").applyInPandas(run, "label int, traj_id int, frame_idx long")
+    def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c: [] for c in ["label", *key, "n"]})]
+        for left, right in sides(a, b):
+            near = within(matrix(left, "features"), matrix(right, "features"), float(left["radius"].iloc[0]))
+            out.append(left[["label", *key]].assign(n=near.sum(1)))
+        return pd.concat(out[1:] or out)
+
+    n = block_pairs(large.join(radii, "label"), blocks, counted, "label int, traj_id int, frame_idx long, n long").groupBy("label", *key).agg(F.sum("n").alias("n"))
+    best = n.groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("m"), *key)).alias("b"))
+    return best.select("label", "b.traj_id", "b.frame_idx").unionByName(small)
 
 
 def centres(frames: DataFrame, method: str = "centroid", features: str = "features") -> DataFrame:

@@ -315,6 +315,18 @@ def test_centres(spark):
     assert cluster.silhouette(frames.where("label = 0")).first()[0] is None
 
 
+def test_density_peak_centre_of_all_members(spark):
+    r = np.random.default_rng(3)
+    x, label = r.standard_normal((2600, 3)), np.repeat([0, 1, 2], [2500, 95, 5])
+    frames = spark.createDataFrame([(0, i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label, strict=True))], "traj_id int, frame_idx long, features array<double>, label int")
+    got = {r["label"]: r["frame_idx"] for r in cluster.density_peak_centres(frames).collect()}
+    for c in (0, 1):
+        at = np.flatnonzero(label == c)
+        d = cluster.pair_distances(x[at], x[at])
+        assert got[c] == at[(d <= np.median(np.sort(d, axis=1)[:, 7]) * (1 + 1e-12)).sum(1).argmax()]
+    assert got[2] == 2595 + ((x[2595:] - x[2595:].mean(0)) ** 2).sum(1).argmin()
+
+
 def test_tree():
     r = np.random.default_rng(0)
     x = r.standard_normal((300, 4))
