@@ -1,8 +1,10 @@
 """Dimensionality reduction: PCA, kernel PCA, diffusion maps.
 
 Statistics over frames (means, cross products) are aggregates in Spark; only matrices of
-features by features, or of landmarks by landmarks, reach the driver. Kernels between all
-frames are blocked joins; above ``EXACT`` frames landmarks take their place.
+features by features, of landmarks by landmarks, or of frames by a few vectors reach the
+driver. Up to ``EXACT`` frames a kernel matrix is decomposed there; beyond, the same
+eigenvectors come from products of the kernel with blocks of vectors, over pairs of blocks
+of frames. Landmarks take the frames' place only if asked for.
 """
 
 from __future__ import annotations
@@ -13,7 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXACT, LANDMARKS, SEED = 4000, 1000, 42
+from orrery.operators.blocks import block_pairs, blocks_of, kept, matrix
+
+EXACT, SEED = 4000, 42
+#: Vectors of a product, products at most, and the residual (relative to the largest value) at which they end.
+WIDE, PRODUCTS, RESIDUAL = 16, 40, 1e-8
 
 
 def moments(frames: DataFrame, features: str = "features") -> tuple[int, np.ndarray, np.ndarray]:
@@ -140,17 +146,75 @@ def projected(frames: DataFrame, features: str, land: np.ndarray, load: np.ndarr
     return frames.select("traj_id", "frame_idx", features).mapInPandas(run, "traj_id int, frame_idx long, comps array<double>")
 
 
+def leading(product, n: int, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues and vectors of a symmetric matrix given by its products (block Lanczos, all vectors kept orthogonal)."""
+    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, min(WIDE, n))))[0]
+    basis, images = q, product(q)
+    for _ in range(PRODUCTS):
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:components]
+        values, turn = values[order], turn[:, order]
+        left = images @ turn - basis @ turn * values
+        if np.linalg.norm(left, axis=0).max() <= RESIDUAL * np.abs(values).max() or basis.shape[1] >= n:
+            return values, basis @ turn
+        q = images[:, -q.shape[1] :]
+        for _ in range(2):
+            q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+        q = q[:, : n - basis.shape[1]]
+        basis, images = np.hstack([basis, q]), np.hstack([images, product(q)])
+    raise RuntimeError(f"eigenvectors not settled after {PRODUCTS} products")
+
+
+class KernelProducts:
+    """Products of a kernel between all frames with vectors; ``of(a, b)`` gives the kernel of two blocks."""
+
+    def __init__(self, frames: DataFrame, features: str, of):
+        self.keys = sorted((r[0], r[1]) for r in frames.select("traj_id", "frame_idx").collect())
+        self.of, self.spark = of, frames.sparkSession
+        at = self.spark.createDataFrame([(t, f, k) for k, (t, f) in enumerate(self.keys)], "traj_id int, frame_idx long, at long")
+        self.rows = kept(frames.select("traj_id", "frame_idx", F.col(features).alias("v")).join(at, ["traj_id", "frame_idx"]), "kernel")
+        self.blocks = blocks_of(self.rows, "v")
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        import pandas as pd
+
+        of, sent = self.of, self.spark.sparkContext.broadcast(q)
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            k, i, j = of(matrix(a, "v"), matrix(b, "v")), a["at"].to_numpy(), b["at"].to_numpy()
+            parts = [pd.DataFrame({"at": i, "p": list(k @ sent.value[j])})]
+            return pd.concat(parts if a is b else [*parts, pd.DataFrame({"at": j, "p": list(k.T @ sent.value[i])})])
+
+        out = np.zeros_like(q)
+        parts = block_pairs(self.rows, self.blocks, run, "at long, p array<double>")
+        summed = parts.groupBy("at").agg(*[F.sum(F.col("p")[c]).alias(f"p{c}") for c in range(q.shape[1])]).toPandas()
+        out[summed["at"].to_numpy()] = summed[[f"p{c}" for c in range(q.shape[1])]].to_numpy()
+        sent.destroy()
+        return out
+
+    def frame(self, values: np.ndarray) -> DataFrame:
+        return self.spark.createDataFrame([(t, f, s) for (t, f), s in zip(self.keys, values.tolist(), strict=True)], "traj_id int, frame_idx long, comps array<double>")
+
+
 def kernel_pca(frames: DataFrame, components: int = 5, gamma: float | str = "scale", landmarks: int | None = None, features: str = "features") -> DataFrame:
-    """RBF kernel PCA: exact up to ``EXACT`` frames, by landmarks (whitened afterwards) beyond or if asked for."""
+    """RBF kernel PCA over all frames; by landmarks (whitened afterwards) only if asked for."""
     g = gamma_of(frames, gamma, features)
-    if landmarks is None and frames.count() <= EXACT:
+    n = 0 if landmarks else frames.count()
+    if landmarks is None and n > EXACT:
+        products = KernelProducts(frames, features, lambda a, b: kernel(a, b, g))
+        middle = lambda q: q - q.mean(0)
+        values, vectors = leading(lambda q: middle(products(middle(q))), n, components)
+        used = values > 1e-10
+        return products.frame(signed(vectors[:, used]) * np.sqrt(values[used]))
+    if landmarks is None:
         keys, x = rows_of(frames, features)
         values, vectors = np.linalg.eigh(centred(kernel(x, x, g)))
         order = np.argsort(values)[::-1][:components]
         order = order[values[order] > 1e-10]
         scores = signed(vectors[:, order]) * np.sqrt(values[order])
         return frames.sparkSession.createDataFrame([(t, f, s) for (t, f), s in zip(keys, scores.tolist(), strict=True)], "traj_id int, frame_idx long, comps array<double>")
-    _, land = rows_of(frames, features, landmarks or LANDMARKS)
+    _, land = rows_of(frames, features, landmarks)
     values, vectors = np.linalg.eigh(kernel(land, land, g))
     keep = values > 1e-8
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -181,10 +245,35 @@ def epsilon_of(x: np.ndarray) -> float:
     return max(float(np.median(d)) ** 2, 1e-5)
 
 
+def epsilon_of_all(frames: DataFrame, features: str, n: int) -> float:
+    """``epsilon_of`` over pairs of blocks; a row's k nearest of each block meet again."""
+    import pandas as pd
+
+    k = min(n - 1, max(20, n // 100)) + 1
+    rows = kept(frames.select("traj_id", "frame_idx", F.col(features).alias("v")), "frames")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d, out = rmsd_matrix(matrix(a, "v"), matrix(b, "v")), []
+        for side, x in [(a, d)] if a is b else [(a, d), (b, d.T)]:
+            m = min(k, x.shape[1])
+            out.append(side[["traj_id", "frame_idx"]].assign(d=list(np.partition(x, m - 1, axis=1)[:, :m])))
+        return pd.concat(out)
+
+    found = block_pairs(rows, blocks_of(rows, "v"), run, "traj_id int, frame_idx long, d array<double>")
+    reach = found.groupBy("traj_id", "frame_idx").agg(F.sort_array(F.flatten(F.collect_list("d")))[k - 1].alias("d"))
+    return max(float(np.median(reach.select("d").toPandas()["d"])) ** 2, 1e-5)
+
+
 def diffusion_maps(frames: DataFrame, components: int, epsilon: float | None = None, landmarks: int | None = None, features: str = "features") -> DataFrame:
-    """Leading eigenvectors of the diffusion operator, the trivial one left out; other frames by their landmarks' weights."""
-    small = landmarks is None and frames.count() <= EXACT
-    keys, x = rows_of(frames, features, None if small else landmarks or LANDMARKS)
+    """Leading eigenvectors of the diffusion operator, the trivial one left out; with landmarks, other frames by their weights."""
+    small, n = landmarks is None, 0 if landmarks else frames.count()
+    if small and n > EXACT:
+        eps = epsilon_of_all(frames, features, n) if epsilon is None else epsilon
+        products = KernelProducts(frames, features, lambda a, b: np.exp(-(rmsd_matrix(a, b) ** 2) / eps))
+        root = 1 / np.sqrt(products(np.ones((n, 1))))
+        _, vectors = leading(lambda q: root * products(root * q), n, components + 1)
+        return products.frame(signed(vectors[:, 1:] * root))
+    keys, x = rows_of(frames, features, landmarks)
     eps = epsilon_of(x) if epsilon is None else epsilon
     k = np.exp(-(rmsd_matrix(x, x) ** 2) / eps)
     root = 1 / np.sqrt(k.sum(1))

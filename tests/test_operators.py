@@ -260,6 +260,21 @@ def test_pca_and_kernels(spark):
     assert decompose.diffusion_maps(frames, 2).count() == 200 and decompose.diffusion_maps(frames, 2, landmarks=60).count() == 200
 
 
+def test_kernels_of_many_frames_as_of_few(spark, monkeypatch):
+    from orrery.operators import blocks
+
+    r = np.random.default_rng(4)
+    x = r.standard_normal((300, 6)) @ np.diag([3.0, 2.0, 1.4, 1.0, 0.5, 0.2])
+    frames = spark.createDataFrame([(i % 2, i // 2, v.tolist()) for i, v in enumerate(x)], "traj_id int, frame_idx long, features array<double>")
+    few = {}
+    for exact in (4000, 100):
+        monkeypatch.setattr(decompose, "EXACT", exact)
+        monkeypatch.setattr(blocks, "ROWS", 128)
+        for name, run in (("kernel", decompose.kernel_pca), ("diffusion", decompose.diffusion_maps)):
+            got = np.array([r["comps"] for r in run(frames, 3).orderBy("traj_id", "frame_idx").collect()])
+            assert np.allclose(few.setdefault(name, got), got, atol=1e-6 * np.abs(got).max())
+
+
 def blobs(n=40):
     r = np.random.default_rng(1)
     return np.concatenate([r.normal(c, 0.1, (n, 2)) for c in ([0, 0], [3, 3], [0, 4])] + [[[10.0, -10.0]]])
