@@ -174,7 +174,43 @@ def intrinsic_dimension(x: np.ndarray, share: float = 0.9) -> float:
     return float((a @ b) / max(a @ a, 1e-12))
 
 
-def density_peaks(x: np.ndarray, z: float = 1.0, k_max: int = 100, halos: bool = False) -> np.ndarray:
+def corrected(near: np.ndarray, size: np.ndarray, dim: float) -> np.ndarray:
+    """Log density of each point times the volume of its size[i] neighbours.
+
+    Maximises the likelihood of the shells' volumes v_l, sum of F + a l - exp(F + a l) v_l,
+    by Newton steps from F = log k, a = 0; where that fails, log k stays.
+    """
+    out = np.log(size)
+    for i, k in enumerate(size):
+        reach = near[i, k]
+        if k < 2 or reach <= 0:
+            continue
+        # Volumes as parts of the whole one, places as parts of k.
+        v, u = np.diff((near[i, : k + 1] / reach) ** dim), np.arange(1, k + 1) / k
+        f, a = out[i], 0.0
+        value = k * f + a * u.sum() - (np.exp(f + a * u) * v).sum()
+        for _ in range(100):
+            w = np.exp(f + a * u) * v
+            s0, s1, s2 = w.sum(), w @ u, w @ u**2
+            g0, g1, det = k - s0, u.sum() - s1, s0 * s2 - s1 * s1
+            if not det > 1e-12 * s0 * s2:
+                break
+            df, da = (s2 * g0 - s1 * g1) / det, (s0 * g1 - s1 * g0) / det
+            if max(abs(df), abs(da)) < 1e-9:
+                out[i] = f
+                break
+            step = 1.0
+            while step > 1e-6:
+                with np.errstate(over="ignore"):
+                    new = k * (f + step * df) + (a + step * da) * u.sum() - (np.exp(f + step * df + (a + step * da) * u) * v).sum()
+                if new >= value - 1e-9 * abs(value):
+                    break
+                step /= 2
+            f, a, value = f + step * df, a + step * da, new
+    return out
+
+
+def density_peaks(x: np.ndarray, z: float = 1.0, k_max: int = 1000, halos: bool = False) -> np.ndarray:
     """Density-peak clusters: point-adaptive densities with errors, peaks merged unless a saddle is deep enough."""
     from math import lgamma, log, pi
 
@@ -192,7 +228,7 @@ def density_peaks(x: np.ndarray, z: float = 1.0, k_max: int = 100, halos: bool =
         vi, vj = log_volume(growing, k), log_volume(order[growing, k + 1], k)
         growing = growing[-2 * k * (vi + vj - 2 * np.logaddexp(vi, vj) + log(4)) <= 23.928]
         size[growing] = k + 1
-    rho = np.log(size) - log_volume(np.arange(n), size) - log(n)
+    rho = corrected(near, size, dim) - log_volume(np.arange(n), size) - log(n)
     err = np.sqrt((4 * size + 2) / ((size - 1) * size))
     g = rho - err
     ranked = np.argsort(-g, kind="stable")

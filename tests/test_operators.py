@@ -330,6 +330,18 @@ def test_centres(spark):
     assert cluster.silhouette(frames.where("label = 0")).first()[0] is None
 
 
+def test_density_peaks_correction_and_neighbours():
+    import inspect
+
+    assert inspect.signature(cluster.density_peaks).parameters["k_max"].default == 1000
+    # Shells that grow (density falls outwards): the density at the point is above k over the volume.
+    shells = np.concatenate([[0.0], np.cumsum(np.exp(0.02 * np.arange(1, 101)))])
+    got = cluster.corrected(shells[None] / shells[-1], np.array([100]), 1.0)[0]
+    assert got == pytest.approx(np.log(shells[-1]), abs=0.05) and got > np.log(100) + 0.5
+    even = cluster.corrected(np.linspace(0, 1, 101)[None], np.array([100]), 1.0)[0]
+    assert even == pytest.approx(np.log(100))
+
+
 def test_density_peak_centre_of_all_members(spark):
     r = np.random.default_rng(3)
     x, label = r.standard_normal((2600, 3)), np.repeat([0, 1, 2], [2500, 95, 5])
