@@ -109,6 +109,12 @@ def test_secret_network():
     assert [len(every) for _, every in found] == [1, 0]
 
 
+def test_secret_beside_a_base_span():
+    key = "ghx_" + "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5"
+    [(base, every)] = secrets.scan_texts(["see 0123456789abcdef/" + key + " here"], secrets.train())
+    assert len(base) == 1 and [(a, b) for a, k, b in every if secrets.KINDS[k] == "learned"] == [(base[0][2], 21 + len(key))]
+
+
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
