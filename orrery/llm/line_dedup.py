@@ -1,11 +1,10 @@
 r"""Line dedup by a deletion-neighbourhood join.
 
 Lines (cut at "\n") are compared with white space ``[\x20\x09-\x0D]`` trimmed and
-runs of it as one space. A line of ``min_chars`` or more characters goes if an
-earlier one, by (identifier, line number), is the same or within one edit (one
-character put in, taken out or replaced). A shorter line of ``exact_chars`` or more
-goes if an earlier one is the same; yet shorter ones and blank ones stay.
-Both are ``MIN_CHARS`` unless given, as in OP6_SQL.
+runs of it as one space. A line goes if an earlier one, by (identifier, line number), is
+the same, and one of ``min_chars`` or more characters also if an earlier one is within one
+edit (one character put in, taken out or replaced): in short lines one edit makes
+another word. Blank lines stay.
 
 1. Lines are digested where they are read. Equal digests: all but the earliest go.
 2. Two lines within one edit agree on all but one of any ``m`` blocks that both
@@ -36,20 +35,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import table, written
+from orrery.llm.shared import Scratch, merged, table
 
+#: Least length for the near join.
 MIN_CHARS = 16
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 #: Two primes below 2^31: variant hashes have 62 bits.
 PRIMES, BASES = (2147483647, 2147483629), (1000003, 69069)
 
-LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), *[(f"k{i}", pa.int64()) for i in range(4)]])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.string())])
 VARIANTS = pa.schema([("v", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def ddl(schema: pa.Schema) -> str:
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
@@ -89,14 +89,15 @@ def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
-def lines_of(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
-    """Lines that take part: place, digest and keys with one of two blocks deleted (none for lines too short for the near join)."""
-    least = max(1, min(min_chars, exact_chars))
+def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Lines that take part: place, digest and keys with one of two blocks deleted (null for lines too short for the near join)."""
+    short = (None,) * 4
 
     def make(doc_id, text):
         for k, line in enumerate((text or "").split("\n")):
-            if len(line) >= least and len(line := normal(line)) >= least:
-                yield doc_id, k, *digest(line), block_keys(line, 2) if len(line) >= min_chars else []
+            if line and (line := normal(line)):
+                keys = sorted(block_keys(line, 2)) if len(line) >= min_chars else ()
+                yield doc_id, k, *digest(line), *(*keys, *short)[:4]
 
     return docs.mapInArrow(lambda batches: rows_of(batches, LINES, make), ddl(LINES))
 
@@ -106,11 +107,10 @@ def place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(line_no).alias("line_no"))
 
 
-def sharing(keyed: DataFrame) -> DataFrame:
-    """Digests (h1) of lines that share a key with another line. keyed: key, h1."""
-    keyed = keyed.repartition("key")
-    counts = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    return keyed.join(counts, "key", "left_semi").select("h1").distinct()
+def sharing(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Digests (h1) of lines that share a key with another line. keyed: key, h1; read twice, so that a frequent key is summed before its rows meet."""
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
+    return scratch.put(name, keyed.join(merged(scratch.put("keys", shared)), "key", "left_semi").select("h1").distinct())
 
 
 def variants_of(texts: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def power_table(base: int, prime: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def near(texts: DataFrame) -> DataFrame:
+def near(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Digests of lines with an earlier line within one edit. texts: as TEXTS, one row for each distinct line."""
 
     def eight(_, __, h1, ___, line):
@@ -157,36 +157,40 @@ def near(texts: DataFrame) -> DataFrame:
             yield key, h1
 
     keys = pa.schema([("key", pa.int64()), ("h1", pa.int64())])
-    shared = sharing(texts.mapInArrow(lambda b: rows_of(b, keys, eight), ddl(keys)))
-    texts = written(texts.join(shared, "h1", "left_semi").select(*TEXTS.names), "near")
+    shared = sharing(texts.mapInArrow(lambda b: rows_of(b, keys, eight), ddl(keys)), scratch, "eighths")
+    texts = scratch.put("near", texts.join(merged(shared), "h1", "left_semi").select(*TEXTS.names))
     line = F.struct(place().alias("at"), F.col("h1"), F.col("h2"))
-    variants = written(variants_of(texts).select("v", "place", line.alias("line")), "variants")
+    variants = scratch.put("variants", variants_of(texts).select("v", "place", line.alias("line")))
     cut = variants.where("place >= 0")
-    least = cut.groupBy("v", "place").agg(F.min("line").alias("other"))
-    by_place = cut.join(least, ["v", "place"])
+    least = scratch.put("least", cut.groupBy("v", "place").agg(F.min("line").alias("other")))
+    by_place = cut.join(merged(least), ["v", "place"])
     uncut = variants.where("place < 0").select("v", F.col("line").alias("other"))
-    longer = cut.join(uncut, "v")
-    shorter = uncut.select("v", F.col("other").alias("line")).join(least.groupBy("v").agg(F.min("other").alias("other")), "v")
+    longer = cut.join(merged(uncut), "v")
+    shorter = uncut.select("v", F.col("other").alias("line")).join(merged(least.select("v", "other")), "v")
     pairs = None
     for found in (by_place, longer, shorter):
         found = found.where("other.at < line.at").select(*[F.col(f"{s}.{h}").alias(f"{s}_{h}") for s in ("line", "other") for h in ("h1", "h2")])
         pairs = found if pairs is None else pairs.unionByName(found)
-    one = lambda s: texts.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("line").alias(f"{s}_text"))
+    one = lambda s: merged(texts.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("line").alias(f"{s}_text")))
     pairs = pairs.distinct().join(one("line"), ["line_h1", "line_h2"]).join(one("other"), ["other_h1", "other_h2"])
     apart = F.levenshtein(F.col("line_text"), F.col("other_text"), 1)
-    return pairs.where(apart.between(0, 1)).select(F.col("line_h1").alias("h1"), F.col("line_h2").alias("h2")).distinct()
+    found = scratch.put("gone", pairs.where(apart.between(0, 1)).select(F.col("line_h1").alias("h1"), F.col("line_h2").alias("h2")).distinct())
+    scratch.drop("eighths", "near", "variants", "least")
+    return found
 
 
-def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, exact and near: the numbers of the lines that go, for each text that loses any."""
+    scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = written(lines_of(docs, min_chars, exact_chars), "lines")
+    lines = scratch.put("lines", lines_of(docs, min_chars))
+    keys = [f"k{i}" for i in range(4)]
     # One row for each distinct line, summed before rows meet: a frequent line is no hot key from here on.
-    firsts = written(lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end")), "firsts")
-    repeats = written(firsts.where("at != end").select("h1", "h2", "at"), "repeats")
-    exact = lines.join(repeats, ["h1", "h2"]).where(place() != F.col("at")).select("doc_id", "line_no", F.lit(0).alias("kind"))
-    close = sharing(lines.select(F.explode("keys").alias("key"), "h1"))
-    wanted = firsts.join(close, "h1", "left_semi").select("h1", "h2", "at.doc_id", "at.line_no").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end"), *[F.min(k).alias(k) for k in keys])
+    firsts = scratch.put("firsts", firsts)
+    close = sharing(firsts.select(F.explode(F.array(*keys)).alias("key"), "h1").where("key IS NOT NULL"), scratch, "halves")
+    wanted = firsts.where("k0 IS NOT NULL").join(merged(close), "h1", "left_semi").select("h1", "h2", "at.doc_id", "at.line_no")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
 
     def pick(doc_id, text, wanted):
         found = (text or "").split("\n")
@@ -196,24 +200,30 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield doc_id, w["line_no"], w["h1"], w["h2"], line
 
     same = F.col("doc_id").eqNullSafe(F.col("w_id"))
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "w_id"), same).select("doc_id", "text", "wanted")
-    texts = written(texts.mapInArrow(lambda b: rows_of(b, TEXTS, pick), ddl(TEXTS)), "close").dropDuplicates(["h1", "h2"])
-    gone = written(near(texts), "gone")
-    close = lines.join(gone, ["h1", "h2"]).select("doc_id", "line_no", F.lit(1).alias("kind"))
+    texts = docs.join(merged(wanted.withColumnRenamed("doc_id", "w_id")), same).select("doc_id", "text", "wanted")
+    texts = scratch.put("close", texts.mapInArrow(lambda b: rows_of(b, TEXTS, pick), ddl(TEXTS)).dropDuplicates(["h1", "h2"]))
+    repeats = scratch.put("repeats", firsts.where("at != end").select("h1", "h2", "at"))
+    scratch.drop("keys", "halves", "firsts")
+    gone = near(texts, scratch)
+    lines = lines.select("h1", "h2", "doc_id", "line_no")
+    exact = lines.join(merged(repeats), ["h1", "h2"]).where(place() != F.col("at")).select("doc_id", "line_no", F.lit(0).alias("kind"))
+    close = lines.join(merged(gone), ["h1", "h2"]).select("doc_id", "line_no", F.lit(1).alias("kind"))
     each = exact.unionByName(close).groupBy("doc_id", "line_no").agg(F.min("kind").alias("kind"))
     of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("line_no")))
-    return each.groupBy("doc_id").agg(of(0).alias("exact"), of(1).alias("near"))
+    found = scratch.put("dropped", each.groupBy("doc_id").agg(of(0).alias("exact"), of(1).alias("near")))
+    scratch.drop(*[n for n in scratch.paths if n != "dropped"])
+    return found
 
 
-def with_dropped(df: DataFrame, id_col: str, text_col: str, min_chars: int, exact_chars: int) -> DataFrame:
-    gone = dropped_lines(df, id_col, text_col, min_chars, exact_chars)
+def with_dropped(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    gone = dropped_lines(df, id_col, text_col, min_chars)
     gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("exact").alias("__exact"), F.col("near").alias("__near"))
-    return df.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left")
+    return df.join(merged(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")), "left")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int = MIN_CHARS) -> DataFrame:
-    """``df`` with the lines that go taken out of ``text_col``; all rows and columns stay. ``exact_chars=1``: repeats of short lines go too."""
-    joined = with_dropped(df, id_col, text_col, min_chars, exact_chars).select(*[F.col(f"`{c}`") for c in df.columns], "__exact", "__near")
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``df`` with the lines that go taken out of ``text_col``; all rows and columns stay."""
+    joined = with_dropped(df, id_col, text_col, min_chars).select(*[F.col(f"`{c}`") for c in df.columns], "__exact", "__near")
     at = df.columns.index(text_col)
 
     def strip(text, exact, close):
@@ -241,7 +251,7 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_exact and n_near (lines that go), and the digest of the text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    joined = with_dropped(docs, "doc_id", "text", MIN_CHARS, MIN_CHARS)
+    joined = with_dropped(docs, "doc_id", "text", MIN_CHARS)
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_exact", pa.int64()), ("n_near", pa.int64()), ("kept_sha256", pa.string())])
 
     def make(doc_id, text, exact, close):
@@ -257,10 +267,10 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no
   FROM documents),
 n AS (SELECT *, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-f AS (SELECT line, min((doc_id, line_no)) AS first_at, length(line) AS k FROM n WHERE length(line) >= 16 GROUP BY line),
+f AS (SELECT line, min((doc_id, line_no)) AS first_at, length(line) AS k FROM n WHERE line <> '' GROUP BY line),
 h AS (
   SELECT line, k, first_at, s, substr(line, 1, (s - 1) // 2) AS a, substr(line, k - (s - 1) // 2 + 1) AS b
-  FROM (SELECT *, k AS s FROM f UNION ALL SELECT *, k - 1 AS s FROM f)),
+  FROM (SELECT *, k AS s FROM f WHERE k >= 16 UNION ALL SELECT *, k - 1 AS s FROM f WHERE k >= 16)),
 c AS (
   SELECT x.line AS x, y.line AS y FROM h x JOIN h y ON x.s = y.s AND x.a = y.a AND abs(x.k - y.k) <= 1 AND y.first_at < x.first_at
   UNION
