@@ -17,16 +17,17 @@ if it has fewer. Documents are linked if 100 * intersection >= ``PERCENT`` * uni
    members outside the leader's family meet all others in blocks of bounded size, which
    give back edges that join families. So each pair within the distance lies in
    one family, and pairs are never listed.
-4. A family's sets are fetched once. In a task (if the family fits one) or in blocks, the
-   leader is compared with all, then every document outside the largest component
-   with all, by counting common shingles through an inverted index: exact similarities,
-   of which links that join components are kept.
+4. A family's sets are fetched once. The leader is compared with all, row by row; every
+   document that it doesn't link is compared with all in blocks of bounded size, by counting
+   common shingles through an inverted index: exact similarities, of which links that
+   join components are kept. No family has to fit a task.
 5. Components come from star contraction on the links, in tables, in a number of
    rounds that grows with the logarithm of a component's diameter.
 
 Edge cases: null counts as empty; documents without words have no shingles and
 are linked with nothing; rows with a null identifier are linked with nothing and
-kept; rows of one identifier count as one document; an empty table gives no
+kept; rows of one identifier count as one document (if their texts differ, the one with
+the most shingles, then the larger hashes, is compared with others); an empty table gives no
 rows; other columns are ignored, whatever their names.
 """
 
@@ -41,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import table, written
+from orrery.llm.shared import Scratch, merged, table
 
 WORDS, PERCENT, WIDE, SEED = 5, 85, 5, 23
 #: Probability that a pair at the threshold differs in more symbols than the join allows for.
 MISS = 1e-6
 BLOCK = 2048
-#: Shingles of a family that one task holds.
+#: Shingles that a block holds.
 HELD = 1 << 21
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -99,7 +100,7 @@ def signer(words: int, symbols: int, seed: int):
                 starts = (np.cumsum(sizes) - sizes)[some]
                 sig, h1, h2 = np.zeros((len(sets), symbols), np.uint16), np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(flat):
-                    h1[some], h2[some] = np.add.reduceat(mixed(flat), starts), np.add.reduceat(mixed(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+                    h1[some], h2[some] = sums(flat, starts)
                     for k in range(symbols):
                         low = np.minimum.reduceat(mixed(flat * multiply[k] + add[k]), starts)
                         sig[some, k] = (mixed(low) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -147,17 +148,25 @@ def within(limit: int, symbols: int):
     return run
 
 
+def sums(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that stand for each of several sets laid end to end."""
+    return np.add.reduceat(mixed(flat), starts), np.add.reduceat(mixed(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """id and set (sorted 64-bit hashes) of rows (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    """Adds the set (sorted 64-bit hashes) to rows (text, id, h1, h2, ...); rows whose text has another set go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], schema=schema)
+                sets = [shingles(t.as_py(), words) for t in part.column(0)]
+                own = [tuple(int(x[0].view(np.int64)) for x in sums(s, np.zeros(1, np.int64))) if len(s) else (0, 0) for s in sets]
+                same = pa.array([x == y for x, y in zip(own, zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names[1:], "set"]).filter(same)
 
-    return texts.mapInArrow(run, "id long, set binary")
+    rest = [f for f in texts.schema.fields if f.name != "text"]
+    return texts.select("text", *[f.name for f in rest]).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", set binary")
 
 
 class Overlaps:
@@ -181,41 +190,6 @@ class Overlaps:
         return 100 * both >= percent * (self.sizes + len(x) - both)
 
 
-def forest(ids: np.ndarray, linked) -> list[tuple[int, int]]:
-    """Links that join the components of ``ids``, one for each join.
-
-    ``linked(i)`` marks what is linked with item i. Item 0 comes first; items within the
-    largest component need no look: their links outside it are found from outside.
-    """
-    root, done, edges = np.arange(len(ids)), np.zeros(len(ids), bool), []
-    todo = np.arange(min(1, len(ids)))
-    while len(todo):
-        for i in todo[:64]:
-            done[i] = True
-            hit = np.flatnonzero(linked(i))
-            for r in np.unique(root[hit]):
-                if r != root[i]:
-                    edges.append((int(ids[i]), int(ids[hit[root[hit] == r][0]])))
-                    root[root == r] = root[i]
-        todo = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
-    return edges
-
-
-def family_links(percent: int):
-    """Links within a family that one task holds; its leader comes first."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(rows: pa.Table) -> pa.Table:
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids != rows.column("leader").to_numpy(), kind="stable")
-        sets = [np.frombuffer(rows.column("set")[int(k)].as_buffer(), np.uint64) for k in order]
-        found, ids = Overlaps(sets), ids[order]
-        edges = forest(ids, lambda i: found.links(sets[i], percent))
-        return pa.table([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return run
-
-
 def block_links(percent: int):
     """Links between a block of a family's open documents (left) and a block of all of it (right)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -242,66 +216,76 @@ def block_links(percent: int):
     return run
 
 
-def with_leader(percent: int):
-    """Rows (a, b, set, lead) whose sets are alike enough."""
+def with_leader(percent: int, names: list[str]):
+    """Rows (lead, set, ...) without the first column, with ``linked``: whether both sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            found = []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                found.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.bool_())], names=names)
 
     return run
 
 
-def exact_links(families: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) within families (id, family, leader, n_shingles) by full sets; as many as join their components."""
-    total = families.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("blocks"))
-    families = written(families.join(total, "family"), "families")
-    ids = families.select("id")
-    texts = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
-    sets = written(shingle_sets(texts, words).join(families, "id"), "sets").dropDuplicates(["id"])
-    links = sets.where("blocks = 1").select("family", "leader", "id", "set").groupBy("family").applyInArrow(family_links(percent), "a long, b long")
-    large = sets.where("blocks > 1")
-    if large.isEmpty():
-        return written(links, "links")
-    lead = large.where("id = leader").select("family", F.col("set").alias("lead"))
-    near = large.join(lead, "family").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"), "set", "lead")
-    near = written(near.mapInArrow(with_leader(percent), "a long, b long"), "near")
-    marked = large.join(near.select(F.col("a").alias("id"), F.lit(True).alias("is_near")), "id", "left")
-    marked = written(marked.withColumn("linked", F.coalesce("is_near", F.col("id") == F.col("leader"))).drop("is_near"), "marked")
+def exact_links(families: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) within families (id, family, n_shingles, h1, h2, central) by full sets; as many as join their components."""
+    top = F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("top")
+    # A family's leader is its most central document.
+    heads = families.groupBy("family").agg(top, F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("blocks"))
+    heads = scratch.put("heads", heads.select("family", (-F.col("top.least")).alias("leader"), "blocks"))
+    members = families.select("id", "h1", "h2", "family", F.col("n_shingles").alias("n"))
+    texts = docs.join(merged(members), F.col("doc_id") == F.col("id")).select("text", *members.columns)
+    # Repeated rows of an identifier give one set.
+    sets = scratch.put("sets", shingle_sets(texts, words).groupBy("id", "family", "n").agg(F.first("set").alias("set")))
+    lead = heads.join(merged(sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))), "leader")
+    pairs = sets.join(merged(lead), "family").select("lead", "set", "id", "family", "n", "leader", "blocks")
+    kinds = "set binary, id long, family long, n long, leader long, blocks int, linked boolean"
+    marked = scratch.put("marked", pairs.mapInArrow(with_leader(percent, [k.split()[0] for k in kinds.split(", ")]), kinds))
+    near = marked.where("linked AND id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     rest = marked.where("NOT linked")
-    parts = rest.groupBy("family").agg(F.ceil(F.sum("n_shingles") / HELD).cast("int").alias("parts"))
-    cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rest.join(parts, "family").withColumn("part", cut(F.col("parts"))).withColumn("block", every(F.col("blocks"))).select("family", "part", "block", "id", "set")
-    left = left.toDF(*left.columns)
-    right = marked.join(parts, "family").withColumn("block", cut(F.col("blocks"))).withColumn("part", every(F.col("parts"))).select("family", "part", "block", "id", "set", "linked")
-    by = ["family", "part", "block"]
-    more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(percent), "a long, b long")
-    return written(links.unionByName(near).unionByName(more), "links")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every id in ``links`` (a, b), by alternating star contraction."""
-    edges, before = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
-    while True:
+    parts = scratch.put("parts", rest.groupBy("family").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("parts")))
+    if not parts.isEmpty():
+        cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        left = rest.join(merged(parts), "family").withColumn("part", cut(F.col("parts"))).withColumn("block", every(F.col("blocks"))).select("family", "part", "block", "id", "set")
+        right = marked.join(merged(parts), "family").withColumn("block", cut(F.col("blocks"))).withColumn("part", every(F.col("parts"))).select("family", "part", "block", "id", "set", "linked")
+        left = left.toDF(*left.columns)  # new column identities: both sides come from one table
+        by = ["family", "part", "block"]
+        near = near.unionByName(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(block_links(percent), "a long, b long"))
+    links = scratch.put("links", near)
+    scratch.drop("heads", "sets", "marked", "parts")
+    return links
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every id of ``edges`` (u, v) is a centre (v) or has one centre (as u) and is none."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("spoke"), F.lit(0).alias("hub")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("spoke"), F.lit(1).alias("hub")))
+    return ends.groupBy("id").agg(F.sum("spoke").alias("spoke"), F.max("hub").alias("hub")).where("spoke + hub > 1").isEmpty()
+
+
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id and component (its smallest id) of every id in ``links`` (a, b), by alternating star contraction; in the scratch table ``name``."""
+    edges, last = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 0
+    edges = scratch.put(f"{name}-0", edges)
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # Larger neighbours point to the smallest one.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(merged(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # So do smaller ones, and the id itself.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(merged(least), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        before = now
+        edges, last = scratch.put(f"{name}-{last + 1}", small), last + 1
+        scratch.drop(f"{name}-{last - 1}")
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    found = scratch.put(name, found)
+    scratch.drop(f"{name}-{last}")
+    return found
 
 
 def comparer(limit: int, symbols: int):
@@ -340,48 +324,57 @@ def comparer(limit: int, symbols: int):
 
 def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``df``."""
-    chunks = chunks_for(percent)
+    chunks, scratch = chunks_for(percent), Scratch(df.sparkSession)
     limit, symbols = 2 * chunks - 1, chunks * WIDE
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(docs.mapInArrow(signer(words, symbols, SEED), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
-    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    signed = scratch.put("signatures", docs.mapInArrow(signer(words, symbols, SEED), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
+    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2")
     # The signature follows from the set, so any row of the set has it.
-    nodes = written(sets.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "nodes")
-    sigs = nodes.select("id", "sig").dropDuplicates(["id"])
-    keys = nodes.select("id", "sig").mapInArrow(keyer(chunks, WIDE), "key long, id long").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
-    members = written(keys.join(shared, "key", "left_semi"), "members")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    central = written(members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("central")), "central")
-    leaders = written(members.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("top")).select("key", (-F.col("top.least")).alias("leader")), "leaders")
-    pairs = members.join(leaders, "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    sig = lambda x: sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
+    nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    groups = nodes = scratch.put("nodes", nodes)
+    own = F.struct("n_shingles", "h1", "h2")
+    twice = scratch.put("twice", nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("own")).where("n > 1").select("id", "own"))
+    if not twice.isEmpty():
+        nodes = nodes.join(merged(twice), "id", "left").where(F.col("own").isNull() | (F.col("own") == own)).select(*groups.columns)
+    sigs = nodes.select("id", "sig")
+    keys = sigs.mapInArrow(keyer(chunks, WIDE), "key long, id long")
+    # Summed before rows meet: a frequent key is one row a task.
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size")
+    shared = scratch.put("shared", shared)
+    members = scratch.put("members", keys.join(merged(shared), "key"))
+    central = scratch.put("central", members.groupBy("id").agg(F.sum("size").alias("central")))
+    leaders = members.join(merged(central), "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("least"))).alias("top"))
+    leaders = scratch.put("leaders", leaders.select("key", (-F.col("top.least")).alias("leader")))
+    pairs = members.join(merged(leaders), "key").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    sig = lambda x: merged(sigs.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")))
     close = pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(within(limit, symbols), "a long, b long")
-    close = written(close, "close")
-    found = written(components(close), "components")
+    found = components(scratch.put("close", close), scratch, "near")
     # What the leaders leave open.
-    own = F.coalesce("component", "id")
-    placed = members.join(found, "id", "left").select("key", "id", own.alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    heads = leaders.join(found, F.col("leader") == F.col("id"), "left").select("key", F.coalesce("component", "leader").alias("head"))
-    rest = written(placed.join(open_keys, "key").join(heads, "key").join(sigs, "id"), "open")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = rest.where("component <> head").withColumn("block", block).withColumn("other", every).select("key", "block", "other", "id", "component", "sig")
-    right = rest.withColumn("other", block).withColumn("block", every).select("key", "block", "other", "id", "component", "sig")
-    by = ["key", "block", "other"]
-    more = written(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(comparer(limit, symbols), "a long, b long").distinct(), "more")
-    if not more.isEmpty():
-        found = written(components(close.unionByName(more)), "families")
-    # A family's leader is its most central document.
-    families = found.withColumnRenamed("component", "family").join(nodes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id").join(central, "id", "left")
-    top = families.groupBy("family").agg(F.max(F.struct(F.coalesce("central", F.lit(0)).alias("c"), (-F.col("id")).alias("least"))).alias("top")).select("family", (-F.col("top.least")).alias("leader"))
-    links = exact_links(families.drop("central").join(top, "family"), docs, words, percent)
-    found = written(components(links), "components")
-    groups = nodes.select("h1", "h2", "n_shingles", "id").join(found, "id", "left").select("h1", "h2", F.col("n_shingles").alias("n"), own.alias("component_id"))
+    placed = members.join(merged(found), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("key", "size")
+    spread = spread.join(merged(leaders), "key").join(merged(found.withColumnRenamed("id", "leader")), "leader", "left").select("key", F.coalesce("component", "leader").alias("head"))
+    spread = scratch.put("spread", spread)
+    if not spread.isEmpty():
+        rest = scratch.put("open", placed.join(merged(spread), "key").join(merged(sigs), "id"))
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks - 1))
+        left = rest.where("component <> head").withColumn("block", block).withColumn("other", every).select("key", "block", "other", "id", "component", "sig")
+        right = rest.withColumn("other", block).withColumn("block", every).select("key", "block", "other", "id", "component", "sig")
+        by = ["key", "block", "other"]
+        more = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(comparer(limit, symbols), "a long, b long").distinct()
+        star = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = components(star.unionByName(scratch.put("more", more)), scratch, "families")
+        scratch.drop("open", "more", "near")
+    scratch.drop("shared", "members", "leaders", "close", "spread")
+    families = found.withColumnRenamed("component", "family").join(merged(nodes.drop("sig")), "id").join(merged(central), "id", "left")
+    families = scratch.put("members", families.withColumn("central", F.coalesce("central", F.lit(0))))
+    links = exact_links(families, docs, words, percent, scratch)
+    linked = components(links, scratch, "components")
+    scratch.drop(*[n for n in scratch.paths if n not in ("signatures", "nodes", "components")])
+    groups = groups.select("h1", "h2", "n_shingles", "id").join(merged(linked), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     empty = signed.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = sets.join(groups.withColumnRenamed("n", "n_shingles"), ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    full = sets.join(merged(groups), ["h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -392,7 +385,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates (shingles of five words, similarity 0.8 or more) the first document."""
     gone = dedup_near(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(merged(gone.distinct()), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 OP7_SQL = r"""

@@ -59,11 +59,11 @@ def lines_by_hand(rows, least=16):
         kept = []
         for raw in (t or "").split("\n"):
             line = re.sub(r"[\x20\x09-\x0D]+", " ", raw).strip(" ")
-            if len(line) >= least:
-                if any(one_edit(line, s) for s in seen):
-                    seen.append(line)
-                    continue
+            if line:
+                gone = line in seen or len(line) >= least and any(one_edit(line, s) for s in seen if len(s) >= least)
                 seen.append(line)
+                if gone:
+                    continue
             kept.append(raw)
         out[i] = "\n".join(kept)
     return out
@@ -90,12 +90,12 @@ def test_lines(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     want = lines_by_hand(rows)
     assert {k: v or "" for k, v in got.items()} == want
-    assert got[200] is None and got[205] == "" and got[None] == ""
+    assert got[200] is None and got[202] == "short" and got[205] == "" and got[None] == ""
 
 
 def test_short_lines(spark):
     rows = [(1, "And ornd.\n\nLes.\n\n Les."), (2, "And  ornd.\nAnd ornt.\nx"), (3, "a line of sixteen or more\nLes.\nx"), (4, "a line of sixteen or mare\n \n")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows), exact_chars=1).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert got == {1: "And ornd.\n\nLes.\n", 2: "And ornt.\nx", 3: "a line of sixteen or more", 4: " \n"}
 
 
@@ -161,6 +161,14 @@ def test_near_nulls_and_repeats(spark):
     assert near_dedup.dedup_near(frame(spark, [])).count() == 0
 
 
+def test_near_other_texts_of_an_identifier(spark):
+    same = "a b c d e f g h i j"
+    rows = [(1, same), (2, "k l m n o p q"), (2, same + " z"), (3, "k l m n o p q"), (4, same + " z")]
+    got = sorted(tuple(r) for r in near_dedup.dedup_near(frame(spark, rows), percent=80).select("doc_id", "component_id", "kept").collect())
+    # The larger of identifier 2's texts stands for it; its other rows follow it.
+    assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 1, False)]
+
+
 def test_signature_bound():
     assert near_dedup.chunks_for(85) == 13
     assert near_dedup.chunks_for(80) > near_dedup.chunks_for(85)
