@@ -222,6 +222,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, cut: Splitter, id_col: str = "
     name, path = f"orrery_packs_{uuid.uuid4().hex}", scratch_path(spark, "packs")
     rows.mapInArrow(splitter(cut, buckets), PACKS).write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     packs = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name only: files at a path of their own stay
     known = packs.where(F.col("kind") == WORDS).repartition(buckets, "bucket").mapInArrow(encoder(vocabulary), PACKS)
     run, schema = assembler(vocabulary, ids, digests)
     sequences = packs.where(F.col("kind") == SEQUENCE).select("block", "ids", "pack")
