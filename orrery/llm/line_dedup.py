@@ -107,6 +107,18 @@ def place(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(line_no).alias("line_no"))
 
 
+#: The same order as one number, which a hash aggregate can hold.
+PLACE = "coalesce(CAST(doc_id AS DECIMAL(20,0)) * 2147483648BD + line_no, 100000000000000000000000000000BD + line_no)"
+
+
+def place_parts(at: str) -> list[Column]:
+    """doc_id and line_no of such a number."""
+    line_no = f"CAST(pmod({at}, 2147483648BD) AS BIGINT)"
+    doc_id = f"CASE WHEN {at} < 100000000000000000000000000000BD THEN ({at} - {line_no}) DIV 2147483648BD END"
+    null_line = f"CASE WHEN {at} < 100000000000000000000000000000BD THEN CAST({line_no} AS INT) ELSE CAST({at} - 100000000000000000000000000000BD AS INT) END"
+    return [F.expr(doc_id).alias("doc_id"), F.expr(null_line).alias("line_no")]
+
+
 def sharing(keyed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Digests (h1) of lines that share a key with another line. keyed: key, h1; read twice, so that a frequent key is summed before its rows meet."""
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
@@ -186,10 +198,10 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = scratch.put("lines", lines_of(docs, min_chars))
     keys = [f"k{i}" for i in range(4)]
     # One row for each distinct line, summed before rows meet: a frequent line is no hot key from here on.
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.max(place()).alias("end"), *[F.min(k).alias(k) for k in keys])
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.expr(PLACE)).alias("at"), F.max(F.expr(PLACE)).alias("end"), *[F.min(k).alias(k) for k in keys])
     firsts = scratch.put("firsts", firsts)
     close = sharing(firsts.select(F.explode(F.array(*keys)).alias("key"), "h1").where("key IS NOT NULL"), scratch, "halves")
-    wanted = firsts.where("k0 IS NOT NULL").join(merged(close), "h1", "left_semi").select("h1", "h2", "at.doc_id", "at.line_no")
+    wanted = firsts.where("k0 IS NOT NULL").join(merged(close), "h1", "left_semi").select("h1", "h2", *place_parts("at"))
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("wanted"))
 
     def pick(doc_id, text, wanted):
@@ -206,7 +218,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop("keys", "halves", "firsts")
     gone = near(texts, scratch)
     lines = lines.select("h1", "h2", "doc_id", "line_no")
-    exact = lines.join(merged(repeats), ["h1", "h2"]).where(place() != F.col("at")).select("doc_id", "line_no", F.lit(0).alias("kind"))
+    exact = lines.join(merged(repeats), ["h1", "h2"]).where(F.expr(PLACE) != F.col("at")).select("doc_id", "line_no", F.lit(0).alias("kind"))
     close = lines.join(merged(gone), ["h1", "h2"]).select("doc_id", "line_no", F.lit(1).alias("kind"))
     each = exact.unionByName(close).groupBy("doc_id", "line_no").agg(F.min("kind").alias("kind"))
     of = lambda k: F.collect_list(F.when(F.col("kind") == k, F.col("line_no")))
