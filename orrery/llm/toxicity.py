@@ -1,16 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two language models, one of toxic and one of ordinary texts, share the counts
-that they back off to. A word's probability comes from its class's bigrams,
-then from the number of contexts the class has seen it in, then from the
-number of the class's words with its stem (the first letters), then from
-stem counts that both classes share; absolute discounts move mass down the
-chain. Words and bigrams seen in fewer contexts than ``MIN_CONTEXTS`` and ``MIN_DOCS``
-documents are rare: they are scored from the level below.
-
-A text's score compares length-normalised log-likelihoods: over the whole text
-and over its most toxic passages. A logistic curve, fitted on texts that
-the models did not see (two folds), turns these into the score.
+Two language models, one of toxic and one of ordinary texts, back off from a word after its
+predecessor to the word alone and from there to counts that both share. All
+counts are Kneser-Ney's: of a pair the number of words seen before it, of a word the
+number of words seen before it; so copies of a text count once. Absolute discounts move
+mass down. What a level hands down is the same share for both classes, the
+larger of the two: a rare expression, which only the level below
+knows, has the same probability in both and says nothing about the class.
+
+A text's score compares its two log-likelihoods, normalised by length: the mean of the words'
+log-ratios. Its language or subject shifts them all alike, so their median is taken
+off, as far as it is below ``DEAD``; ratios within ``DEAD`` of it are chance and count as equal. ``PRIOR``
+neutral words are added to every text, which steadies short ones. A mean doesn't grow with length. A
+logistic curve in it, rising, fitted on texts that the models did not see (two folds), gives the score.
 
 Training uses labelled rows only, at most ``max_per_class`` of each class in the
 order of a hash of the identifier and ``max_chars`` characters in all; that bounds
@@ -38,10 +40,10 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import table, written
 
 WORD = re.compile(r"[^\W\d_]+")
-STEM, DISCOUNT, MIN_CONTEXTS, MIN_DOCS, CLIP = 5, 0.75, 2, 3, 6.0
-#: By how much a word's context may change its ratio: copies of a few texts repeat contexts.
-CONTEXT = 1.0
-WINDOW = 8
+#: Discounts of words and of pairs: below them a count is rare, and the next level decides.
+#: Of these the ones are taken that tell texts not seen apart best.
+DISCOUNTS = ((0.25, 0.25), (0.75, 2.0), (3.0, 20.0))
+DEAD, PRIOR = 1.0, 20
 MAX_PER_CLASS, MAX_CHARS = 2500, 12_000_000
 
 
@@ -49,96 +51,79 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def log_ratio(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    return np.log(toxic) - np.log(ordinary)
-
-
 class Models:
-    """Both models as log-likelihood ratios (toxic over ordinary) for stems, words and bigrams."""
+    """Both models as log-likelihood ratios (toxic over ordinary) of the words and pairs that aren't rare; any other has 0."""
 
-    def __init__(self, texts: list[np.ndarray], names: list[str], toxic: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], names: list[str], toxic: np.ndarray, discounts: tuple[float, float] = DISCOUNTS[-1]):
         """texts: places of each text's words in ``names``."""
         sizes = np.array([len(t) for t in texts], np.int64)
         used, flat = np.unique(np.concatenate(texts), return_inverse=True)
-        n, vocabulary = len(used), [names[k] for k in used.tolist()]
-        stems: dict[str, int] = {}
-        stem = np.array([stems.setdefault(w[:STEM], len(stems)) for w in vocabulary], np.int64)
-        before = np.concatenate([[n], flat[:-1]]) if len(flat) else flat
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = n  # the start of a text
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        # A bigram counts once in each text: repeated lines are one piece of evidence. One number for class, bigram and text.
-        seen = np.unique((toxic.astype(np.int64)[doc] * (n + 1) ** 2 + before * (n + 1) + flat) * len(texts) + doc)
-        both, count = np.unique(seen // len(texts), return_counts=True)
-        pair = (both // (n + 1) ** 2, both % (n + 1) ** 2)
-        del seen, doc, before, flat
-        in_class = [pair[0] == c for c in (0, 1)]
-        contexts = np.stack([np.bincount(pair[1][m] % (n + 1), minlength=n) for m in in_class]).astype(float)
-        # Stems: words of each class, and of both.
-        families = np.stack([np.bincount(stem[contexts[c] > 0], minlength=len(stems)) for c in (0, 1)]).astype(float)
-        shared = (np.bincount(stem, minlength=len(stems)) + 0.5) / (n + 0.5 * (len(stems) + 1))
-        unseen = 0.5 / (n + 0.5 * (len(stems) + 1))
-        size, kinds = families.sum(1), (families > 0).sum(1)
-        by_stem = (np.maximum(families - DISCOUNT, 0) + DISCOUNT * kinds[:, None] * shared) / np.maximum(size[:, None], 1)
-        new_stem = DISCOUNT * kinds * unseen / np.maximum(size, 1)
-        # Words given their stem are alike in both classes.
-        within = 1.0 / np.maximum(np.bincount(stem, minlength=len(stems)), 1)
-        total, types = contexts.sum(1), (contexts > 0).sum(1)
-        rest = DISCOUNT * types / np.maximum(total, 1)
-        self.unknown = float(np.log((rest[1] * new_stem[1]) / (rest[0] * new_stem[0])))
-        self.stems = dict(stems)
-        stem_ratio = log_ratio(rest[1] * by_stem[1], rest[0] * by_stem[0])
-        by_word = np.maximum(contexts - DISCOUNT, 0) / np.maximum(total[:, None], 1) + rest[:, None] * by_stem[:, stem] * within[stem]
-        keep = np.flatnonzero(contexts.sum(0) >= MIN_CONTEXTS)
+        n = len(used)
+        self.places, self.ratio, self.pairs, self.pair_ratio, self.base = {}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 1
+        if not n:
+            return
+        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        before = np.concatenate([[n], flat[:-1]])
+        before[starts] = n  # the start of a text
+        earlier = np.concatenate([[n], before[:-1]])
+        earlier[starts] = n
+        which = np.repeat(toxic.astype(np.int64), sizes)
+        # Distinct (class, earlier, before, word), then what they count for: pairs, then words.
+        _, context = np.unique(earlier * (n + 1) + before, return_inverse=True)
+        first = np.unique((which * (context.max() + 1) + context) * n + flat, return_index=True)[1]
+        pair, count = np.unique((which[first] * (n + 1) + before[first]) * n + flat[first], return_counts=True)
+        del earlier, context
+        c, v, w = pair // n // (n + 1), pair // n % (n + 1), pair % n
+        words = np.stack([np.bincount(w[c == k], minlength=n) for k in (0, 1)]).astype(float)
+        left = np.maximum(words - discounts[0], 0)
+        kept, total = left.sum(1), words.sum(1)
+        down = float((1 - kept / np.maximum(total, 1)).max())
+        shared = words.sum(0) / words.sum()
+        p = down * shared + (1 - down) * left / np.maximum(kept, 1)[:, None]
+        # Pairs: both classes side by side.
+        both, at = np.unique(v * n + w, return_inverse=True)
+        held = np.zeros((2, len(both)))
+        held[c, at] = count
+        v, w = both // n, both % n
+        left = np.maximum(held - discounts[1], 0)
+        kept, total = (np.stack([np.bincount(v, weights=x[k], minlength=n + 1) for k in (0, 1)]) for x in (left, held))
+        down = np.where(kept.min(0) > 0, (1 - kept / np.maximum(total, 1)).max(0), 1.0)[v]
+        q = down * p[:, w] + (1 - down) * left / np.maximum(kept[:, v], 1)
+        log = lambda x: np.log(x[1]) - np.log(x[0])
+        told = (left.max(0) > 0) & (down < 1)
+        keep = np.flatnonzero((words.max(0) > discounts[0]) | (np.bincount(np.concatenate([v[told], w[told]]), minlength=n + 1)[:n] > 0))
         place = np.full(n + 1, -1, np.int64)
         place[keep] = np.arange(len(keep))
-        self.words = {vocabulary[k]: i for i, k in enumerate(keep.tolist())}
-        # Ratios of words, then of stems, then of anything else.
-        self.first_stem = len(keep)
-        self.ratio = np.concatenate([log_ratio(by_word[1][keep], by_word[0][keep]), stem_ratio, [self.unknown]])
-        # Bigrams in enough texts, given their first word, interpolated with the word's own probability.
-        both, where = np.unique(pair[1], return_inverse=True)
-        held = np.zeros((2, len(both)))
-        for c in (0, 1):
-            held[c] = np.bincount(where[in_class[c]], weights=count[in_class[c]], minlength=len(both))
-        used = np.flatnonzero((held.sum(0) >= MIN_DOCS) & (place[both // (n + 1)] >= 0) & (place[both % (n + 1)] >= 0))
-        a, b = both[used] // (n + 1), both[used] % (n + 1)
-        given, follow = np.zeros((2, n + 1)), np.zeros((2, n + 1))
-        for c in (0, 1):
-            given[c] = np.bincount(both // (n + 1), weights=held[c], minlength=n + 1)
-            follow[c] = np.bincount(both // (n + 1), weights=held[c] > 0, minlength=n + 1)
-        p = np.empty((2, len(used)))
-        for c in (0, 1):
-            h = given[c][a]
-            back = np.where(h > 0, DISCOUNT * follow[c][a] / np.maximum(h, 1), 1.0)
-            p[c] = np.where(h > 0, np.maximum(held[c][used] - DISCOUNT, 0) / np.maximum(h, 1), 0) + back * by_word[c][b]
-        key = place[a] * (len(keep) + 1) + place[b]
+        place[n] = len(keep)
+        self.places = {names[used[k]]: i for i, k in enumerate(keep.tolist())}
+        self.ratio, self.base = log(p[:, keep]), len(keep) + 1
+        key = place[v[told]] * self.base + place[w[told]]
         order = np.argsort(key)
-        own = self.ratio[place[b]]
-        self.pairs, self.pair_ratio = key[order], np.clip(log_ratio(p[1], p[0]), own - CONTEXT, own + CONTEXT)[order]
-        self.base = len(keep) + 1
+        self.pairs, self.pair_ratio = key[order], log(q[:, told])[order]
 
     def ratios(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood ratio of each word in its context."""
-        known, stems, first, last = self.words.get, self.stems.get, self.first_stem, len(self.ratio) - 1 - self.first_stem
-        at = [first + stems(w[:STEM], last) if (k := known(w)) is None else k for w in words]
-        at = np.array(at, np.int64)
-        out = self.ratio[at]
-        if len(at) > 1 and len(self.pairs):
-            key = at[:-1] * self.base + at[1:]
-            both = (at[:-1] < first) & (at[1:] < first)
+        """Log-likelihood ratio of each word after its predecessor."""
+        known = self.places.get
+        at = np.array([known(w, -1) for w in words], np.int64)
+        if not len(self.ratio) or not len(at):
+            return np.zeros(len(at))
+        out = np.where(at >= 0, self.ratio[at], 0.0)
+        if len(self.pairs):
+            before = np.concatenate([[self.base - 1], at[:-1]])
+            key = before * self.base + at
             k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = both & (self.pairs[k] == key)
-            out[1:][hit] = self.pair_ratio[k[hit]]
-        return np.clip(out, -CLIP, CLIP)
+            hit = (before >= 0) & (at >= 0) & (self.pairs[k] == key)
+            out[hit] = self.pair_ratio[k[hit]]
+        return out
 
-    def evidence(self, words: list[str]) -> np.ndarray:
-        """Length-normalised ratios: of the whole text, of its most toxic passage, of its most toxic words."""
+    def evidence(self, words: list[str]) -> float:
+        """Length-normalised difference of the two log-likelihoods."""
         r = self.ratios(words)
         if not len(r):
-            return np.zeros(3)
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        w = min(WINDOW, len(r))
-        return np.array([r.mean(), (sums[w:] - sums[:-w]).max() / w, r.max()])
+            return 0.0
+        r = np.concatenate([r, np.zeros(PRIOR)])
+        r -= np.clip(np.median(r), -DEAD, DEAD)
+        return float((np.maximum(r - DEAD, 0) - np.maximum(-r - DEAD, 0)).mean())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -170,19 +155,28 @@ class Scorer:
         fold = np.zeros(len(y), int)
         for c in (False, True):
             fold[y == c] = np.arange((y == c).sum()) % 2
-        x = np.zeros((len(y), 3))
-        for f in (0, 1):
-            if y[fold != f].any() and not y[fold != f].all():
-                seen = Models([w for w, g in zip(words, fold, strict=True) if g != f], vocabulary, y[fold != f])
-                for k in np.flatnonzero(fold == f):
-                    x[k] = seen.evidence([vocabulary[i] for i in words[k].tolist()])
-        self.beta = logistic(x, y.astype(float), np.where(y, 1.0, odds))
-        self.models = Models(words, vocabulary, y)
+        weight, best = np.where(y, 1.0, odds), np.inf
+        for discounts in DISCOUNTS:
+            x = np.zeros((len(y), 1))
+            for f in (0, 1):
+                if y[fold != f].any() and not y[fold != f].all():
+                    seen = Models([w for w, g in zip(words, fold, strict=True) if g != f], vocabulary, y[fold != f], discounts)
+                    for k in np.flatnonzero(fold == f):
+                        x[k] = seen.evidence([vocabulary[i] for i in words[k].tolist()])
+            unit = float(np.sqrt((x**2).mean())) or 1.0
+            beta = logistic(x / unit, y.astype(float), weight)
+            loss = float(weight @ np.logaddexp(0, np.where(y, -1, 1) * (x[:, 0] / unit * beta[0] + beta[1])))
+            if beta[0] > 0 and loss <= best:
+                best, self.unit, self.beta, chosen = loss, unit, beta, discounts
+        if np.isfinite(best):
+            self.models = Models(words, vocabulary, y, chosen)
+        else:  # the labels don't go with the likelihoods
+            self.share = float(y.sum() / (y.sum() + odds * (~y).sum()))
 
     def __call__(self, text: str | None) -> float:
         if self.models is None:
             return self.share
-        z = float(self.models.evidence(words_of(text)) @ self.beta[:-1] + self.beta[-1])
+        z = self.models.evidence(words_of(text)) / self.unit * self.beta[0] + self.beta[1]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 

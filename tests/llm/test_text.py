@@ -139,3 +139,64 @@ def test_toxicity_edges(spark):
     assert toxicity.scored_documents(frame(spark, []), labels).count() == 0
     kept = toxicity.ordinary_documents(docs, labels)
     assert kept.columns == docs.columns and 902 not in {r["doc_id"] for r in kept.collect()}
+
+
+def ratios_by_hand(texts, toxic, words, discount, pair_discount):
+    """Log-likelihood ratios by counting, one word after another."""
+    from collections import defaultdict
+    from math import log
+
+    before = defaultdict(set)
+    for text, c in zip(texts, toxic, strict=True):
+        path = [None, None, *text]
+        for u, v, w in zip(path, path[1:], path[2:], strict=False):
+            before[c, v, w].add(u)
+    pair = {k: len(x) for k, x in before.items()}
+    alone = defaultdict(int)
+    for c, _, w in pair:
+        alone[c, w] += 1
+    vocabulary = {w for _, w in alone}
+    left = lambda n, d: max(n - d, 0)
+    total = [sum(alone[c, w] for w in vocabulary) for c in (0, 1)]
+    kept = [sum(left(alone[c, w], discount) for w in vocabulary) for c in (0, 1)]
+    down = max(1 - kept[c] / total[c] for c in (0, 1))
+
+    def word(c, w):
+        shared = (alone[0, w] + alone[1, w]) / sum(total)
+        return down * shared + (1 - down) * (left(alone[c, w], discount) / kept[c] if kept[c] else 0)
+
+    def after(c, v, w):
+        seen = [{x: n for (k, a, x), n in pair.items() if k == cls and a == v} for cls in (0, 1)]
+        some = [sum(left(n, pair_discount) for n in s.values()) for s in seen]
+        if not min(some):
+            return word(c, w)
+        hand = max(1 - some[k] / sum(seen[k].values()) for k in (0, 1))
+        return hand * word(c, w) + (1 - hand) * left(seen[c].get(w, 0), pair_discount) / some[c]
+
+    path = [None, *words]
+    return [log(after(1, v, w) / after(0, v, w)) if w in vocabulary else 0.0 for v, w in zip(path, words, strict=False)]
+
+
+@pytest.mark.parametrize("discounts", [(3.0, 20.0), (2.0, 1.0), (1.0, 0.5)])
+def test_toxicity_counts_by_hand(discounts):
+    r = random.Random(4)
+    toxic = [k % 3 == 0 for k in range(60)]
+    texts = [[r.choice("abcdefgh" if t else "abcdefgk") for _ in range(r.randint(0, 30))] for t in toxic]
+    names = sorted({w for t in texts for w in t})
+    models = toxicity.Models([np.array([names.index(w) for w in t], np.int32) for t in texts], names, np.array(toxic), discounts)
+    for words in [["a", "h", "k", "zz", "b"], *texts[:8], []]:
+        assert np.allclose(models.ratios(words), ratios_by_hand(texts, toxic, words, *discounts))
+
+
+def test_toxicity_and_length(spark):
+    """Clean texts end to end stay clean, whatever their length; toxic ones stay toxic."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    scorer = toxicity.train(docs, labels)
+    marks = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    texts = {x["doc_id"]: x["text"] or "" for x in docs.collect()}
+    for label in (0, 1):
+        own = [t for i, t in texts.items() if marks.get(i) == label and (scorer(t) >= 0.5) == bool(label)]
+        words = " ".join(own * 40).split()
+        for n in (1_000, 20_000, 60_000):
+            assert (scorer(" ".join(words[:n])) >= 0.5) == bool(label)
