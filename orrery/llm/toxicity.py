@@ -51,55 +51,64 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def counted(texts: list[np.ndarray], toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (class, before, word) as numbers ((class * (n + 1) + before) * n + word), and how many words were seen before each; n as before starts a text."""
+    # The earlier word is told apart as far as the number has room for it: fully below 1.6 million words.
+    room, held, keys, size = (1 << 62) // (2 * (n + 1) * n), [], [], 0
+    for k, text in enumerate(texts):
+        if len(text):
+            word = text.astype(np.int64)
+            before = np.concatenate([[n], word[:-1]])
+            earlier = np.concatenate([[n], before[:-1]])
+            held.append((earlier % room) + room * ((int(toxic[k]) * (n + 1) + before) * n + word))
+            size += len(text)
+        if size > 1 << 17 or k == len(texts) - 1:
+            keys += [np.unique(np.concatenate(held))] if held else []
+            held, size = [], 0
+    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    keys //= room
+    return np.unique(keys, return_counts=True)
+
+
 class Models:
     """Both models as log-likelihood ratios (toxic over ordinary) of the words and pairs that aren't rare; any other has 0."""
 
-    def __init__(self, texts: list[np.ndarray], names: list[str], toxic: np.ndarray, discounts: tuple[float, float] = DISCOUNTS[-1]):
-        """texts: places of each text's words in ``names``."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        used, flat = np.unique(np.concatenate(texts), return_inverse=True)
-        n = len(used)
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray], names: list[str], discounts: tuple[float, float] = DISCOUNTS[-1]):
+        """pairs: what ``counted`` gives for texts as places of their words in ``names``."""
+        (pair, count), n = pairs, len(names)
         self.places, self.ratio, self.pairs, self.pair_ratio, self.base = {}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), 1
-        if not n:
+        if not len(pair):
             return
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        before = np.concatenate([[n], flat[:-1]])
-        before[starts] = n  # the start of a text
-        earlier = np.concatenate([[n], before[:-1]])
-        earlier[starts] = n
-        which = np.repeat(toxic.astype(np.int64), sizes)
-        # Distinct (class, earlier, before, word), then what they count for: pairs, then words.
-        _, context = np.unique(earlier * (n + 1) + before, return_inverse=True)
-        first = np.unique((which * (context.max() + 1) + context) * n + flat, return_index=True)[1]
-        pair, count = np.unique((which[first] * (n + 1) + before[first]) * n + flat[first], return_counts=True)
-        del earlier, context
-        c, v, w = pair // n // (n + 1), pair // n % (n + 1), pair % n
-        words = np.stack([np.bincount(w[c == k], minlength=n) for k in (0, 1)]).astype(float)
+        mid = int(np.searchsorted(pair, (n + 1) * n))
+        sides = [(pair[:mid], count[:mid]), (pair[mid:] - (n + 1) * n, count[mid:])]
+        words = np.stack([np.bincount(k % n, minlength=n) for k, _ in sides]).astype(float)
         left = np.maximum(words - discounts[0], 0)
         kept, total = left.sum(1), words.sum(1)
         down = float((1 - kept / np.maximum(total, 1)).max())
-        shared = words.sum(0) / words.sum()
-        p = down * shared + (1 - down) * left / np.maximum(kept, 1)[:, None]
-        # Pairs: both classes side by side.
-        both, at = np.unique(v * n + w, return_inverse=True)
-        held = np.zeros((2, len(both)))
-        held[c, at] = count
-        v, w = both // n, both % n
-        left = np.maximum(held - discounts[1], 0)
-        kept, total = (np.stack([np.bincount(v, weights=x[k], minlength=n + 1) for k in (0, 1)]) for x in (left, held))
-        down = np.where(kept.min(0) > 0, (1 - kept / np.maximum(total, 1)).max(0), 1.0)[v]
+        p = down * words.sum(0) / words.sum() + (1 - down) * left / np.maximum(kept, 1)[:, None]
+        # Pairs above the discount; the others count in the totals alone.
+        clear = [(k[c > discounts[1]], c[c > discounts[1]] - discounts[1]) for k, c in sides]
+        total = np.stack([np.bincount(k // n, weights=c, minlength=n + 1) for k, c in sides])
+        kept = np.stack([np.bincount(k // n, weights=c, minlength=n + 1) for k, c in clear])
+        told = np.unique(np.concatenate([k for k, _ in clear]))
+        told = told[kept.min(0)[told // n] > 0]
+        v, w, left = told // n, told % n, np.zeros((2, len(told)))
+        for side, (k, c) in zip(left, clear, strict=True):
+            at = np.minimum(np.searchsorted(told, k), max(0, len(told) - 1))
+            hit = told[at] == k if len(told) else np.zeros(len(k), bool)
+            side[at[hit]] = c[hit]
+        down = (1 - kept[:, v] / np.maximum(total[:, v], 1)).max(0)
         q = down * p[:, w] + (1 - down) * left / np.maximum(kept[:, v], 1)
         log = lambda x: np.log(x[1]) - np.log(x[0])
-        told = (left.max(0) > 0) & (down < 1)
-        keep = np.flatnonzero((words.max(0) > discounts[0]) | (np.bincount(np.concatenate([v[told], w[told]]), minlength=n + 1)[:n] > 0))
+        keep = np.unique(np.concatenate([np.flatnonzero(words.max(0) > discounts[0]), v[v < n], w]))
         place = np.full(n + 1, -1, np.int64)
         place[keep] = np.arange(len(keep))
         place[n] = len(keep)
-        self.places = {names[used[k]]: i for i, k in enumerate(keep.tolist())}
+        self.places = {names[k]: i for i, k in enumerate(keep.tolist())}
         self.ratio, self.base = log(p[:, keep]), len(keep) + 1
-        key = place[v[told]] * self.base + place[w[told]]
+        key = place[v] * self.base + place[w]
         order = np.argsort(key)
-        self.pairs, self.pair_ratio = key[order], log(q[:, told])[order]
+        self.pairs, self.pair_ratio = key[order], log(q)[order]
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Log-likelihood ratio of each word after its predecessor."""
@@ -151,16 +160,18 @@ class Scorer:
             return
         names: dict[str, int] = {}
         words = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+        del texts
         vocabulary = list(names)
         fold = np.zeros(len(y), int)
         for c in (False, True):
             fold[y == c] = np.arange((y == c).sum()) % 2
         weight, best = np.where(y, 1.0, odds), np.inf
+        folds = [counted([w for w, g in zip(words, fold, strict=True) if g != f], y[fold != f], len(vocabulary)) for f in (0, 1)]
         for discounts in DISCOUNTS:
             x = np.zeros((len(y), 1))
             for f in (0, 1):
                 if y[fold != f].any() and not y[fold != f].all():
-                    seen = Models([w for w, g in zip(words, fold, strict=True) if g != f], vocabulary, y[fold != f], discounts)
+                    seen = Models(folds[f], vocabulary, discounts)
                     for k in np.flatnonzero(fold == f):
                         x[k] = seen.evidence([vocabulary[i] for i in words[k].tolist()])
             unit = float(np.sqrt((x**2).mean())) or 1.0
@@ -169,7 +180,8 @@ class Scorer:
             if beta[0] > 0 and loss <= best:
                 best, self.unit, self.beta, chosen = loss, unit, beta, discounts
         if np.isfinite(best):
-            self.models = Models(words, vocabulary, y, chosen)
+            del folds, seen
+            self.models = Models(counted(words, y, len(vocabulary)), vocabulary, chosen)
         else:  # the labels don't go with the likelihoods
             self.share = float(y.sum() / (y.sum() + odds * (~y).sum()))
 
@@ -208,13 +220,28 @@ def fitter(max_chars: int, labels: dict[int, int]):
                 if len(t := text.as_py()) <= left[c]:
                     left[c] -= len(t)
                     texts.append(t), y.append(c)
+            del batch
         here = {c: max(1, y.count(c)) for c in (0, 1)}
         odds = (labels.get(0, 0) / here[0]) / max(1e-9, labels.get(1, 0) / here[1]) if labels.get(1) else 1.0
-        yield pa.RecordBatch.from_pydict({"model": pa.array([cloudpickle.dumps(Scorer(texts, y, odds))], pa.binary())})
+        fitted = cloudpickle.dumps(Scorer(texts, y, odds))
+        del texts
+        released()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([fitted], pa.binary())})
 
     return run
 
 
+def released() -> None:
+    """Free memory back to the system: the Python worker lives on beside others."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 class Packed:
     """A pickled scorer; opened where it is first used, so the driver never holds it open."""
 

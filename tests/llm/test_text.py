@@ -228,7 +228,8 @@ def test_toxicity_counts_by_hand(discounts):
     toxic = [k % 3 == 0 for k in range(60)]
     texts = [[r.choice("abcdefgh" if t else "abcdefgk") for _ in range(r.randint(0, 30))] for t in toxic]
     names = sorted({w for t in texts for w in t})
-    models = toxicity.Models([np.array([names.index(w) for w in t], np.int32) for t in texts], names, np.array(toxic), discounts)
+    places = [np.array([names.index(w) for w in t], np.int32) for t in texts]
+    models = toxicity.Models(toxicity.counted(places, np.array(toxic), len(names)), names, discounts)
     for words in [["a", "h", "k", "zz", "b"], *texts[:8], []]:
         assert np.allclose(models.ratios(words), ratios_by_hand(texts, toxic, words, *discounts))
 
