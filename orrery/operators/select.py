@@ -163,9 +163,9 @@ def common_identities(meta: DataFrame) -> DataFrame:
     return keyed.join(held, "identity", "left_semi").drop("identity")
 
 
-def common_features(kept: DataFrame) -> DataFrame:
-    """feature_idx that every trajectory in ``kept`` (traj_id, feature_idx) has."""
-    n = kept.agg(F.countDistinct("traj_id").alias("n"))
+def common_features(kept: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """feature_idx that ``kept`` (traj_id, feature_idx) has for every one of ``trajectories`` (traj_id): none, if one of them keeps nothing."""
+    n = trajectories.agg(F.countDistinct("traj_id").alias("n"))
     return kept.groupBy("feature_idx").agg(F.countDistinct("traj_id").alias("in_trajs")).crossJoin(F.broadcast(n)).where("in_trajs = n").select("feature_idx")
 
 

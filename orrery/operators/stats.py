@@ -120,21 +120,35 @@ def array_mean(a: Column) -> Column:
 
 
 def array_variance(a: Column) -> Column:
-    m = array_mean(a)
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda x, y: x + (y - m) * (y - m)) / F.size(a))
+    """By running mean and squares (Welford): one pass, whatever the length."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def add(t: Column, y: Column) -> Column:
+        y, n = y.cast("double"), t["n"] + 1.0
+        m = t["m"] + (y - t["m"]) / n
+        return F.struct(n.alias("n"), m.alias("m"), (t["s"] + (y - t["m"]) * (y - m)).alias("s"))
+
+    return F.aggregate(a, start, add, lambda t: F.when(t["n"] > 0, t["s"] / t["n"]))
+
+
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once: an element of a one-element array."""
+    return F.transform(F.array(value), then)[0]
 
 
 def array_quantile(a: Column, p: float) -> Column:
-    """Linear interpolation in the sorted array."""
-    s = F.array_sort(a)
-    at = (F.size(a) - 1) * F.lit(p)
-    lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    return F.when(F.size(a) > 0, F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (at - lo))
+    """Linear interpolation in the sorted array, which is sorted once."""
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(p)
+        lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        return F.when(F.size(s) > 0, F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (at - lo))
+
+    return bound(F.array_sort(a), of)
 
 
 def array_mad(a: Column) -> Column:
-    m = array_quantile(a, 0.5)
-    return array_quantile(F.transform(a, lambda x: F.abs(x - m)), 0.5)
+    return bound(array_quantile(a, 0.5), lambda m: array_quantile(F.transform(a, lambda x: F.abs(x - m)), 0.5))
 
 
 ROW = {
@@ -155,6 +169,19 @@ def per_frame(frames: DataFrame, metrics: Iterable[str], features: str = "featur
     return frames.select("traj_id", "frame_idx", *[ROW[m](F.col(features)).alias(m) for m in metrics])
 
 
+def per_frame_with(frames: DataFrame, func, features: str = "features", to: str = "result") -> DataFrame:
+    """Any function of a frame's values (a numpy vector) as statistic of the frame; Arrow batches."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    def run(v):
+        return v.map(lambda x: float(func(np.asarray(x, float))))
+
+    run.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return frames.select("traj_id", "frame_idx", pandas_udf(run, "double")(F.col(features)).alias(to))
+
+
 def per_frame_circular(frames: DataFrame, features: str = "features") -> DataFrame:
     a = F.col(features)
     s = F.aggregate(a, F.lit(0.0), lambda x, y: x + F.sin(F.radians(y))) / F.size(a)
@@ -183,9 +210,10 @@ def per_residue(long: DataFrame, pairs: DataFrame, metrics: Iterable[str], diago
     return aggregate(values, ["residue"], metrics)
 
 
-def differences(a: DataFrame, b: DataFrame, by: Iterable[str] = ("feature_idx",), metric: str = "mean", periodic: bool = False) -> DataFrame:
-    """metric(a) - metric(b) for each group; on the circle for angles."""
+def differences(a: DataFrame, b: DataFrame, by: Iterable[str] = ("feature_idx",), metric: str = "mean", periodic: bool = False, before=None) -> DataFrame:
+    """metric(a) - metric(b) for each group; on the circle for angles. ``before`` is done to both tables first."""
     by = list(by)
+    a, b = (a, b) if before is None else (before(a), before(b))
     left = aggregate(a, by, [metric], periodic=periodic).withColumnRenamed(metric, "a")
     right = aggregate(b, by, [metric], periodic=periodic).withColumnRenamed(metric, "b")
     d = F.col("a") - F.col("b")
@@ -203,6 +231,15 @@ def frame_differences(long: DataFrame, frame_1: int, frame_2: int, periodic: boo
     return one.join(two, keys).select(*keys, (F.pmod(d + 180, F.lit(360.0)) - 180 if periodic else d).alias("difference"))
 
 
+def class_differences(a: DataFrame, b: DataFrame, by: Iterable[str] = ("feature_idx",), column: str = "class") -> DataFrame:
+    """Share of each class in ``a`` less that in ``b``, for each group; a class that one of them lacks has share 0 there."""
+    by = list(by)
+    left = class_frequencies(a, by, column).select(*by, column, F.col("frequency").alias("a"))
+    right = class_frequencies(b, by, column).select(*by, column, F.col("frequency").alias("b"))
+    both = left.join(right, [*by, column], "full")
+    return both.select(*by, column, (F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("difference"))
+
+
 def class_frequencies(classes: DataFrame, by: Iterable[str] = ("traj_id",), column: str = "class") -> DataFrame:
     """Share of each class in each group: the count by class first, so hot groups are summed before they meet."""
     by = list(by)

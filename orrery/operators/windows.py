@@ -97,10 +97,17 @@ def class_transition_matrix(classes: DataFrame, by: Iterable[str] = ("traj_id",)
 
 def squared_parts(a: Column, b: Column, atom: int = 3) -> Column:
     """Squared displacement of each atom between two coordinate arrays."""
-    n = (F.size(a) / atom).cast("int")
-    parts = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    one = lambda k: F.aggregate(F.slice(parts, k * atom + 1, F.lit(atom)), F.lit(0.0), lambda x, y: x + y)
-    return F.transform(F.sequence(F.lit(0), n - 1), one)
+    from orrery.operators.stats import bound
+
+    def one(x: Column, y: Column, k: Column) -> Column:
+        parts = [F.get(x, k * atom + c).cast("double") - F.get(y, k * atom + c) for c in range(atom)]
+        total = parts[0] * parts[0]
+        for p in parts[1:]:
+            total = total + p * p
+        return total
+
+    # By place in the two arrays: no array is made for an atom, and both are evaluated once.
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda t: F.transform(F.sequence(F.lit(0), (F.size(t["a"]) / atom).cast("int") - 1), lambda k: one(t["a"], t["b"], k)))
 
 
 def reduced(squares: Column, metric: str) -> Column:

@@ -158,7 +158,8 @@ def dominant_class(s, d):
 
 @query(f"WITH {EV} SELECT traj_id, round(avg((value < 100)::INT), 6) AS burial, round(avg((value > 300)::INT), 6) AS exposure FROM ev GROUP BY traj_id")
 def burial_exposure_fraction(s, d):
-    return rounded(ev(s, d).groupBy("traj_id").agg(F.avg((F.col("value") < 100).cast("double")).alias("burial"), F.avg((F.col("value") > 300).cast("double")).alias("exposure")), "burial", "exposure")
+    low, high = (stats.fraction(ev(s, d), t, ["traj_id"], above=up).withColumnRenamed("fraction", n) for n, t, up in (("burial", 100, False), ("exposure", 300, True)))
+    return rounded(low.join(high, "traj_id"), "burial", "exposure")
 
 
 @query(f"WITH {EL} SELECT (a.feature_idx)::BIGINT AS feature_idx, round(a.m - b.m, 6) AS difference FROM (SELECT feature_idx, avg(value) m FROM el WHERE label < 5 GROUP BY 1) a JOIN (SELECT feature_idx, avg(value) m FROM el WHERE label >= 5 GROUP BY 1) b USING (feature_idx)")
@@ -300,6 +301,11 @@ def rmsd_to_reference(s, d):
     return a.join(b, "frame_idx")
 
 
+@query(f"WITH {XF}, o AS (SELECT v AS w FROM vf WHERE frame_idx = 0), q AS (SELECT frame_idx, list_transform({_sq('v', 'w')}, lambda x: sqrt(x)) AS s FROM vf, o) SELECT frame_idx, round(list_median(list_transform(s, lambda x: abs(x - list_median(s)))), 6) AS mad FROM q")
+def rmsd_to_reference_mad(s, d):
+    return windows.rmsd_to_reference(xyz(s, d), 0, 0, "mad").select("frame_idx", r("rmsd").alias("mad"))
+
+
 @query(f"WITH {XF}, a AS (SELECT frame_idx, v, lead(v, 2) OVER (ORDER BY frame_idx) AS w FROM vf), q AS (SELECT frame_idx, {_sq('v', 'w')} AS s FROM a WHERE w IS NOT NULL) SELECT frame_idx, round(sqrt(list_avg(s)), 6) AS rmsd FROM q")
 def frame_to_frame_rmsd(s, d):
     return windows.frame_to_frame(xyz(s, d), 2).select("frame_idx", r("rmsd").alias("rmsd"))
@@ -459,11 +465,11 @@ def feature_names(s, d):
     return language.names_of(_meta(s, d)).select("feature_idx", "feature_name")
 
 
-@query(f"WITH {EL}, k AS (SELECT label, feature_idx FROM el GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.11) SELECT feature_idx::BIGINT AS feature_idx FROM k GROUP BY feature_idx HAVING count(*) = (SELECT count(DISTINCT label) FROM k)")
+@query(f"WITH {EL}, k AS (SELECT label, feature_idx FROM el GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.11) SELECT feature_idx::BIGINT AS feature_idx FROM k GROUP BY feature_idx HAVING count(*) = (SELECT count(DISTINCT label) FROM embeddings)")
 def cross_traj_intersect(s, d):
     x = el(s, d).drop("traj_id").withColumnRenamed("label", "traj_id")
     kept = reduce.within(reduce.metric_of(x, "distances", "std"), 0.11)
-    return select.common_features(kept).select(F.col("feature_idx").cast("long").alias("feature_idx"))
+    return select.common_features(kept, x).select(F.col("feature_idx").cast("long").alias("feature_idx"))
 
 
 # Reduction: bounds on a metric, for each metric of each type
@@ -495,7 +501,7 @@ for _m, _expr in _REDUCE_SQL.items():
 
 @query(f"WITH {EV}, a AS (SELECT traj_id, abs(value - lag(value, 10) OVER (PARTITION BY traj_id ORDER BY frame_idx)) >= 2 AS m FROM ev) SELECT traj_id, round(count(*) FILTER (m), 6)::DOUBLE AS metric_value FROM a GROUP BY traj_id HAVING count(*) FILTER (m) >= 50")
 def reduce_transitions(s, d):
-    return reduce.reduce_features(_scalar(s, d), "distances", "transitions", 50).select("traj_id", r("metric_value").alias("metric_value"))
+    return reduce.reduce_features(_scalar(s, d), "distances", "transitions", 50, mode="lagtime", lag=10).select("traj_id", r("metric_value").alias("metric_value"))
 
 
 @query(_mad_sql(EV, "ev", "traj_id").replace("AS mad", "AS metric_value") + " HAVING median(abs(value - c)) >= 40")
@@ -521,10 +527,10 @@ def reduce_class_frequencies(s, d):
     return reduce.reduce_features(x, "dssp", "class_frequencies", 0.3, classes=["click", "view"]).select("traj_id", r("metric_value").alias("metric_value"))
 
 
-@query(f"WITH {EL}, k AS (SELECT label, feature_idx FROM el GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.12) SELECT label, (SELECT count(DISTINCT feature_idx) FROM el) AS n_before, count(*) AS n_after, round(count(*) / (SELECT count(DISTINCT feature_idx) FROM el), 6) AS retention FROM k GROUP BY label")
+@query(f"WITH {EL}, b AS (SELECT label, feature_idx, stddev_pop(value) >= 0.12 AS stays FROM el GROUP BY 1, 2) SELECT label, count(*) AS n_before, count(*) FILTER (stays) AS n_after, round(count(*) FILTER (stays) / count(*), 6) AS retention FROM b GROUP BY label")
 def reduction_summary(s, d):
     x = el(s, d).drop("traj_id").withColumnRenamed("label", "traj_id")
-    out = reduce.summary(x, reduce.reduce_features(x, "distances", "std", 0.12)).where("n_after > 0")
+    out = reduce.summary(x, reduce.reduce_features(x, "distances", "std", 0.12))
     return rounded(out.withColumnRenamed("traj_id", "label"), "retention")
 
 
@@ -537,8 +543,8 @@ def pairwise_distances(s, d):
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id) SELECT a, count(*) FILTER (d <= 1.3) AS n_contacts FROM d GROUP BY a""")
 def contacts_from_distances(s, d):
-    x = features.vector_distances(vf(s, d))
-    return x.groupBy("a").agg(F.count(F.when(F.col("distance") <= 1.3, 1)).alias("n_contacts"))
+    x = features.vector_distances(vf(s, d)).select("a", F.array("distance").alias("features"))
+    return features.contacts(x, 1.3).groupBy("a").agg(F.count(F.when(F.get("features", F.lit(0)), 1)).alias("n_contacts"))
 
 
 @query(f"WITH {VF} SELECT frame_idx, len(list_filter(v, lambda x: x > 0))::BIGINT AS n_contacts, round(100.0 * len(list_filter(v, lambda x: x > 0)) / len(v), 6) AS percentage FROM vf")
@@ -860,7 +866,7 @@ for _m, _expr, _lo in (("std", "stddev_pop(value)", 0.11), ("range", "max(value)
     query(f"WITH {EL}, {_VM} SELECT label AS traj_id, feature_idx::BIGINT AS feature_idx, round({_expr}, 6) AS metric_value FROM el JOIN vm USING (feature_idx) WHERE seqid BETWEEN 10 AND 40 AND aaa <> 'GLY' GROUP BY 1, 2 HAVING {_expr} >= {_lo}", f"post_selection_{_m}")(_post)
 
 
-@query(f"WITH {EL}, {_VM}, k AS (SELECT label, feature_idx FROM el JOIN vm USING (feature_idx) WHERE aaa = 'ALA' GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.1) SELECT feature_idx::BIGINT AS feature_idx, count(*) AS n FROM k WHERE feature_idx IN (SELECT feature_idx FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT label) FROM k)) GROUP BY 1")
+@query(f"WITH {EL}, {_VM}, k AS (SELECT label, feature_idx FROM el JOIN vm USING (feature_idx) WHERE aaa = 'ALA' GROUP BY 1, 2 HAVING stddev_pop(value) >= 0.1) SELECT feature_idx::BIGINT AS feature_idx, count(*) AS n FROM k WHERE feature_idx IN (SELECT feature_idx FROM k GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT label) FROM embeddings)) GROUP BY 1")
 def post_selection_cross_trajectory(s, d):
     meta = _vector_meta(s, d).crossJoin(_labelled(s, d).select("traj_id").distinct())
     kept = reduce.select_then_reduce(meta, _labelled(s, d), "res ALA", "distances", "std", 0.1)

@@ -41,8 +41,8 @@ class Select:
         def add(selection: str = "all", least: float | None = None, most: float | None = None, cross_trajectory: bool = True, **options) -> DataFrame:
             p = self.pipeline
             kept = reduce.select_then_reduce(p.meta[self.feature], p.long(self.feature), selection, self.type, metric, least, most, cross_trajectory, **options)
-            p.reductions[self.feature] = kept
-            p.add_selection(self.selector, self.feature, selection, use_reduced=True)
+            # The selector's own: other selectors and the feature's reduction stay as they are.
+            p.add_selection(self.selector, self.feature, selection, kept=kept)
             return kept
 
         return add

@@ -96,8 +96,13 @@ class Pipeline:
     def create_feature_selector(self, name: str) -> None:
         self._new(self.feature_selectors, name, [])
 
-    def add_selection(self, name: str, feature: str, selection: str = "all", use_reduced: bool = False, require_all: bool = False, common: bool = True) -> None:
-        self.feature_selectors[name].append({"feature": feature, "selection": selection, "use_reduced": use_reduced, "require_all": require_all, "common": common})
+    def add_selection(self, name: str, feature: str, selection: str = "all", use_reduced: bool = False, require_all: bool = False, common: bool = True, kept: DataFrame | None = None) -> None:
+        """A part of a selector. ``use_reduced``: only what the feature's reduction keeps; ``kept``: only what this part's own reduction (traj_id, feature_idx) keeps."""
+        parts = self.feature_selectors[name]
+        own = f"{name}#{len(parts)}" if kept is not None else None
+        if own:
+            self.reductions[own] = kept
+        parts.append({"feature": feature, "selection": selection, "use_reduced": use_reduced, "require_all": require_all, "common": common, "kept": own})
 
     def selected_features(self, name: str) -> DataFrame:
         """feature_type, traj_id, feature_idx: the union of the selector's parts."""
@@ -106,8 +111,8 @@ class Pipeline:
             meta = language.select_features(self.meta[part["feature"]], part["selection"], part["require_all"])
             meta = select.common_identities(meta) if part["common"] else meta
             found = meta.select(F.lit(part["feature"]).alias("feature_type"), "traj_id", "feature_idx")
-            if part["use_reduced"]:
-                found = found.join(self.reductions[part["feature"]].select("traj_id", "feature_idx"), ["traj_id", "feature_idx"], "left_semi")
+            for reduction in ([part["feature"]] if part["use_reduced"] else []) + ([part["kept"]] if part.get("kept") else []):
+                found = found.join(self.reductions[reduction].select("traj_id", "feature_idx"), ["traj_id", "feature_idx"], "left_semi")
             out = found if out is None else out.unionByName(found)
         return out.distinct()
 

@@ -401,3 +401,70 @@ def test_residue_importance_and_beta(spark):
     assert beta[0] == 1.0 and beta[4] == 0.0 and beta[8] == 0.5
     assert structure.residue_features(scores, meta(spark)).where("shared").count() == 0
     assert "spectrum b" in structure.pymol_script("a.pdb", [(3, "#ff0000")])
+
+
+def test_long_frames_take_linear_time(spark):
+    """3081 values a frame, as 1027 atoms have: statistics and deviations within a row are one pass."""
+    import time
+
+    r = np.random.default_rng(3)
+    x = r.standard_normal((40, 3081))
+    df = spark.createDataFrame([(0, k, v.tolist()) for k, v in enumerate(x)], "traj_id int, frame_idx int, features array<double>").cache()
+    df.count()
+    began = time.perf_counter()
+    got = {q["frame_idx"]: q for q in stats.per_frame(df, ["std", "variance", "mad", "median"]).collect()}
+    rmsd = {m: {q["frame_idx"]: q["rmsd"] for q in windows.rmsd_to_reference(df, 0, 0, m).collect()} for m in ("mean", "median", "mad")}
+    assert time.perf_counter() - began < 20
+    d = np.sqrt(((x - x[0]).reshape(40, -1, 3) ** 2).sum(2))
+    for k in (1, 17, 39):
+        assert np.isclose(got[k]["std"], x[k].std()) and np.isclose(got[k]["variance"], x[k].var())
+        assert np.isclose(got[k]["median"], np.median(x[k])) and np.isclose(got[k]["mad"], np.median(abs(x[k] - np.median(x[k]))))
+        assert np.isclose(rmsd["mean"][k], np.sqrt((d[k] ** 2).mean())) and np.isclose(rmsd["median"][k], np.sqrt(np.median(d[k] ** 2)))
+        assert np.isclose(rmsd["mad"][k], np.median(abs(d[k] - np.median(d[k]))))
+
+
+def test_distances_of_many_pairs(spark):
+    r = np.random.default_rng(5)
+    x = r.random((6, 90, 3)) * 3
+    groups = [list(range(3 * k, 3 * k + 3)) for k in range(30)]
+    pairs = [(groups[i], groups[j]) for i in range(30) for j in range(i + 1, 30)]
+    df = spark.createDataFrame([(0, k, v.ravel().tolist(), [3.0, 3.0, 3.0]) for k, v in enumerate(x)], "traj_id int, frame_idx int, xyz array<double>, box array<double>")
+    for periodic in (False, True):
+        for q in features.distances(df, pairs, periodic).collect():
+            d = x[q["frame_idx"]][:, None] - x[q["frame_idx"]][None]
+            d -= 3.0 * np.round(d / 3.0) if periodic else 0
+            d = np.sqrt((d**2).sum(2))
+            want = [10 * min(d[a, b] for a in i for b in j) for i, j in pairs]
+            assert np.allclose(q["features"], want, atol=1e-4)
+
+
+def test_a_trajectory_that_keeps_nothing(spark):
+    rows = [(t, f, i, float(f * (i == 0) * (t + 1))) for t in (0, 1) for f in range(6) for i in (0, 1)]
+    x = spark.createDataFrame([(t, f, i, 0.0 if t == 1 else v) for t, f, i, v in rows], "traj_id int, frame_idx int, feature_idx int, value double")
+    assert [q["feature_idx"] for q in reduce.reduce_features(x, "distances", "range", 1.0).collect()] == [0]
+    assert reduce.reduce_features(x, "distances", "range", 1.0, cross_trajectory=True).count() == 0
+
+
+def test_reduction_modes_and_own_metrics(spark):
+    from pyspark.sql import functions as F
+
+    v = [0, 0, 0, 5, 5, 5, 0, 0, 9, 9, 9, 9]
+    x = spark.createDataFrame([(0, k, 0, float(y)) for k, y in enumerate(v)], "traj_id int, frame_idx int, feature_idx int, value double")
+    count = lambda **o: reduce.metric_of(x, "distances", "transitions", **o).first()["metric_value"]
+    assert count() == sum(max(v[k : k + 10]) - min(v[k : k + 10]) >= 2 for k in range(3))
+    assert count(window=3) == sum(max(v[k : k + 3]) - min(v[k : k + 3]) >= 2 for k in range(10))
+    assert count(mode="lagtime") == 3 and count(mode="lagtime", lag=2) == sum(abs(a - b) >= 2 for a, b in zip(v, v[2:], strict=False))
+    assert reduce.metric_of(x, "distances", lambda c: F.max(c) - F.avg(c)).first()["metric_value"] == 9 - sum(v) / 12
+    with pytest.raises(ValueError, match="mode"):
+        count(mode="other")
+
+
+def test_statistics_of_ones_own(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0, 4.0]), (0, 1, [3.0, 3.0, 3.0])], "traj_id int, frame_idx int, features array<double>")
+    assert [q["result"] for q in stats.per_frame_with(df, np.ptp).orderBy("frame_idx").collect()] == [3.0, 0.0]
+    a = spark.createDataFrame([(0, "H"), (0, "H"), (0, "E"), (1, "C")], "feature_idx int, class string")
+    b = spark.createDataFrame([(0, "H"), (0, "C")], "feature_idx int, class string")
+    got = {(q["feature_idx"], q["class"]): q["difference"] for q in stats.class_differences(a, b).collect()}
+    assert np.isclose(got[0, "H"], 2 / 3 - 1 / 2) and np.isclose(got[0, "E"], 1 / 3) and got[0, "C"] == -0.5 and got[1, "C"] == 1.0
+    x = spark.createDataFrame([(0, 4.0), (0, 6.0)], "feature_idx int, value double")
+    assert stats.differences(x, x.withColumn("value", x["value"] * 2), before=lambda t: t.withColumn("value", t["value"] + 1)).first()["difference"] == -5.0
