@@ -26,9 +26,10 @@ SCHEMAS = {
 
 
 def to_long(frames: DataFrame, features: str = "features") -> DataFrame:
-    """Array form to long form; other columns stay."""
+    """Array form to long form, numbers as double, classes as they are; other columns stay."""
     rest = [c for c in frames.columns if c != features]
-    return frames.select(*rest, F.posexplode(features).alias("feature_idx", "value")).withColumn("value", F.col("value").cast("double"))
+    long = frames.select(*rest, F.posexplode(features).alias("feature_idx", "value"))
+    return long if isinstance(long.schema["value"].dataType, T.StringType) else long.withColumn("value", F.col("value").cast("double"))
 
 
 def to_array(long: DataFrame, keys: tuple[str, ...] = ("traj_id", "frame_idx")) -> DataFrame:

@@ -222,6 +222,15 @@ def savitzky_golay(long: DataFrame, size: int, order: int = 3, by: Iterable[str]
     return rows.select(*by, "frame_idx", out.alias("smoothed"))
 
 
+def smooth_frames(frames: DataFrame, size: int, order: int | None = None, features: str = "features") -> DataFrame:
+    """Frames with every value smoothed along its trajectory: a moving average, or a polynomial of ``order``."""
+    from orrery.model import to_array, to_long
+
+    long, by = to_long(frames.select("traj_id", "frame_idx", features), features), ["traj_id", "feature_idx"]
+    smoothed = moving_average(long, size, by) if order is None else savitzky_golay(long, size, order, by)
+    return to_array(smoothed.withColumnRenamed("smoothed", "value")).withColumnRenamed("features", features)
+
+
 def x_values(frames: DataFrame, use_time: bool = False) -> DataFrame:
     """Frame number, or time in nanoseconds from picoseconds."""
     return frames.withColumn("x", F.col("time_ps") / 1000.0 if use_time else F.col("frame_idx").cast("double"))

@@ -1,5 +1,5 @@
 import pytest
-from orrery.plans import catalog
+from orrery.plans import catalog, catalog_named  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
