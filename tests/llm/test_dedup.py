@@ -43,6 +43,35 @@ def test_exact_many_copies(spark):
     assert got.where("keep_id = 0").count() == 3000
 
 
+def test_exact_index_takes_more_batches(spark, monkeypatch):
+    """Batches that come later find what earlier ones left, through filters, levels and merges."""
+    monkeypatch.setattr(exact_dedup, "FANOUT", 2)
+    r = random.Random(6)
+    index, held = exact_dedup.Index(spark), {}
+    for batch in range(5):
+        rows = [(100 * batch + k, f"text  number {r.randrange(60)}" + " " * r.randrange(3)) for k in range(40)]
+        hits = index.add(exact_dedup.digests(frame(spark, rows), "doc_id", "text"))
+        want = {i: min(held[squeezed(t)])[1] for i, t in rows if squeezed(t) in held}
+        assert {q["doc_id"]: q["keep_id"] for q in hits.collect()} == want if hits is not None else not held
+        for i, t in rows:
+            held.setdefault(squeezed(t), []).append((-len(t), i))
+        assert all(len(level) < 2 for level in index.levels)
+    whole = index.compact()
+    assert len(index.runs()) == 1 and whole.entries.count() == len(held)
+    got = {q["digest"].hex(): (q["best"]["ident"], q["n"]) for q in whole.entries.collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): (min(x)[1], len(x)) for t, x in held.items()}
+
+
+def test_exact_filter(spark):
+    """A run's filter lets all of its own digests through and few others."""
+    rows = exact_dedup.digests(frame(spark, [(i, f"t{i}") for i in range(9000)]), "doc_id", "text")
+    run = exact_dedup.Index(spark).write(exact_dedup.entries_of(rows.where("doc_id < 6000")))
+    assert run.blocks > 1
+    tested = run.tested(rows)
+    assert tested.where("doc_id < 6000 AND maybe").count() == 6000
+    assert tested.where("doc_id >= 6000 AND maybe").count() < 300
+
+
 def one_edit(a, b):
     if a == b:
         return True
