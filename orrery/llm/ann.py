@@ -8,18 +8,18 @@ nearest centroid. The number of lists to probe is the least that finds
 ``TARGET`` of the true neighbours within the sample.
 
 A query meets the vectors of its probed lists in blocks of at most about
-``BLOCK`` vectors and ``QUERIES`` queries. A block keeps columns of ``COLUMNS`` rotated components:
-after each column a candidate is abandoned if its partial distance, scaled to
-all dimensions, lies above the query's bound by more than chance allows
-(``EPSILON`` standard errors). What is left is scored exactly, in double
-precision on the vectors as given.
+``BLOCK`` vectors and ``QUERIES`` queries. A block is scanned in slices of ``SLICE`` vectors and
+columns of ``COLUMNS`` rotated components: after each column a candidate is abandoned if its
+partial distance, scaled to all dimensions, lies above the query's bound by more than chance
+allows (``EPSILON`` standard errors). The bound is the k-th nearest found so far and tightens from
+slice to slice. What is left is scored exactly, in double precision on the vectors as given.
 
 Equal vectors are searched and scanned once: of each distinct vector only the
 k + 1 smallest identifiers can be among anyone's k nearest. So copies make no
 hot list, and large lists are cut into blocks.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components,
-or whose length isn't the most frequent one, take no part, nor do rows with a null identifier;
+Edge cases: vectors that are null, zero or hold null or non-finite components
+take no part, nor do rows with a null identifier; vectors of different lengths are an error;
 ties go to the smaller identifier; repeated rows count once; with fewer candidates
 than k all are returned; an empty table gives no rows; other columns are ignored.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.shared import table, written
 
-SAMPLE, TARGET, BLOCK, QUERIES, COLUMNS, EPSILON, SEED = 8192, 0.97, 2048, 2048, 16, 2.1, 7
+SAMPLE, TARGET, BLOCK, QUERIES, SLICE, COLUMNS, EPSILON, SEED = 8192, 0.97, 2048, 2048, 512, 16, 2.1, 7
 K = 20
 
 
@@ -83,34 +83,41 @@ class Index:
         return int(found[min(len(found) - 1, int(np.ceil(target * len(found))) - 1)]) + 1
 
 
+def slice_pairs(a: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of rotated vectors that no test abandons, with their distances."""
+    d, pairs = x.shape[1], None
+    partial, alive = np.zeros((len(a), len(x))), np.ones((len(a), len(x)), bool)
+    for c in range(0, d, COLUMNS):
+        ac, xc, seen = a[:, c : c + COLUMNS], x[:, c : c + COLUMNS], min(c + COLUMNS, d)
+        limit = bound * (seen / d) * (1.0 if seen == d else (1 + EPSILON / np.sqrt(seen)) ** 2)
+        if pairs is None:
+            partial += (ac**2).sum(1)[:, None] + (xc**2).sum(1)[None, :] - 2 * ac @ xc.T
+            alive &= partial <= limit[:, None] + 1e-9
+            if alive.mean() < 0.15:
+                pairs = np.nonzero(alive)
+                rest = partial[pairs]
+        else:
+            i, j = pairs
+            rest = rest + ((ac[i] - xc[j]) ** 2).sum(1)
+            stay = rest <= limit[i] + 1e-9
+            pairs, rest = (i[stay], j[stay]), rest[stay]
+    i, j = np.nonzero(alive) if pairs is None else pairs
+    return i, j, partial[i, j] if pairs is None else rest
+
+
 def scan_block(q: np.ndarray, x: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vector) that no test abandoned. q, x: vectors as given."""
     turned_q, turned_x = index.turned(q, query=True), index.turned(x)
-    d = turned_x.shape[1]
-    seeds = np.linspace(0, len(x) - 1, min(len(x), 4 * k), dtype=int)
-    found = []
+    found = [(np.zeros(0, int), np.zeros(0, int))]
     for lo in range(0, len(q), 128):
         a = turned_q[lo : lo + 128]
-        away = ((a**2).sum(1)[:, None] + (turned_x[seeds] ** 2).sum(1)[None, :] - 2 * a @ turned_x[seeds].T) if len(seeds) >= k else None
-        bound = np.partition(away, k - 1, axis=1)[:, k - 1] if away is not None else np.full(len(a), np.inf)
-        partial = np.zeros((len(a), len(x)))
-        alive, pairs = np.ones(partial.shape, bool), None
-        for c in range(0, d, COLUMNS):
-            ac, xc, seen = a[:, c : c + COLUMNS], turned_x[:, c : c + COLUMNS], min(c + COLUMNS, d)
-            limit = bound * (seen / d) * (1.0 if seen == d else (1 + EPSILON / np.sqrt(seen)) ** 2)
-            if pairs is None:
-                partial += (ac**2).sum(1)[:, None] + (xc**2).sum(1)[None, :] - 2 * ac @ xc.T
-                alive &= partial <= limit[:, None] + 1e-9
-                if alive.mean() < 0.15:
-                    pairs = np.nonzero(alive)
-                    rest = partial[pairs]
-            else:
-                i, j = pairs
-                rest = rest + ((ac[i] - xc[j]) ** 2).sum(1)
-                stay = rest <= limit[i] + 1e-9
-                pairs, rest = (i[stay], j[stay]), rest[stay]
-        i, j = np.nonzero(alive) if pairs is None else pairs
-        found.append((i + lo, j))
+        best = np.full((len(a), k), np.inf)
+        for at in range(0, len(x), SLICE):
+            i, j, away = slice_pairs(a, turned_x[at : at + SLICE], best.max(1))
+            found.append((i + lo, j + at))
+            near = np.full((len(a), k + min(SLICE, len(x) - at)), np.inf)
+            near[:, :k], near[i, k + j] = best, away
+            best = np.partition(near, k - 1, axis=1)[:, :k]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -164,11 +171,12 @@ def search(df: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: the k nearest found of each row for which ``is_query`` (on ``vec_id``) holds."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where("forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')) AND exists(v, c -> c <> 0)")
-    widths = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    widths = [x["d"] for x in rows.select(F.size("v").alias("d")).distinct().orderBy("d").limit(2).collect()]
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not widths:
         return empty
-    rows = rows.where(F.size("v") == widths[0]["d"])
+    if len(widths) > 1:
+        raise ValueError(f"vectors of {widths[0]} and of {widths[1]} components have no inner product")
     # The k + 1 smallest identifiers of each distinct vector; the limit holds before rows are dealt out.
     ranked = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     distinct = written(ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("uid"), "v", "ids"), "vectors")

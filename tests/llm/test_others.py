@@ -45,6 +45,11 @@ def test_warc(spark, tmp_path):
     assert text.startswith(b"WARC/1.1\r\n") and b"WARC-Type: revisit" in text
 
 
+def test_warc_without_identifiers(spark):
+    got = warc.read_archives(warc.write_archives(warc.records(pages(spark, [(None, "y" * 2000), (None, "y" * 2000), (1, "z")])))).where("last").collect()
+    assert {q["record_type"] for q in got} == {"response"} and len({q["record_id"] for q in got}) == 3
+
+
 def test_warc_empty(spark):
     manifest = warc.write_archives(warc.records(pages(spark, [])))
     assert warc.payloads_of(warc.read_archives(manifest)).count() == 0
@@ -72,7 +77,7 @@ def test_ann(spark, copies, monkeypatch):
     x = r.standard_normal((600, 16)).astype(np.float32)
     x[-copies or 600 :] = x[0]
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    rows += [(2000, None), (2010, [0.0] * 16), (2020, [None] + [1.0] * 15), (2030, [float("nan")] * 16), (2040, [float("inf")] * 16), (2050, []), (None, rows[3][1]), (2060, [1.0, 2.0]), rows[20]]
+    rows += [(2000, None), (2010, [0.0] * 16), (2020, [None] + [1.0] * 15), (2030, [float("nan")] * 16), (2040, [float("inf")] * 16), (2050, []), (None, rows[3][1]), rows[20]]
     got = {}
     for row in ann.search(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=7, target=1.0).collect():
         got.setdefault(row["query_id"], []).append((row["rank"], -row["score"], row["vec_id"]))
@@ -94,6 +99,26 @@ def test_ann_few(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0)]
     assert ann.search(vectors(spark, rows[:1]), F.lit(True)).count() == 0
     assert ann.search(vectors(spark, []), F.lit(True)).count() == 0
+    with pytest.raises(ValueError, match="no inner product"):
+        ann.search(vectors(spark, [*rows, (3, [1.0, 2.0, 3.0])]), F.lit(True))
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_ann_recall(spark, folder):
+    """Recall of the search as it ships, against brute force."""
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([q[0] for q in rows]), np.array([q[1] for q in rows], float)
+    scores = x[ids % 20 == 0] @ x.T
+    scores[np.arange(len(scores)), np.flatnonzero(ids % 20 == 0)] = -np.inf
+    want = {int(q): set(ids[np.argsort(-s)[:20]].tolist()) for q, s in zip(ids[ids % 20 == 0], scores, strict=True)}
+    found = {}
+    for q in ann.op1_ann(spark, f"/root/testdata/{folder}").collect():
+        found.setdefault(q["query_id"], set()).add(q["vec_id"])
+    assert set(found) == set(want)
+    recall = sum(len(found[q] & want[q]) for q in want) / (20 * len(want))
+    print("recall", folder, recall)
+    assert recall >= 0.9
 
 
 def fill(budget, children):
@@ -115,13 +140,13 @@ def fill(budget, children):
 def test_mixing(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), " ".join(["w"] * int(r.integers(0, 40))), str(r.choice(["en", "en", "en", "de", "fr"])), f"src{r.integers(0, 9)}") for i in range(3000)]
-    rows += [(5000, None, None, None), (5001, "", "en", "src1"), (None, "a b", "en", "odd"), (5002, "x " * 50_000, "de", "src3"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    rows += [(5000, None, None, None), (6000, "a b c", None, "none"), (6001, "d e", "none", None), (6002, "f g h i", None, None), (5001, "", "en", "src1"), (None, "a b", "en", "odd"), (5002, "x " * 50_000, "de", "src3"), (7, rows[7][1], rows[7][2], rows[7][3])]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, source string, domain string")
     got = mixing.mix(df, mixing.document_levels(), share=0.8, max_epochs=2, seed=17, weights=mixing.WEIGHTS).collect()
     leaves = {}
     for i, t, lang, source in rows:
         number = int("".join(c for c in source or "" if c.isdigit()) or 0)
-        leaves.setdefault((f"domain{number % 4}", lang or "none", source or "none"), []).append((i, len((t or "").split())))
+        leaves.setdefault((f"domain{number % 4}", lang, source), []).append((i, len((t or "").split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
     budget = {(): 0.8 * sum(tokens.values())}
     for depth, level in enumerate(("domain", "lang", "source")):
