@@ -42,7 +42,7 @@ def weighted(leaves: DataFrame, level: str, weights: dict[str, float] | None) ->
     """Adds ``w``: the weight of the value of ``level``, 1 unless stated."""
     w = F.lit(1.0)
     for value, weight in (weights or {}).items():
-        w = F.when(F.col(level) == value, F.lit(float(weight))).otherwise(w)
+        w = F.when(F.col(level) == f"={value}", F.lit(float(weight))).otherwise(w)
     return leaves.withColumn("w", w.cast("double"))
 
 
@@ -63,8 +63,8 @@ def filled(nodes: DataFrame, parents: DataFrame, keys: list[str], level: str, we
             condition = same if condition is None else condition & same
         joined = joined.join(parents.select(*[F.col(k).alias(f"q_{k}") for k in keys], "budget"), condition).drop(*[f"q_{k}" for k in keys])
     else:
-        joined = joined.withColumn("budget", F.lit(None).cast("double")).drop("budget").withColumn("one", F.lit(1)).join(parents.withColumn("one", F.lit(1)).select("one", "budget"), "one").drop("one")
-    joined = joined.withColumn("fills", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(F.lit(float("inf")))).withColumn("tie", F.coalesce(F.col("value"), F.lit("￿")))
+        joined = joined.withColumn("one", F.lit(1)).join(parents.withColumn("one", F.lit(1)).select("one", "budget"), "one").drop("one")
+    joined = joined.withColumn("fills", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(F.lit(float("inf")))).withColumn("tie", F.col("value"))
     joined = joined.withColumn("usable", F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0.0)))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = joined.withColumn("cap_upto", F.sum("usable").over(upto)).withColumn("w_after", F.sum("w").over(siblings) - F.sum("w").over(upto))
@@ -92,6 +92,11 @@ def order_key(seed: int, epoch: Column, ident: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(ident.cast("string"), F.lit("none"))))
 
 
+def held(value: Column) -> Column:
+    """A level's value as text in which null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def mix(df: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, share: float = 0.8, max_epochs: int = 2, seed: int = 17, weights: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Rows taken: doc_id, the levels, n_tokens, epoch (from 0), times (epochs that took the row).
 
@@ -100,7 +105,7 @@ def mix(df: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_c
     how often a row may come. One row for each epoch that takes a row.
     """
     names = list(levels)
-    rows = df.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("none")).alias(n) for n, c in levels.items()], (words(F.col(text_col)) if tokens is None else tokens).cast("long").alias("n_tokens"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *[held(c).alias(n) for n, c in levels.items()], (words(F.col(text_col)) if tokens is None else tokens).cast("long").alias("n_tokens"))
     rows = written(rows, "sizes")
     leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("held"))
     # One row for each leaf of the tree.
@@ -124,7 +129,8 @@ def mix(df: DataFrame, levels: dict[str, Column], id_col: str = "doc_id", text_c
     same = Window.partitionBy(*names, "bin", "key")
     edge = near.where("holds").withColumn("start", F.col("before") + F.sum("n_tokens").over(ordered) - F.sum("n_tokens").over(same)).where(F.col("start") < F.col("edge"))
     columns = ["doc_id", *names, "n_tokens", "epoch"]
-    return again.select(*columns).unionByName(inside.select(*columns)).unionByName(edge.select(*columns))
+    taken = again.select(*columns).unionByName(inside.select(*columns)).unionByName(edge.select(*columns))
+    return taken.withColumns({n: F.when(F.col(n) != "", F.substring(F.col(n), F.lit(2), F.length(n))) for n in names})
 
 
 def document_levels() -> dict[str, Column]:
@@ -156,7 +162,7 @@ def _level_sql(i: int) -> str:
     level, up = keys[-1], ", ".join(keys[:-1])
     by = f"PARTITION BY {up}" if up else ""
     join = f"JOIN b{i} USING ({up})" if up else "CROSS JOIN b0"
-    weight = {"domain": "CASE domain WHEN 'domain0' THEN 2.0 WHEN 'domain1' THEN 1.5 ELSE 1.0 END", "lang": "CASE lang WHEN 'en' THEN 4.0 ELSE 1.0 END", "source": "1.0"}[level]
+    weight = {"domain": "CASE domain WHEN 'domain0' THEN 2.0 WHEN 'domain1' THEN 1.5 ELSE 1.0 END", "lang": "CASE lang WHEN '=en' THEN 4.0 ELSE 1.0 END", "source": "1.0"}[level]
     return f"""
 n{i} AS (SELECT {', '.join(keys)}, sum(tokens) * 2.0::DOUBLE AS cap, ({weight})::DOUBLE AS w FROM leaf GROUP BY {', '.join(keys)}),
 m{i} AS (SELECT n{i}.*, budget, sum(cap) OVER up{i} AS cap_upto, sum(w) OVER all{i} - sum(w) OVER up{i} AS w_after
@@ -170,7 +176,7 @@ b{i + 1} AS (SELECT {', '.join(keys)}, CASE WHEN is_full THEN cap ELSE least(cap
 OP2_SQL = (
     r"""
 WITH d AS (
-  SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4) AS domain, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+  SELECT doc_id, 'domain' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)', 1) AS BIGINT), 0) % 4) AS domain, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
   FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
@@ -180,8 +186,8 @@ b0 AS (SELECT sum(tokens) * 0.8 AS budget FROM leaf),"""
 p AS (SELECT leaf.*, budget, CASE WHEN tokens > 0 THEN least(floor(budget / tokens + 1e-9), 2) ELSE 0 END::INT AS n_whole FROM leaf JOIN b3 USING (domain, lang, source)),
 e AS (SELECT d.*, n_whole, CASE WHEN n_whole >= 2 THEN 0 ELSE budget - n_whole * tokens END AS edge, md5('17:' || n_whole || ':' || doc_id) AS k FROM d JOIN p USING (domain, lang, source)),
 s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM e)
-SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(n_whole)) AS INT) AS epoch FROM e
+SELECT doc_id, domain, nullif(lang, '')[2:] AS lang, nullif(source, '')[2:] AS source, n_tokens, CAST(unnest(range(n_whole)) AS INT) AS epoch FROM e
 UNION ALL
-SELECT doc_id, domain, lang, source, n_tokens, n_whole AS epoch FROM s WHERE edge > 1e-6 AND start < edge
+SELECT doc_id, domain, nullif(lang, '')[2:] AS lang, nullif(source, '')[2:] AS source, n_tokens, n_whole AS epoch FROM s WHERE edge > 1e-6 AND start < edge
 """
 )

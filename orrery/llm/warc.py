@@ -19,7 +19,7 @@ at most an orphan.
 Edge cases: a null payload counts as empty; smaller and empty payloads are all
 responses; a null identifier is written without its field and read as null,
 and sorts before all others; repeated rows with the largest identifier of
-their payload are all responses; an empty table gives no rows; other columns
+their payload are all responses, and so are rows of a payload without any identifier; an empty table gives no rows; other columns
 are ignored, whatever their names.
 """
 
@@ -51,8 +51,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     keyed = rows.where(F.col("bytes") >= REVISIT_BYTES).select(F.unhex(F.sha2("payload", 256)).alias("key"), "page_id")
     # The first row of a payload needs no other: only payloads that more than one row has are looked up.
     shared = keyed.groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Narrow rows only are dealt by payload; the rows' own payloads stay where they are read.
-    revisits = keyed.join(shared, "key").where(F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))).select("key", F.col("page_id").alias("v_id"), "keeper").distinct()
+    # Narrow rows only are dealt by payload. Payloads are dealt by identifier to meet their revisits, unless those are few enough to be broadcast.
+    revisits = keyed.join(shared, "key").where("keeper IS NOT NULL AND (page_id IS NULL OR page_id < keeper)").select("key", F.col("page_id").alias("v_id"), "keeper").distinct()
     at = (F.col("page_id").eqNullSafe(F.col("v_id"))) & (F.unhex(F.sha2("payload", 256)) == F.col("key"))
     rows = rows.join(revisits, at, "left")
     kind = F.when(F.col("key").isNotNull(), "revisit").otherwise("response")
@@ -74,7 +74,8 @@ def filesystem(path: str):
 
 
 def record_urn(page_id: int | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
+    """The same for each record of an identifier; one of its own for a record without."""
+    return f"urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
 
 
 def head(row: dict) -> bytes:
