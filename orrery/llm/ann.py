@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.shared import table, written
 
-SAMPLE, TARGET, BLOCK, QUERIES, SLICE, COLUMNS, EPSILON, SEED = 8192, 0.97, 2048, 2048, 512, 16, 2.1, 7
+SAMPLE, TARGET, BLOCK, QUERIES, SLICE, COLUMNS, EPSILON, SEED = 8192, 0.97, 2048, 2048, 256, 16, 2.1, 7
 K = 20
 
 
@@ -108,16 +108,26 @@ def slice_pairs(a: np.ndarray, x: np.ndarray, bound: np.ndarray) -> tuple[np.nda
 def scan_block(q: np.ndarray, x: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vector) that no test abandoned. q, x: vectors as given."""
     turned_q, turned_x = index.turned(q, query=True), index.turned(x)
+    seeds = turned_x[np.linspace(0, len(x) - 1, min(len(x), 4 * k), dtype=int)]
     found = [(np.zeros(0, int), np.zeros(0, int))]
     for lo in range(0, len(q), 128):
+        held = []
         a = turned_q[lo : lo + 128]
+        # A few vectors give the first bound; those scanned tighten it.
+        away = (a**2).sum(1)[:, None] + (seeds**2).sum(1)[None, :] - 2 * a @ seeds.T
+        bound = np.partition(away, k - 1, axis=1)[:, k - 1] if len(seeds) >= k else np.full(len(a), np.inf)
         best = np.full((len(a), k), np.inf)
         for at in range(0, len(x), SLICE):
-            i, j, away = slice_pairs(a, turned_x[at : at + SLICE], best.max(1))
-            found.append((i + lo, j + at))
-            near = np.full((len(a), k + min(SLICE, len(x) - at)), np.inf)
+            part = turned_x[at : at + SLICE]
+            i, j, away = slice_pairs(a, part, bound)
+            held.append((i, j + at, away))
+            near = np.full((len(a), k + len(part)), np.inf)
             near[:, :k], near[i, k + j] = best, away
             best = np.partition(near, k - 1, axis=1)[:, :k]
+            bound = np.minimum(bound, best.max(1))
+        i, j, away = (np.concatenate([h[p] for h in held]) for p in range(3))
+        stay = away <= bound[i] * (1 + 1e-9) + 1e-9
+        found.append((i[stay] + lo, j[stay]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 

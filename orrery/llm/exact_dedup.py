@@ -162,14 +162,14 @@ def mismatches(df: DataFrame, id_col: str, text_col: str, members: DataFrame) ->
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     hits = members.where("group_size > 1").select("doc_id", "digest", stays.alias("stays"), copies.alias("copies")).distinct()
     texts = df.select(F.col(id_col).alias("t_id"), normalised(F.col(text_col)).alias("norm"))
-    texts = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id"))).drop("t_id")
+    texts = merged(hits).join(merged(texts), F.col("doc_id").eqNullSafe(F.col("t_id"))).drop("t_id")
     # An identifier may stand in rows with other texts: only bytes of this digest count.
     texts = texts.where(F.substring(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)), 1, F.length("digest")) == F.col("digest"))
     texts = written(texts, "hits")
     kept = texts.where("stays").groupBy("digest", "copies").agg(F.min("norm").alias("keep_norm"))
     kept = kept.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = texts.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
-    return dealt.join(kept, ["digest", "copy"]).where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
+    return dealt.join(merged(kept), ["digest", "copy"]).where(F.col("norm") != F.col("keep_norm")).select("digest").distinct()
 
 
 def regrouped(df: DataFrame, id_col: str, text_col: str, bad: DataFrame) -> DataFrame:
