@@ -7,17 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: One-letter codes of residue names, protonation variants included.
+#: One-letter codes of residue names, protonation variants and modified residues included.
 ONE_LETTER = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
     "ASH": "D", "CYM": "C", "CYX": "C", "GLH": "E", "HID": "H", "HIE": "H", "HIP": "H", "LYN": "K",
+    "HSP": "H", "SEP": "S", "TPO": "T", "PTR": "Y", "MSE": "M", "CSO": "C", "ARN": "R",
 }
 
 
 def one_letter(name: Column) -> Column:
+    """One-letter code; an unknown name's first three letters."""
     table = F.create_map(*[F.lit(x) for pair in ONE_LETTER.items() for x in pair])
-    return F.coalesce(table[F.upper(name)], F.lit("X"))
+    return F.coalesce(table[F.upper(name)], F.substring(name, 1, 3))
+
+
+def code_of(name: str) -> str:
+    """One-letter code; an unknown name's first three letters."""
+    return ONE_LETTER.get(name.upper(), name[:3])
 
 
 def full_name(aaa: Column, seqid: Column, consensus: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.names import ONE_LETTER
+from orrery.functions.names import code_of
 
 ATOMS = "path string, atom_idx int, name string, element string, residue_index int, aaa_code string, a_code string, seqid int, chain string"
 FRAMES = "path string, frame_idx long, time_ps float, xyz array<float>, box array<float>"
@@ -43,7 +43,7 @@ def parse_pdb(lines: list[str]) -> tuple[list[tuple], list[list[float]], list[fl
                 if (chain, seqid, aaa) != last:
                     last, residue = (chain, seqid, aaa), residue + 1
                 element = line[76:78].strip() or name.lstrip("0123456789")[:1]
-                atoms.append((len(atoms), name, element, residue, aaa, ONE_LETTER.get(aaa.upper(), "X"), seqid, chain))
+                atoms.append((len(atoms), name, element, residue, aaa, code_of(aaa), seqid, chain))
         elif kind in ("ENDMDL", "END") and current:
             models.append(current)
             current, first = [], False
