@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -133,13 +134,14 @@ class Tree:
         return me
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), int)
-        for i, row in enumerate(x):
-            node = self.nodes[0]
-            while node["feature"] >= 0:
-                node = self.nodes[node["left"] if row[node["feature"]] <= node["threshold"] else node["right"]]
-            out[i] = int(np.argmax(node["counts"]))
-        return self.classes[out]
+        feature, cut, left, right = (np.array([n[k] if n["feature"] >= 0 else 0 for n in self.nodes]) for k in ("feature", "threshold", "left", "right"))
+        inner, best = np.array([n["feature"] >= 0 for n in self.nodes]), np.array([int(np.argmax(n["counts"])) for n in self.nodes])
+        # All rows go down the tree together, a level at a time.
+        at = np.zeros(len(x), int)
+        while len(rows := np.flatnonzero(inner[at])):
+            node = at[rows]
+            at[rows] = np.where(x[rows, feature[node]] <= cut[node], left[node], right[node])
+        return self.classes[best[at]]
 
     def report(self, x: np.ndarray, y: np.ndarray) -> dict:
         got = self.predict(x)
@@ -151,8 +153,20 @@ class Tree:
         return {"accuracy": float((got == y).mean()), "classes": each, "depth": max(n["depth"] for n in self.nodes), "leaves": sum(n["feature"] < 0 for n in self.nodes)}
 
 
-def tree_importance(data: DataFrame, features: str = "features", max_samples: int = 50_000, max_depth: int | None = 5, **options) -> tuple[DataFrame, DataFrame]:
-    """(scores, nodes) of a tree for each sub-comparison; each is fitted in a task of its own on at most ``max_samples`` rows."""
+class Trees(NamedTuple):
+    """Tables of the trees of a comparison: scores of features, nodes (with children and counts of classes), reports of the fit."""
+
+    scores: DataFrame
+    nodes: DataFrame
+    reports: DataFrame
+
+
+def tree_importance(data: DataFrame, features: str = "features", max_samples: int = 50_000, max_depth: int | None = 5, **options) -> Trees:
+    """A tree for each sub-comparison; each is fitted once, in a task of its own, on at most ``max_samples`` rows.
+
+    The bound is one on labelled rows of a classifier's fit: the larger sub-comparison is
+    sampled by class (``stratified``).
+    """
     import pandas as pd
 
     held = stratified(data, max_samples).select("sub_comparison", "y", *KEYS, features)
@@ -161,16 +175,19 @@ def tree_importance(data: DataFrame, features: str = "features", max_samples: in
         batch = batch.sort_values(["y", *KEYS])
         return Tree(max_depth, **options).fit(np.stack(batch[features].to_numpy()).astype(float), batch["y"].to_numpy())
 
-    def scores(batch: pd.DataFrame) -> pd.DataFrame:
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
         tree = fitted(batch)
-        return pd.DataFrame({"sub_comparison": batch["sub_comparison"].iloc[0], "feature_idx": np.arange(len(tree.importance)), "score": tree.importance})
+        x, y = np.stack(batch[features].to_numpy()).astype(float), batch["y"].to_numpy()
+        report = tree.report(x, y)
+        classes = [{"class": int(c), **v} for c, v in report.pop("classes").items()]
+        nodes = [{**{k: n[k] for k in ("id", "depth", "n", "impurity", "feature", "threshold", "left", "right")}, "counts": n["counts"]} for n in tree.nodes]
+        return pd.DataFrame([{"sub_comparison": batch["sub_comparison"].iloc[0], "importance": tree.importance.tolist(), "nodes": nodes, "report": {**report, "rows": len(y), "classes": classes}}])
 
-    def nodes(batch: pd.DataFrame) -> pd.DataFrame:
-        tree = fitted(batch)
-        return pd.DataFrame([{"sub_comparison": batch["sub_comparison"].iloc[0], **{k: n[k] for k in ("id", "depth", "n", "impurity", "feature", "threshold")}} for n in tree.nodes])
-
-    by = held.groupBy("sub_comparison")
-    return by.applyInPandas(scores, "sub_comparison string, feature_idx int, score double"), held.groupBy("sub_comparison").applyInPandas(nodes, "sub_comparison string, id int, depth int, n int, impurity double, feature int, threshold double")
+    node = "array<struct<id:int,depth:int,n:int,impurity:double,feature:int,threshold:double,left:int,right:int,counts:array<double>>>"
+    report = "struct<accuracy:double,depth:int,leaves:int,rows:int,classes:array<struct<class:int,precision:double,recall:double,f1:double,support:int>>>"
+    fits = held.groupBy("sub_comparison").applyInPandas(run, f"sub_comparison string, importance array<double>, nodes {node}, report {report}").persist()
+    scores = fits.select("sub_comparison", F.posexplode("importance").alias("feature_idx", "score"))
+    return Trees(scores, fits.select("sub_comparison", F.explode("nodes").alias("x")).select("sub_comparison", "x.*"), fits.select("sub_comparison", "report.*"))
 
 
 def top_features(scores: DataFrame, n: int = 10, by: Sequence[str] = ("sub_comparison",)) -> DataFrame:
@@ -218,6 +235,13 @@ def centroid_frame(frames: DataFrame, features: str = "features") -> DataFrame:
     return best.select("b.traj_id", "b.frame_idx", F.col("b.d").alias("distance"))
 
 
+def representatives(long: DataFrame, trees: Trees, sub_comparison: str, n: int = 10, periodic: bool = False) -> DataFrame:
+    """The frame that stands best for a sub-comparison: its n highest scores and their mean thresholds, put together."""
+    best = top_features(trees.scores.where(F.col("sub_comparison") == sub_comparison), n)
+    rules = best.join(tree_rules(trees.nodes), ["sub_comparison", "feature_idx"])
+    return representative_frames(long, rules, periodic)
+
+
 def contacts_as_distances(selection: list[dict]) -> list[dict]:
     """A selection of contacts as the same selection of distances."""
     return [{**s, "feature_type": "distances"} if s.get("feature_type") == "contacts" else dict(s) for s in selection]

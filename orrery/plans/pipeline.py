@@ -32,7 +32,7 @@ class Pipeline:
         self.decompositions: dict[str, DataFrame] = {}
         self.clusterings: dict[str, DataFrame] = {}
         self.comparisons: dict[str, dict] = {}
-        self.importances: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.importances: dict[str, compare.Trees] = {}
         self.plugins: dict[str, Callable[..., DataFrame]] = {}
 
     @staticmethod
@@ -99,7 +99,7 @@ class Pipeline:
     def add_selection(self, name: str, feature: str, selection: str = "all", use_reduced: bool = False, require_all: bool = False, common: bool = True, kept: DataFrame | None = None) -> None:
         """A part of a selector. ``use_reduced``: only what the feature's reduction keeps; ``kept``: only what this part's own reduction (traj_id, feature_idx) keeps."""
         parts = self.feature_selectors[name]
-        own = f"{name}#{len(parts)}" if kept is not None else None
+        own = f"{name}~{len(parts)}" if kept is not None else None
         if own:
             self.reductions[own] = kept
         parts.append({"feature": feature, "selection": selection, "use_reduced": use_reduced, "require_all": require_all, "common": common, "kept": own})
@@ -191,11 +191,15 @@ class Pipeline:
 
     def _tables(self) -> dict[str, DataFrame]:
         groups = {"features": self.features, "meta": self.meta, "reductions": self.reductions, "data_selectors": self.data_selectors, "decompositions": self.decompositions, "clusterings": self.clusterings}
+        groups["comparisons"] = {n: c["rows"] for n, c in self.comparisons.items()}
+        groups["importances"] = {f"{n}.{part}": df for n, trees in self.importances.items() for part, df in trees._asdict().items()}
         out = {f"{g}.{n}": df for g, tables in groups.items() for n, df in tables.items()}
         return out | ({"trajectories": self.trajectories} if self.trajectories is not None else {})
 
     def save(self, path: str) -> None:
-        store.save(self._tables(), path, {"feature_selectors": self.feature_selectors})
+        """All tables and notes; functions of one's own are named in the notes and have to be registered again."""
+        comparisons = {n: {"mode": c["mode"], "selectors": c["selectors"]} for n, c in self.comparisons.items()}
+        store.save(self._tables(), path, {"feature_selectors": self.feature_selectors, "comparisons": comparisons, "plugins": sorted(self.plugins)})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Pipeline:
@@ -206,7 +210,14 @@ class Pipeline:
                 p.trajectories = df
             else:
                 group, _, entity = name.partition(".")
-                getattr(p, group)[entity] = df
+                if group == "comparisons":
+                    p.comparisons[entity] = {**notes["comparisons"][entity], "rows": df}
+                elif group == "importances":
+                    entity, _, part = entity.rpartition(".")
+                    held = p.importances.get(entity, compare.Trees(None, None, None))
+                    p.importances[entity] = held._replace(**{part: df})
+                else:
+                    getattr(p, group)[entity] = df
         p.feature_selectors = notes["feature_selectors"]
         return p
 

@@ -468,3 +468,45 @@ def test_statistics_of_ones_own(spark):
     assert np.isclose(got[0, "H"], 2 / 3 - 1 / 2) and np.isclose(got[0, "E"], 1 / 3) and got[0, "C"] == -0.5 and got[1, "C"] == 1.0
     x = spark.createDataFrame([(0, 4.0), (0, 6.0)], "feature_idx int, value double")
     assert stats.differences(x, x.withColumn("value", x["value"] * 2), before=lambda t: t.withColumn("value", t["value"] + 1)).first()["difference"] == -5.0
+
+
+def test_trees_reports_and_representatives(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((90, 4))
+    y = (x[:, 2] > 0.3).astype(int)
+    rows = [("a_vs_b", int(c), 0, k, v.tolist()) for k, (c, v) in enumerate(zip(y, x, strict=True))]
+    data = spark.createDataFrame(rows, "sub_comparison string, y int, traj_id int, frame_idx int, features array<double>")
+    trees = compare.tree_importance(data, max_depth=3)
+    report = trees.reports.first()
+    assert report["accuracy"] == 1.0 and report["rows"] == 90 and report["leaves"] == 2 and report["depth"] == 1
+    assert [(c["class"], c["support"], c["f1"]) for c in report["classes"]] == [(0, int((y == 0).sum()), 1.0), (1, int((y == 1).sum()), 1.0)]
+    root, low, high = sorted(trees.nodes.collect(), key=lambda n: n["id"])
+    assert (root["feature"], root["left"], root["right"]) == (2, low["id"], high["id"]) and root["counts"] == [float((y == 0).sum()), float((y == 1).sum())]
+    assert low["feature"] == -1 and low["left"] is None and trees.scores.where("score > 0").first()["feature_idx"] == 2
+    best = compare.representatives(model.to_long(data.select("traj_id", "frame_idx", "features")), trees, "a_vs_b", 1).first()
+    assert best["frame_idx"] == int(np.argmin(np.abs(x[:, 2] - root["threshold"])))
+    big = compare.Tree(6).fit(x, r.integers(0, 3, 90))
+    slow = []
+    for row in x:
+        node = big.nodes[0]
+        while node["feature"] >= 0:
+            node = big.nodes[node["left"] if row[node["feature"]] <= node["threshold"] else node["right"]]
+        slow.append(int(np.argmax(node["counts"])))
+    assert big.predict(x).tolist() == slow
+
+
+def test_pipeline_keeps_comparisons(spark, tmp_path):
+    from orrery.plans.pipeline import Pipeline
+
+    p = Pipeline(spark)
+    frames = spark.createDataFrame([(0, k, [float(k % 3), float(k)]) for k in range(40)], "traj_id int, frame_idx long, features array<double>")
+    p.add_feature("x", frames)
+    for name, low in (("a", True), ("b", False)):
+        p.create_data_selector(name, frames.where("frame_idx < 20" if low else "frame_idx >= 20").select("traj_id", "frame_idx"))
+    p.compare("c", ["a", "b"], "binary")
+    p.importance("i", "c", frames)
+    p.save(f"file://{tmp_path}/p")
+    q = Pipeline.load(spark, f"file://{tmp_path}/p")
+    assert q.comparisons["c"]["mode"] == "binary" and q.comparisons["c"]["rows"].count() == 40
+    assert q.top_features("i", 1).first()["feature_idx"] == 1 and q.importances["i"].nodes.count() == 3
+    assert q.importances["i"].reports.first()["accuracy"] == 1.0
