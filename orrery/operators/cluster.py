@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.blocks import block_pairs, blocks_of, components, kept, linked, matrix, within
+from orrery.operators.blocks import block_pairs, blocks_of, components, kept, linked, matrix, squares, within
 from orrery.operators.decompose import rows_of
 from orrery.operators.stats import percentile
 
@@ -307,12 +307,7 @@ def dbscan_tables(frames: DataFrame, eps: float = 0.5, min_samples: int = 5, fea
     if not blocks:
         return frames.select(*key, F.lit(NOISE).alias("label"))
 
-    def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        near = within(matrix(a, features), matrix(b, features), eps)
-        sides = [a[key].assign(n=near.sum(1))] + ([] if a is b else [b[key].assign(n=near.sum(0))])
-        return pd.concat(sides)
-
-    n = block_pairs(frames, blocks, counted, "traj_id int, frame_idx long, n long").groupBy(*key).agg(F.sum("n").alias("n"))
+    n = neighbours_within(frames, eps, features).withColumnRenamed("n_neighbours", "n")
     rows = kept(frames.join(n, key), "counted")
 
     def stars(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -380,21 +375,20 @@ def cluster(frames: DataFrame, method: str = "dbscan", sample: int | None = None
     return frames.select("traj_id", "frame_idx", features).mapInPandas(run, "traj_id int, frame_idx long, label int")
 
 
-def neighbours_within(frames: DataFrame, eps: float, cell: list[int] | None = None, features: str = "features") -> DataFrame:
-    """Number of rows within eps of each row (itself included): rows meet only in neighbouring cells of a grid.
+def neighbours_within(frames: DataFrame, eps: float, features: str = "features") -> DataFrame:
+    """traj_id, frame_idx, n_neighbours: number of rows within eps of each row (itself included); rows meet in blocks, as matrices."""
+    import pandas as pd
 
-    The grid lies over the features in ``cell`` (the first two unless given); two rows
-    within eps are never more than one cell apart in any of them.
-    """
-    axes = cell or [0, 1]
-    own = [F.floor(F.get(F.col(features), F.lit(a)) / eps).cast("long") for a in axes]
-    rows = frames.select("traj_id", "frame_idx", F.col(features).alias("v"), *[c.alias(f"c{k}") for k, c in enumerate(own)])
-    other = rows.select(F.col("v").alias("w"), *[F.explode(F.array(*[F.col(f"c{k}") + s for s in (-1, 0, 1)])).alias(f"c{k}") if k == 0 else F.col(f"c{k}").alias(f"o{k}") for k in range(len(axes))])
-    for k in range(1, len(axes)):
-        other = other.withColumn(f"c{k}", F.explode(F.array(*[F.col(f"o{k}") + s for s in (-1, 0, 1)]))).drop(f"o{k}")
-    d2 = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    met = rows.join(other, [f"c{k}" for k in range(len(axes))]).where(d2 <= eps * eps)
-    return met.groupBy("traj_id", "frame_idx").agg(F.count(F.lit(1)).alias("n_neighbours"))
+    key = ["traj_id", "frame_idx"]
+    frames = frames.select(F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), features)
+
+    def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        near = within(matrix(a, features), matrix(b, features), eps)
+        sides = [a[key].assign(n=near.sum(1))] + ([] if a is b else [b[key].assign(n=near.sum(0))])
+        return pd.concat(sides)
+
+    counts = block_pairs(frames, max(1, blocks_of(frames, features)), counted, "traj_id int, frame_idx long, n long")
+    return counts.groupBy(*key).agg(F.sum("n").alias("n_neighbours"))
 
 
 # Centres
@@ -486,24 +480,58 @@ def counts(labels: DataFrame) -> DataFrame:
 
 
 def silhouette(frames: DataFrame, features: str = "features", sample: int | None = None) -> DataFrame:
-    """Mean of (b - a) / max(a, b) without noise; null with fewer than two clusters. All pairs of a (sampled) set, in blocks."""
+    """Mean of (b - a) / max(a, b) without noise; null with fewer than two clusters. All pairs of a (sampled) set, in blocks that give sums by cluster."""
+    import pandas as pd
+
+    key = ["traj_id", "frame_idx"]
     rows = frames.where("label >= 0")
-    rows = rows.orderBy(F.xxhash64("traj_id", "frame_idx"), "traj_id", "frame_idx").limit(sample) if sample else rows
-    rows = rows.select(F.col("frame_idx").alias("id"), "label", F.col(features).alias("v"))
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = rows.crossJoin(rows.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("v").alias("w"))).where("id <> id2")
-    to = pairs.select("id", "label", "label2", d.alias("d")).groupBy("id", "label", "label2").agg(F.avg("d").alias("m"))
-    ab = to.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("m"))).alias("b"))
+    rows = rows.orderBy(F.xxhash64(*key), *key).limit(sample) if sample else rows
+    rows = rows.select(F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("label").cast("int").alias("label"), features)
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = np.sqrt(squares(matrix(a, features), matrix(b, features)))
+        if a is b:
+            np.fill_diagonal(d, 0.0)
+        out = []
+        for x, y, m in [(a, b, d)] if a is b else [(a, b, d), (b, a, d.T)]:
+            names, at = np.unique(y["label"].to_numpy(), return_inverse=True)
+            total, n = m @ np.eye(len(names))[at], np.tile(np.bincount(at), (len(x), 1))
+            if a is b:
+                n[np.arange(len(x)), at] -= 1
+            for k, label2 in enumerate(names.tolist()):
+                out.append(x[[*key, "label"]].assign(label2=label2, d=total[:, k], n=n[:, k]))
+        return pd.concat(out)
+
+    each = block_pairs(rows, max(1, blocks_of(rows, features)), sums, "traj_id int, frame_idx long, label int, label2 int, d double, n long")
+    to = each.groupBy(*key, "label", "label2").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+    ab = to.groupBy(*key).agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return ab.agg(F.when(F.count("b") > 0, F.avg(s)).alias("silhouette"))
 
 
 def knn_labels(asked: DataFrame, labelled: DataFrame, k: int = 5, features: str = "features") -> DataFrame:
-    """Majority label of the k nearest labelled rows; ties by the smaller label. ``labelled`` is a bounded sample."""
-    left = asked.select(F.col("frame_idx").alias("id"), F.col(features).alias("v"))
-    right = labelled.where("label >= 0").select(F.col("frame_idx").alias("id2"), "label", F.col(features).alias("w"))
-    d2 = F.aggregate(F.zip_with("v", "w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = left.crossJoin(right).select("id", "id2", "label", d2.alias("d2"))
+    """id (frame_idx) and majority label of the k nearest labelled rows; ties by the smaller label. Rows meet in blocks that give each row's k nearest."""
+    import pandas as pd
+
+    side = lambda df, label: df.select(F.lit(0).alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), label.cast("int").alias("label"), features)
+    rows = side(asked, F.lit(None)).unionByName(side(labelled.where("label >= 0"), F.col("label")))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x, y in [(a, b)] if a is b else [(a, b), (b, a)]:
+            x, y = x[x["label"].isna()], y[y["label"].notna()].sort_values("frame_idx")
+            if not len(x) or not len(y):
+                continue
+            u, v = matrix(x, features), matrix(y, features)
+            rough, n = squares(u, v), min(len(y), k + 8)
+            at = np.sort(np.argpartition(rough, n - 1, axis=1)[:, :n], axis=1)
+            d2 = ((u[:, None] - v[at]) ** 2).sum(2)
+            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+            at, d2 = np.take_along_axis(at, order, 1), np.take_along_axis(d2, order, 1)
+            out.append(pd.DataFrame({"id": np.repeat(x["frame_idx"].to_numpy(), at.shape[1]), "id2": y["frame_idx"].to_numpy()[at].ravel(), "label": y["label"].to_numpy()[at].ravel().astype(int), "d2": d2.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id", "id2", "label", "d2")})
+
+    near = block_pairs(rows, max(1, blocks_of(rows, features)), nearest, "id long, id2 long, label int, d2 double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "id2"))
     votes = near.withColumn("_n", place).where(F.col("_n") <= k).groupBy("id", "label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("b")).select("id", F.col("b.label").alias("label"))
