@@ -114,6 +114,19 @@ def pipeline_matrix(s, d):
     return p.matrix("f", "g").select("traj_id", "frame_idx", F.size("features").cast("long").alias("n"), r(weighted).alias("checksum"))
 
 
+for _name, _text, _where in (
+    ("labelled", "consensus *2.4*-*4.4*", "seqid BETWEEN (SELECT min(seqid) FROM vm WHERE cons LIKE '%2.4%') AND (SELECT max(seqid) FROM vm WHERE cons LIKE '%4.4%') AND cons IS NOT NULL"),
+    ("all", "consensus all 2.42-4.44", "seqid BETWEEN (SELECT seqid FROM vm WHERE cons = '2.42') AND (SELECT seqid FROM vm WHERE cons = '4.44')"),
+    ("no_start", "consensus all 0.99-4.44", "seqid BETWEEN (SELECT max(seqid) FROM vm WHERE cons IS NOT NULL AND seqid < (SELECT seqid FROM vm WHERE cons = '4.44')) AND (SELECT seqid FROM vm WHERE cons = '4.44')"),
+    ("no_end", "consensus all 4.44-9.99 and not res GLY", "seqid BETWEEN (SELECT seqid FROM vm WHERE cons = '4.44') AND (SELECT min(seqid) FROM vm WHERE cons IS NOT NULL AND seqid > (SELECT seqid FROM vm WHERE cons = '4.44')) AND aaa <> 'GLY'"),
+):
+
+    def _range(s, d, text=_text):
+        return language.select_features(_vector_meta(s, d), text).select(F.col("feature_idx").cast("long").alias("feature_idx"))
+
+    query(f"WITH {_VM} SELECT feature_idx::BIGINT AS feature_idx FROM vm WHERE {_where}", f"consensus_range_{_name}")(_range)
+
+
 # Statistics
 
 

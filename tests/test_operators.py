@@ -510,3 +510,13 @@ def test_pipeline_keeps_comparisons(spark, tmp_path):
     assert q.comparisons["c"]["mode"] == "binary" and q.comparisons["c"]["rows"].count() == 40
     assert q.top_features("i", 1).first()["feature_idx"] == 1 and q.importances["i"].nodes.count() == 3
     assert q.importances["i"].reports.first()["accuracy"] == 1.0
+
+
+def test_consensus_ranges_by_trajectory(spark):
+    part = lambda seqid, label: {"residue": {"seqid": seqid, "consensus": label, "aaa_code": "ALA", "a_code": "A", "index": seqid}}
+    rows = [(t, k, [part(10 * t + k, label)]) for t in (0, 1) for k, label in enumerate(["1.50", None, "2.50", "3.50" if t == 0 else None, None, "4.50"])]
+    meta = spark.createDataFrame(rows, "traj_id int, feature_idx int, partners array<struct<residue:struct<seqid:int,consensus:string,aaa_code:string,a_code:string,index:int>>>")
+    get = lambda s: [(r["traj_id"], r["feature_idx"]) for r in language.select_features(meta, s).orderBy("traj_id", "feature_idx").collect()]
+    assert get("consensus 1.50-3.50") == [(0, 0), (0, 2), (0, 3), (1, 0), (1, 2)]
+    assert get("consensus all 2.50-3.50") == [(0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (1, 5)]
+    assert get("consensus 9.50-8.50") == []
