@@ -143,7 +143,7 @@ def consensus_range(residues: DataFrame, start: str, end: str) -> DataFrame:
     lo = F.min(F.when(label.contains(start.strip("*").lower()), F.col("seqid"))).alias("lo")
     hi = F.max(F.when(label.contains(end.strip("*").lower()), F.col("seqid"))).alias("hi")
     bounds = residues.where("seqid <> 0").groupBy("traj_id").agg(lo, hi)
-    return residues.join(F.broadcast(bounds), "traj_id").where(F.col("seqid").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    return residues.join(bounds, "traj_id").where(F.col("seqid").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def names_of(meta: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def trajectory_condition(selector: int | str | Sequence) -> Column:
         return F.array_contains("tags", text[4:].strip())
     if text.startswith("regex "):
         return F.col("name").rlike(text[6:])
-    return F.col("name").rlike("^" + fnmatch.translate(text).replace("(?s:", "(?s:").removesuffix("\\Z").removesuffix("\\z") + "$")
+    return F.col("name").rlike("^" + fnmatch.translate(text).removesuffix("\\Z").removesuffix("\\z") + "$")
 
 
 def trajectories(dim: DataFrame, selector: int | str | Sequence) -> DataFrame:

@@ -101,14 +101,14 @@ def with_traj_ids(frames: DataFrame, stride: int = 1, atoms: Sequence[int] | Non
     rows = frames.where(F.col("frame_idx") % stride == 0).withColumn("frame_idx", (F.col("frame_idx") / stride).cast("long"))
     if atoms is not None:
         rows = rows.withColumn("xyz", F.flatten(F.transform(F.array(*[F.lit(int(a)) for a in atoms]), lambda a: F.slice(F.col("xyz"), a * 3 + 1, F.lit(3)))))
-    return rows.join(F.broadcast(ids), "path")
+    return rows.join(ids, "path")
 
 
 def concatenated(frames: DataFrame) -> DataFrame:
     """All trajectories as one, in order of their numbers."""
     lengths = frames.groupBy("traj_id").agg((F.max("frame_idx") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("traj_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = frames.join(F.broadcast(lengths.select("traj_id", before.alias("shift"))), "traj_id")
+    shifted = frames.join(lengths.select("traj_id", before.alias("shift")), "traj_id")
     return shifted.withColumn("frame_idx", F.col("frame_idx") + F.col("shift")).withColumn("traj_id", F.lit(0)).drop("shift")
 
 

@@ -17,19 +17,29 @@ def windowed_stats(stream: DataFrame, size: str, slide: str | None = None, late:
 
 
 def running_transitions(stream: DataFrame, threshold: float) -> DataFrame:
-    """Transitions so far of each trajectory, with the last value as state between batches."""
+    """Transitions so far of each trajectory, with the last row as state between batches.
+
+    Rows count in the order of their time. A row that comes after later ones were counted would
+    make false steps: it is left out and counted as ``late``. Rows without time or value are left out.
+    """
+    import numpy as np
     import pandas as pd
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, total = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for v in rows["value"]:
-            n += last is not None and abs(v - last) >= threshold
-            last, total = float(v), total + 1
-        state.update((last, int(n), int(total)))
-        yield pd.DataFrame({"traj_id": [key[0]], "transitions": [int(n)], "n_frames": [int(total)]})
-
-    return stream.groupBy("traj_id").applyInPandasWithState(run, "traj_id long, transitions long, n_frames long", "last double, n long, total long", "update", GroupStateTimeout.NoTimeout)
+        last, at, n, total, late = state.get if state.exists else (None, None, 0, 0, 0)
+        rows = pd.concat(list(batches)).dropna(subset=["ts", "value"]).sort_values("ts", kind="stable")
+        times, values = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["value"].to_numpy(float)
+        if at is not None:
+            late += int((times < at).sum())
+            times, values = times[times >= at], values[times >= at]
+        if len(values):
+            path = values if last is None else np.concatenate([[last], values])
+            n, total = n + int((np.abs(np.diff(path)) >= threshold).sum()), total + len(values)
+            last, at = float(values[-1]), int(times[-1])
+        state.update((last, at, int(n), int(total), int(late)))
+        yield pd.DataFrame({"traj_id": [key[0]], "transitions": [int(n)], "n_frames": [int(total)], "late": [int(late)]})
+
+    return stream.groupBy("traj_id").applyInPandasWithState(run, "traj_id long, transitions long, n_frames long, late long", "last double, at long, n long, total long, late long", "update", GroupStateTimeout.NoTimeout)
 
 
 def session_blocks(stream: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:

@@ -95,3 +95,18 @@ def test_streams(spark, tmp_path):
     got = run(transitions.windowed_stats(stream, "2 minutes"), "complete", "stats")
     assert got.count() == 3 and got.agg(F.sum("n")).first()[0] == 5
     assert run(transitions.session_blocks(stream, "90 seconds"), "complete", "blocks").count() == 2
+
+
+def test_late_rows_make_no_steps(spark, tmp_path):
+    """A second batch with rows before the last one seen, and with nulls."""
+    schema = "traj_id long, ts timestamp, value double"
+    row = lambda m, v: (1, None if m is None else f"2024-01-01 00:{m:02d}:00", v)
+    for k, rows in enumerate(([row(5, 1.0), row(0, 0.0), row(9, 9.0)], [row(7, 100.0), row(10, 9.5), row(12, 1.0), row(13, None), row(None, 5.0)])):
+        df = spark.createDataFrame(rows, "traj_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        q = transitions.running_transitions(stream, 3.0).writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").start()
+        q.processAllAvailable()
+        q.stop()
+        last = spark.read.parquet(f"{tmp_path}/out").orderBy(F.desc("n_frames")).first()
+        assert (last["transitions"], last["n_frames"], last["late"]) == ((1, 3, 0), (2, 5, 1))[k]
