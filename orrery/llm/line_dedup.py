@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import Scratch, merged, table
+from orrery.llm.shared import Scratch, lean, merged, released, sliced, table
 
 #: Least length for the near join.
 MIN_CHARS = 16
@@ -77,6 +77,7 @@ def block_keys(line: str, m: int) -> list[int]:
 
 def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Iterator[pa.RecordBatch]:
     """Output in batches of bounded size; ``make`` gives the rows of an input row."""
+    released()
     rows: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(k) for k in range(batch.num_columns)), strict=True):
@@ -87,6 +88,8 @@ def rows_of(batches: Iterator[pa.RecordBatch], schema: pa.Schema, make) -> Itera
                     rows = []
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+    del rows
+    released()
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -245,13 +248,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         return "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             n = batch.num_columns - 2
             texts = [strip(*x) for x in zip(*(batch.column(k).to_pylist() for k in (at, n, n + 1)), strict=True)]
             columns = [batch.column(k) if k != at else pa.array(texts, batch.schema.field(at).type) for k in range(n)]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(n)]))
 
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(lean(run), df.schema)
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import Scratch, merged, table
+from orrery.llm.shared import Scratch, lean, merged, sliced, table
 
 WORDS, PERCENT, WIDE, SEED = 5, 85, 5, 23
 #: Probability that a pair at the threshold differs in more symbols than the join allows for.
@@ -50,6 +50,8 @@ MISS = 1e-6
 BLOCK = 2048
 #: Shingles that a block holds.
 HELD = 1 << 21
+#: Signatures whose keys are one batch: a row becomes more than a hundred.
+KEYED = 512
 SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
 SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
@@ -118,9 +120,7 @@ def keyer(chunks: int, wide: int):
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, KEYED):
             sig = signatures_of(batch.column(1), chunks * wide).astype(np.uint64)
             keys = []
             for c in range(chunks):
@@ -166,7 +166,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([s.tobytes() for s in sets], pa.binary())], names=[*part.schema.names[1:], "set"]).filter(same)
 
     rest = [f for f in texts.schema.fields if f.name != "text"]
-    return texts.select("text", *[f.name for f in rest]).mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", set binary")
+    return texts.select("text", *[f.name for f in rest]).mapInArrow(lean(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", set binary")
 
 
 class Overlaps:
@@ -220,7 +220,7 @@ def with_leader(percent: int, names: list[str]):
     """Rows (lead, set, ...) without the first column, with ``linked``: whether both sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             found = []
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -244,7 +244,7 @@ def exact_links(families: DataFrame, docs: DataFrame, words: int, percent: int,
     lead = heads.join(merged(sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))), "leader")
     pairs = sets.join(merged(lead), "family").select("lead", "set", "id", "family", "n", "leader", "blocks")
     kinds = "set binary, id long, family long, n long, leader long, blocks int, linked boolean"
-    marked = scratch.put("marked", pairs.mapInArrow(with_leader(percent, [k.split()[0] for k in kinds.split(", ")]), kinds))
+    marked = scratch.put("marked", pairs.mapInArrow(lean(with_leader(percent, [k.split()[0] for k in kinds.split(", ")])), kinds))
     near = marked.where("linked AND id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     rest = marked.where("NOT linked")
     parts = scratch.put("parts", rest.groupBy("family").agg(F.ceil(F.sum("n") / HELD).cast("int").alias("parts")))
@@ -327,7 +327,7 @@ def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     chunks, scratch = chunks_for(percent), Scratch(df.sparkSession)
     limit, symbols = 2 * chunks - 1, chunks * WIDE
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.put("signatures", docs.mapInArrow(signer(words, symbols, SEED), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
+    signed = scratch.put("signatures", docs.mapInArrow(lean(signer(words, symbols, SEED)), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "h1", "h2")
     # The signature follows from the set, so any row of the set has it.
     nodes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
@@ -337,7 +337,7 @@ def dedup_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     if not twice.isEmpty():
         nodes = nodes.join(merged(twice), "id", "left").where(F.col("own").isNull() | (F.col("own") == own)).select(*groups.columns)
     sigs = nodes.select("id", "sig")
-    keys = sigs.mapInArrow(keyer(chunks, WIDE), "key long, id long")
+    keys = sigs.mapInArrow(lean(keyer(chunks, WIDE)), "key long, id long")
     # Summed before rows meet: a frequent key is one row a task.
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("key", "size")
     shared = scratch.put("shared", shared)

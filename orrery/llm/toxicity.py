@@ -28,6 +28,7 @@ table gives no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import table, written
+from orrery.llm.shared import lean, released, sliced, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Discounts of words and of pairs: below them a count is rare, and the next level decides.
@@ -225,23 +226,13 @@ def fitter(max_chars: int, labels: dict[int, int]):
         odds = (labels.get(0, 0) / here[0]) / max(1e-9, labels.get(1, 0) / here[1]) if labels.get(1) else 1.0
         fitted = cloudpickle.dumps(Scorer(texts, y, odds))
         del texts
+        gc.collect()
         released()
         yield pa.RecordBatch.from_pydict({"model": pa.array([fitted], pa.binary())})
 
     return run
 
 
-def released() -> None:
-    """Free memory back to the system: the Python worker lives on beside others."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 class Packed:
     """A pickled scorer; opened where it is first used, so the driver never holds it open."""
 
@@ -256,6 +247,9 @@ class Packed:
             self.scorer = cloudpickle.loads(self.raw)
         return self.scorer(text)
 
+    def close(self) -> None:
+        self.scorer = None
+
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
@@ -288,8 +282,9 @@ def ordinary_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scorer = train(docs.where(~held_out()), labels.where(~held_out()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array([scorer(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+        scorer.close()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

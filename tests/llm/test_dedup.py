@@ -201,3 +201,36 @@ def test_near_other_texts_of_an_identifier(spark):
 def test_signature_bound():
     assert near_dedup.chunks_for(85) == 13
     assert near_dedup.chunks_for(80) > near_dedup.chunks_for(85)
+
+
+def test_near_keys_come_in_bounded_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    chunks = near_dedup.chunks_for(80)
+    sig = np.random.default_rng(1).integers(0, 1 << 16, (3000, chunks * near_dedup.WIDE), dtype=np.uint16)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["id", "sig"])
+    run = near_dedup.keyer(chunks, near_dedup.WIDE)
+    got = list(run(iter([rows.slice(0, 0), rows])))
+    # Whatever the batches that come in: the worker and the JVM each hold one of these for every task.
+    assert max(b.nbytes for b in got) <= 1 << 20
+    alone = [b for k in range(0, 3000, 100) for b in run(iter([rows.slice(k, 100)]))]
+    pairs = lambda batches: sorted((i, k) for b in batches for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    assert pairs(got) == pairs(alone) and len(pairs(got)) == 3000 * chunks * near_dedup.WIDE
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+    from orrery.llm import shared
+
+    said = []
+    monkeypatch.setattr(shared, "released", lambda: said.append("released"))
+    rows = pa.RecordBatch.from_pydict({"x": list(range(10))})
+
+    def run(batches):
+        for batch in shared.sliced(batches, 4):
+            said.append(batch.num_rows)
+            yield batch
+
+    assert pa.Table.from_batches(shared.lean(run)(iter([rows, rows.slice(0, 0)]))).column("x").to_pylist() == list(range(10))
+    assert said == ["released", 4, 4, 2, "released"]
