@@ -520,3 +520,18 @@ def test_consensus_ranges_by_trajectory(spark):
     assert get("consensus 1.50-3.50") == [(0, 0), (0, 2), (0, 3), (1, 0), (1, 2)]
     assert get("consensus all 2.50-3.50") == [(0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (1, 5)]
     assert get("consensus 9.50-8.50") == []
+
+
+def test_kernels_of_pairs_meet_in_blocks(spark, monkeypatch):
+    from orrery.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 16)
+    monkeypatch.setattr(blocks, "TILE", 8)
+    x = np.random.default_rng(3).standard_normal((50, 4))
+    frames = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "traj_id int, frame_idx long, features array<double>")
+    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(2))
+    for form, want in (("plain", k), ("centred", decompose.centred(k)), ("transition", k / k.sum(1, keepdims=True))):
+        table = decompose.kernel_long(frames, 0.5, form=form)
+        assert "FlatMapGroupsInPandas" in table._jdf.queryExecution().toString() and "CartesianProduct" not in table._jdf.queryExecution().toString()
+        got = {(r["a"], r["b"]): r["k"] for r in table.collect()}
+        assert len(got) == 2500 and np.allclose([[got[i, j] for j in range(50)] for i in range(50)], want, atol=1e-12)
