@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.operators.blocks import block_pairs, blocks_of, components, kept, linked, matrix, squares, within
+from orrery.operators.blocks import block_pairs, blocks_of, components, kept, linked, matrix, merged_names, squares, tiles, within
 from orrery.operators.decompose import rows_of
 from orrery.operators.stats import percentile
 
@@ -311,12 +311,22 @@ def dbscan_tables(frames: DataFrame, eps: float = 0.5, min_samples: int = 5, fea
     rows = kept(frames.join(n, key), "counted")
 
     def stars(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        near = within(matrix(a, features), matrix(b, features), eps)
-        left, right = linked(near, np.ascontiguousarray(near.T))
-        both = a[key].assign(c=left) if a is b else pd.concat([a[key].assign(c=left), b[key].assign(c=right)])
-        both = both[both["c"] >= 0].sort_values(key)
-        first = both.groupby("c")[key].transform("first").set_axis(["to_traj", "to_frame"], axis=1)
-        both = pd.concat([both[key], first], axis=1) if len(both) else pd.DataFrame({c: [] for c in [*key, "to_traj", "to_frame"]})
+        """Each row of both blocks to the first that it is linked with by pairs between them."""
+        both = (a[key] if a is b else pd.concat([a[key], b[key]])).reset_index(drop=True)
+        order = both.sort_values(key).index.to_numpy()
+        place = np.empty(len(both), np.int64)
+        place[order] = np.arange(len(both))
+        left, right = place[: len(a)], place[: len(a)] if a is b else place[len(a) :]
+        x = matrix(a, features)
+        y, names = x if a is b else matrix(b, features), np.arange(len(both))
+        for i, j, _ in tiles(len(x), len(y), a is b):
+            near = within(x[i], y[j], eps)
+            rows, cols = linked(near, np.ascontiguousarray(near.T))
+            at, group = np.concatenate([left[i], right[j]]), np.concatenate([rows, cols])
+            names = merged_names(names, at[group >= 0], group[group >= 0])
+        both = both.iloc[order].reset_index(drop=True)
+        first = both.iloc[names].reset_index(drop=True).set_axis(["to_traj", "to_frame"], axis=1)
+        both = pd.concat([both, first], axis=1)
         return both[(both["traj_id"] != both["to_traj"]) | (both["frame_idx"] != both["to_frame"])]
 
     cores = rows.where(F.col("n") >= min_samples)
@@ -334,7 +344,9 @@ def dbscan_tables(frames: DataFrame, eps: float = 0.5, min_samples: int = 5, fea
         for x, y in [(a, b)] if a is b else [(a, b), (b, a)]:
             x, y = x[x["label"] < 0], y[y["label"] >= 0]
             if len(x) and len(y):
-                least = np.where(within(matrix(x, features), matrix(y, features), eps), y["label"].to_numpy()[None], NO_LABEL).min(1)
+                u, v, labels, least = matrix(x, features), matrix(y, features), y["label"].to_numpy(), np.full(len(x), NO_LABEL)
+                for i, j, _ in tiles(len(u), len(v), False):
+                    least[i] = np.minimum(least[i], np.where(within(u[i], v[j], eps), labels[j][None], NO_LABEL).min(1))
                 out.append(x[key].assign(label=least)[least < NO_LABEL])
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*key, "label"]})
 
@@ -383,9 +395,14 @@ def neighbours_within(frames: DataFrame, eps: float, features: str = "features")
     frames = frames.select(F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), features)
 
     def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        near = within(matrix(a, features), matrix(b, features), eps)
-        sides = [a[key].assign(n=near.sum(1))] + ([] if a is b else [b[key].assign(n=near.sum(0))])
-        return pd.concat(sides)
+        x, n = matrix(a, features), np.zeros(len(a), np.int64)
+        y, m = (x, n) if a is b else (matrix(b, features), np.zeros(len(b), np.int64))
+        for i, j, own in tiles(len(x), len(y), a is b):
+            near = within(x[i], y[j], eps)
+            n[i] += near.sum(1)
+            if not own:
+                m[j] += near.sum(0)
+        return pd.concat([a[key].assign(n=n)] + ([] if a is b else [b[key].assign(n=m)]))
 
     counts = block_pairs(frames, max(1, blocks_of(frames, features)), counted, "traj_id int, frame_idx long, n long")
     return counts.groupBy(*key).agg(F.sum("n").alias("n_neighbours"))
@@ -441,10 +458,15 @@ def density_peak_centres(frames: DataFrame, features: str = "features", k: int =
         out = [pd.DataFrame({c: [] for c in ["label", *key, "d"]})]
         for left, right in sides(a, b):
             x, y = matrix(left, "features"), matrix(right, "features")
-            m, d = min(k, len(y)), np.empty((len(x), min(k, len(y))))
-            for at in range(0, len(x), STEP):
-                found = np.argpartition(pair_distances(x[at : at + STEP], y), m - 1, axis=1)[:, :m]
-                d[at : at + STEP] = np.sqrt(((x[at : at + STEP, None] - y[found]) ** 2).sum(2))
+            d = np.full((len(x), min(k, len(y))), np.inf)
+            for i, j, _ in tiles(len(x), len(y), False):
+                u, v = x[i], y[j]
+                m = min(k, len(v))
+                for at in range(0, len(u), STEP):
+                    found = np.argpartition(squares(u[at : at + STEP], v), m - 1, axis=1)[:, :m]
+                    own = slice(i.start + at, i.start + min(at + STEP, len(u)))
+                    both = np.hstack([d[own], np.sqrt(((u[at : at + STEP, None] - v[found]) ** 2).sum(2))])
+                    d[own] = np.partition(both, d.shape[1] - 1, axis=1)[:, : d.shape[1]]
             out.append(left[["label", *key]].assign(d=list(d)))
         return pd.concat(out[1:] or out)
 
@@ -456,8 +478,10 @@ def density_peak_centres(frames: DataFrame, features: str = "features", k: int =
     def counted(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({c: [] for c in ["label", *key, "n"]})]
         for left, right in sides(a, b):
-            near = within(matrix(left, "features"), matrix(right, "features"), float(left["radius"].iloc[0]))
-            out.append(left[["label", *key]].assign(n=near.sum(1)))
+            x, y, n = matrix(left, "features"), matrix(right, "features"), np.zeros(len(left), np.int64)
+            for i, j, _ in tiles(len(x), len(y), False):
+                n[i] += within(x[i], y[j], float(left["radius"].iloc[0])).sum(1)
+            out.append(left[["label", *key]].assign(n=n))
         return pd.concat(out[1:] or out)
 
     n = block_pairs(large.join(radii, "label"), blocks, counted, "label int, traj_id int, frame_idx long, n long").groupBy("label", *key).agg(F.sum("n").alias("n"))
@@ -489,17 +513,25 @@ def silhouette(frames: DataFrame, features: str = "features", sample: int | None
     rows = rows.select(F.col("traj_id").cast("int").alias("traj_id"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("label").cast("int").alias("label"), features)
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = np.sqrt(squares(matrix(a, features), matrix(b, features)))
-        if a is b:
-            np.fill_diagonal(d, 0.0)
-        out = []
-        for x, y, m in [(a, b, d)] if a is b else [(a, b, d), (b, a, d.T)]:
-            names, at = np.unique(y["label"].to_numpy(), return_inverse=True)
-            total, n = m @ np.eye(len(names))[at], np.tile(np.bincount(at), (len(x), 1))
+        x, out = matrix(a, features), []
+        y = x if a is b else matrix(b, features)
+        names_a, at_a = np.unique(a["label"].to_numpy(), return_inverse=True)
+        names_b, at_b = (names_a, at_a) if a is b else np.unique(b["label"].to_numpy(), return_inverse=True)
+        to_b = np.zeros((len(x), len(names_b)))
+        to_a = to_b if a is b else np.zeros((len(y), len(names_a)))
+        for i, j, own in tiles(len(x), len(y), a is b):
+            d = np.sqrt(squares(x[i], y[j]))
+            if own:
+                np.fill_diagonal(d, 0.0)
+            to_b[i] += d @ np.eye(len(names_b))[at_b[j]]
+            if not own:
+                to_a[j] += d.T @ np.eye(len(names_a))[at_a[i]]
+        for side, total, names, at in [(a, to_b, names_b, at_b)] if a is b else [(a, to_b, names_b, at_b), (b, to_a, names_a, at_a)]:
+            n = np.tile(np.bincount(at), (len(side), 1))
             if a is b:
-                n[np.arange(len(x)), at] -= 1
+                n[np.arange(len(side)), at] -= 1
             for k, label2 in enumerate(names.tolist()):
-                out.append(x[[*key, "label"]].assign(label2=label2, d=total[:, k], n=n[:, k]))
+                out.append(side[[*key, "label"]].assign(label2=label2, d=total[:, k], n=n[:, k]))
         return pd.concat(out)
 
     each = block_pairs(rows, max(1, blocks_of(rows, features)), sums, "traj_id int, frame_idx long, label int, label2 int, d double, n long")
@@ -522,12 +554,16 @@ def knn_labels(asked: DataFrame, labelled: DataFrame, k: int = 5, features: str
             x, y = x[x["label"].isna()], y[y["label"].notna()].sort_values("frame_idx")
             if not len(x) or not len(y):
                 continue
-            u, v = matrix(x, features), matrix(y, features)
-            rough, n = squares(u, v), min(len(y), k + 8)
-            at = np.sort(np.argpartition(rough, n - 1, axis=1)[:, :n], axis=1)
-            d2 = ((u[:, None] - v[at]) ** 2).sum(2)
-            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            at, d2 = np.take_along_axis(at, order, 1), np.take_along_axis(d2, order, 1)
+            u, v, parts = matrix(x, features), matrix(y, features), {}
+            for i, j, _ in tiles(len(u), len(v), False):
+                n = min(j.stop - j.start, k + 8)
+                at = np.sort(np.argpartition(squares(u[i], v[j]), n - 1, axis=1)[:, :n], axis=1) + j.start
+                d2 = ((u[i][:, None] - v[at]) ** 2).sum(2)
+                if i.start in parts:  # earlier rows come first, so that they win ties
+                    at, d2 = np.hstack([parts[i.start][0], at]), np.hstack([parts[i.start][1], d2])
+                order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+                parts[i.start] = np.take_along_axis(at, order, 1), np.take_along_axis(d2, order, 1)
+            at, d2 = (np.concatenate([parts[i][c] for i in sorted(parts)]) for c in (0, 1))
             out.append(pd.DataFrame({"id": np.repeat(x["frame_idx"].to_numpy(), at.shape[1]), "id2": y["frame_idx"].to_numpy()[at].ravel(), "label": y["label"].to_numpy()[at].ravel().astype(int), "d2": d2.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id", "id2", "label", "d2")})
 
