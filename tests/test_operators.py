@@ -535,3 +535,23 @@ def test_kernels_of_pairs_meet_in_blocks(spark, monkeypatch):
         assert "FlatMapGroupsInPandas" in table._jdf.queryExecution().toString() and "CartesianProduct" not in table._jdf.queryExecution().toString()
         got = {(r["a"], r["b"]): r["k"] for r in table.collect()}
         assert len(got) == 2500 and np.allclose([[got[i, j] for j in range(50)] for i in range(50)], want, atol=1e-12)
+
+
+def test_residue_pairs_are_numbered_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(features, "CHAIN", 4)
+    r = np.random.default_rng(5)
+    seqids = np.cumsum(r.choice([-1, 1, 1, 1, 4], 23)).tolist()
+    seqids[6] = None
+    rows = [(t, 10 * k, s) for t in (0, 1) for k, s in enumerate(seqids[: 23 - 6 * t])]
+    found = features.residue_pairs(spark.createDataFrame(rows, "traj_id int, index int, seqid int"), 2)
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for t in (0, 1):
+        own, segment, want = [s for u, _, s in rows if u == t], [], []
+        for k, s in enumerate(own):
+            step = None if not k or s is None or own[k - 1] is None else abs(s - own[k - 1])
+            segment.append((segment[-1] if k else 0) + (step not in (None, 1)))
+        for i in range(len(own)):
+            for j in range(i + 1, len(own)):
+                near = segment[i] == segment[j] and (own[i] is None or own[j] is None or abs(own[i] - own[j]) <= 2)
+                want += [] if near else [(len(want), 10 * i, 10 * j)]
+        assert sorted((x["feature_idx"], x["i"], x["j"]) for x in found.collect() if x["traj_id"] == t) == want
