@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from orrery.functions import circular
 
 TINY = 1e-10
+#: Rows of a group beyond which equal values are counted before its percentiles are taken.
+LARGE = 1 << 20
+#: Percentiles that a metric needs.
+AT = {"median": (0.5,), "q25": (0.25,), "q75": (0.75,), "iqr": (0.25, 0.75)}
 
 
 def percentile(x: Column, p: float) -> Column:
@@ -42,11 +46,26 @@ CIRCULAR = {"mean": circular.mean, "std": circular.std, "variance": circular.var
 
 
 def aggregate(long: DataFrame, by: Iterable[str], metrics: Iterable[str], value: str = "value", periodic: bool = False) -> DataFrame:
-    """One row for each group of ``by`` with a column for each metric; ``mad`` takes a second pass."""
+    """One row for each group of ``by`` with a column for each metric; ``mad`` takes a second pass.
+
+    For percentiles of tables with a group of more than ``LARGE`` rows equal values are counted first, and all percentiles of a group taken at once.
+    """
     by, metrics = list(by), list(metrics)
     table = CIRCULAR if periodic else LINEAR
     plain = [m for m in metrics if m != "mad"]
-    found = long.groupBy(*by).agg(*[table[m](F.col(value)).alias(m) for m in plain]) if plain else None
+    ranks = [] if periodic else [m for m in plain if m in AT]
+    if ranks and by and not long.groupBy(*by).count().where(F.col("count") > LARGE).isEmpty():
+        points = sorted({p for m in ranks for p in AT[m]})
+        others = [table[m](F.col(value)).alias(m) for m in plain if m not in ranks]
+        sums = long.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *others)
+        counts = long.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+        at = counts.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in points]), F.col("_n")).alias("_at"))
+        place = {p: F.get("_at", F.lit(k)) for k, p in enumerate(points)}
+        picked = at.select(*by, *[(place[AT[m][-1]] - place[AT[m][0]] if m == "iqr" else place[AT[m][0]]).alias(m) for m in ranks])
+        same = [sums[k].eqNullSafe(picked[k]) for k in by]
+        found = sums.join(picked, same, "left").select(*[sums[k] for k in by], *[picked[m] if m in ranks else sums[m] for m in plain])
+    else:
+        found = long.groupBy(*by).agg(*[table[m](F.col(value)).alias(m) for m in plain]) if plain else None
     if "mad" in metrics:
         found_mad = mad(long, by, value)
         if found is None:

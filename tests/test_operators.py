@@ -555,3 +555,16 @@ def test_residue_pairs_are_numbered_without_a_sort(spark, monkeypatch):
                 near = segment[i] == segment[j] and (own[i] is None or own[j] is None or abs(own[i] - own[j]) <= 2)
                 want += [] if near else [(len(want), 10 * i, 10 * j)]
         assert sorted((x["feature_idx"], x["i"], x["j"]) for x in found.collect() if x["traj_id"] == t) == want
+
+
+def test_percentiles_of_large_groups_from_counts(spark, monkeypatch):
+    x = np.random.default_rng(6).standard_normal(900).round(2)
+    long = spark.createDataFrame([(k % 3 if k % 3 else None, float(v)) for k, v in enumerate(x)], "g int, value double")
+    metrics = ["mean", "median", "iqr", "q75", "range"]
+    few = {r["g"]: r for r in stats.aggregate(long, ["g"], metrics).collect()}
+    monkeypatch.setattr(stats, "LARGE", 100)
+    many = stats.aggregate(long, ["g"], metrics)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("percentile(") == 1
+    rows = {r["g"]: r for r in many.collect()}
+    assert many.columns == ["g", *metrics] and set(rows) == {None, 1, 2}
+    assert all(rows[g][m] == pytest.approx(few[g][m], abs=1e-12) for g in rows for m in metrics)
