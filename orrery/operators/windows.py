@@ -144,10 +144,14 @@ def window_rmsd(frames: DataFrame, size: int, stride: int | None = None, lag: in
     from orrery.operators.stats import percentile
 
     stride = stride or size
-    order = _order(["traj_id"])
-    rows = frames.withColumn("_n", (F.row_number().over(order) - 1).cast("long"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("traj_id"))
-    rows = rows.withColumn("_total", total)
+    # Only counts of the keys are ordered in one task; the frames themselves stay dealt out.
+    key = ["traj_id", "frame_idx"]
+    starts = frames.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).withColumn("_total", F.sum("_c").over(Window.partitionBy("traj_id")))
+    starts = starts.withColumn("_start", F.sum("_c").over(_order(["traj_id"]).rowsBetween(Window.unboundedPreceding, -1)))
+    starts = starts.select(*[F.col(k).alias(f"_{k}") for k in key], F.coalesce("_start", F.lit(0)).alias("_start"), "_total")
+    same = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    rows = frames.withColumn("_same", same).join(starts, F.col("traj_id").eqNullSafe(F.col("_traj_id")) & F.col("frame_idx").eqNullSafe(F.col("_frame_idx")))
+    rows = rows.withColumn("_n", (F.col("_start") + F.col("_same")).cast("long")).drop("_same", "_start", "_traj_id", "_frame_idx")
     first = F.greatest(F.lit(0), F.ceil((F.col("_n") - (size - 1)) / stride)).cast("long")
     last = F.floor(F.least(F.col("_n"), F.col("_total") - size) / stride).cast("long")
     rows = rows.where(last >= first).withColumn("window", F.explode(F.sequence(first, last)))

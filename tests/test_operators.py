@@ -568,3 +568,15 @@ def test_percentiles_of_large_groups_from_counts(spark, monkeypatch):
     rows = {r["g"]: r for r in many.collect()}
     assert many.columns == ["g", *metrics] and set(rows) == {None, 1, 2}
     assert all(rows[g][m] == pytest.approx(few[g][m], abs=1e-12) for g in rows for m in metrics)
+
+
+def test_windows_order_keys_and_not_frames(spark):
+    x = np.random.default_rng(7).standard_normal((40, 6))
+    frames = spark.createDataFrame([(i % 2, i // 2, v.tolist()) for i, v in enumerate(x)], "traj_id int, frame_idx long, features array<double>")
+    found = windows.window_rmsd(frames, 5, 5, 1, "mad")
+    assert "sum(_c" in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        own = x[r["traj_id"] :: 2][5 * r["window"] : 5 * r["window"] + 5].reshape(5, 2, 3)
+        d = np.sqrt(((own[1:] - own[:-1]) ** 2).sum(2))
+        d = np.median(np.abs(d - np.median(d, axis=1, keepdims=True)), axis=1)
+        assert r["rmsd"] == pytest.approx(np.median(np.abs(d - np.median(d))))
